@@ -27,6 +27,14 @@ def _horner(x: Column, coefficients: list[float]) -> Column:
     return out
 
 
+def bind(x: Column, use) -> Column:
+    """``use(x)`` with ``x`` evaluated once, however often ``use`` reads it.
+
+    Without it a filter on the result repeats the whole expression of ``x``.
+    """
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def upper_tail(x: Column) -> Column:
     """1 - Phi(x) for x >= 0, about 14 digits; Spark has no erf."""
     density = F.exp(-(x * x) / F.lit(2.0))
@@ -38,7 +46,7 @@ def upper_tail(x: Column) -> Column:
 
 
 def two_sided_p(z: Column) -> Column:
-    return F.lit(2.0) * upper_tail(F.abs(z))
+    return F.lit(2.0) * bind(F.abs(z), upper_tail)
 
 
 def two_proportion_z(ca: Column, na: Column, cb: Column, nb: Column) -> Column:
@@ -46,7 +54,7 @@ def two_proportion_z(ca: Column, na: Column, cb: Column, nb: Column) -> Column:
     ca, na, cb, nb = (c.cast("double") for c in (ca, na, cb, nb))
     pooled = (ca + cb) / (na + nb)
     se = F.sqrt(pooled * (F.lit(1.0) - pooled) * (F.lit(1.0) / na + F.lit(1.0) / nb))
-    return F.when(se > 0, (ca / na - cb / nb) / se).otherwise(F.lit(0.0))
+    return bind(se, lambda s: F.when(s > 0, (ca / na - cb / nb) / s).otherwise(F.lit(0.0)))
 
 
 def logistic(x: Column) -> Column:

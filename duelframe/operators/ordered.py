@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 N_RANGES = 64
 BROADCAST_BYTES = 8 << 20
 
@@ -43,7 +45,10 @@ def prefix_sums(
     at = F.col(value) if range_on is None else range_on
     keys = list(keys)
     names = list(sums)
-    per_value = df.groupBy(*keys, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    # Read several times below, so it is stored once instead of planned four times.
+    per_value = cut_lineage(
+        df.groupBy(*keys, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    )
     cuts = [i / n_ranges for i in range(1, n_ranges)]
     edges = per_value.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(at, cuts, 10000)).alias("_edges")

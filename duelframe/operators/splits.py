@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.stats import hash_number
+from ..session import cut_lineage
 from .ordered import prefix_sums
 
 N_FOLDS = 5
@@ -48,7 +49,7 @@ def holdout_tests(pairs: DataFrame, fraction: float = HOLDOUT_FRACTION) -> DataF
     date are ordered by id.
     """
     tests = pairs.groupBy("test_id").agg(F.min("created_at").alias("first_at"))
-    tests = tests.filter(F.col("first_at").isNotNull()).withColumn("_run", F.lit(0))
+    tests = cut_lineage(tests.filter(F.col("first_at").isNotNull()).withColumn("_run", F.lit(0)))
     dates = prefix_sums(tests, ["_run"], "first_at", {"n": F.lit(1)}, n_keys=1)
     wanted = F.greatest(F.bround(F.col("n_total") * F.lit(fraction)).cast("long"), F.lit(1).cast("long"))
     newer = F.col("n_total") - F.col("n_before") - F.col("n")
@@ -56,7 +57,7 @@ def holdout_tests(pairs: DataFrame, fraction: float = HOLDOUT_FRACTION) -> DataF
         "_run", F.col("first_at").alias("_cut"), (wanted - newer).alias("_need")
     )
     # ``cut`` has exactly one row.
-    placed = tests.join(F.broadcast(cut), "_run")
+    placed = cut_lineage(tests.join(F.broadcast(cut), "_run"))
     edge = placed.filter(F.col("first_at") == F.col("_cut"))
     ranks = prefix_sums(
         edge, ["_run", "_need", "_cut"], "test_id", {"n": F.lit(1)}, n_keys=1,

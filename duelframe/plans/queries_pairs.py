@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import rounded
 from ..operators import clean, pairs, splits
 from ..operators.ordered import exact_quantiles
+from ..session import cut_lineage
 from ..sources import tables
 
 _RATES = ("ctr", "ctr_a", "ctr_b", "z", "p_value")
@@ -29,6 +30,11 @@ def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.label_pairs(candidate_pairs(spark, sf_dir))
 
 
+def split_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled pairs with their side of the temporal split, stored once."""
+    return cut_lineage(splits.with_holdout(cut_lineage(labelled_pairs(spark, sf_dir))))
+
+
 def _source_count_check(spark, sf_dir):
     expected = tables.table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("subset")).agg(
         F.count(F.lit(1)).alias("packages"), F.countDistinct("l_suppkey").alias("tests")
@@ -57,7 +63,7 @@ def _filter_ledger(spark, sf_dir):
 
 
 def _temporal_split(spark, sf_dir):
-    labelled = labelled_pairs(spark, sf_dir)
+    labelled = cut_lineage(labelled_pairs(spark, sf_dir))
     sizes = labelled.groupBy("test_id").agg(F.count(F.lit(1)).alias("n_pairs"))
     return splits.holdout_tests(labelled).join(sizes, "test_id")
 
@@ -72,7 +78,7 @@ def _group_folds(spark, sf_dir):
 
 def _split_overlap(spark, sf_dir):
     """Shared values per column: none for tests, some for texts."""
-    pairs_split = splits.with_holdout(labelled_pairs(spark, sf_dir))
+    pairs_split = split_pairs(spark, sf_dir)
     values = pairs_split.select(
         "holdout",
         F.inline(F.array(
@@ -92,7 +98,7 @@ def _split_overlap(spark, sf_dir):
 
 
 def _text_overlap(spark, sf_dir):
-    return splits.text_overlap(splits.with_holdout(labelled_pairs(spark, sf_dir)))
+    return splits.text_overlap(split_pairs(spark, sf_dir))
 
 
 def _train_char_median(spark, sf_dir):
@@ -124,7 +130,7 @@ QUERIES = {
     "capped_pairs": _capped_pairs,
     "z_test": _z_test,
     "labelled_pairs": lambda s, d: _rounded_rates(labelled_pairs(s, d)),
-    "alpha_sweep": lambda s, d: pairs.alpha_sweep(candidate_pairs(s, d)),
+    "alpha_sweep": lambda s, d: pairs.alpha_sweep(cut_lineage(candidate_pairs(s, d))),
     "filter_ledger": _filter_ledger,
     "temporal_split": _temporal_split,
     "group_folds": _group_folds,

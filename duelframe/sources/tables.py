@@ -20,7 +20,7 @@ def spread(df: DataFrame) -> DataFrame:
 
     Large inputs have enough row groups and are left alone.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if size < SMALL_INPUT_BYTES else df
 
