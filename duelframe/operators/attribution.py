@@ -48,7 +48,7 @@ def notes(lines: DataFrame, model: LinearModel = HAND_MODEL) -> DataFrame:
             F.when(
                 seen,
                 F.struct(
-                    (-F.abs(gain)).alias("order"),
+                    (-F.round(F.abs(gain), 12)).alias("order"),
                     F.lit(pos).alias("pos"),
                     F.lit(name).alias("feature"),
                     F.when(gain > 0, "helps").otherwise("hurts").alias("kind"),

@@ -15,12 +15,15 @@ N_BINS = 10
 
 
 def mirrored_predictions(predicted: DataFrame) -> DataFrame:
-    """(p, label) of every pair in both directions."""
+    """(p, label) of every pair in both directions.
+
+    Twelve digits, so that rounding noise does not split equal probabilities.
+    """
     return predicted.select(
         "*",
         F.inline(F.array(
-            F.struct(F.col("p").alias("_p"), F.col("label").cast("long").alias("_y")),
-            F.struct((F.lit(1.0) - F.col("p")).alias("_p"), (F.lit(1) - F.col("label")).cast("long").alias("_y")),
+            F.struct(F.round("p", 12).alias("_p"), F.col("label").cast("long").alias("_y")),
+            F.struct(F.round(F.lit(1.0) - F.col("p"), 12).alias("_p"), (F.lit(1) - F.col("label")).cast("long").alias("_y")),
         )),
     ).drop("p", "label").withColumnsRenamed({"_p": "p", "_y": "label"})
 

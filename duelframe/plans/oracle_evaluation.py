@@ -10,8 +10,8 @@ headlines as (select distinct headline as text from arms),""" + features_ctes("h
 s as (select text, {_STRENGTH} as strength from hf),
 predicted as (select l.*, 1 / (1 + exp(-(a.strength - b.strength))) as p0
               from labelled l join s a on a.text = l.headline_a join s b on b.text = l.headline_b),
-both_ways as (select test_id, {hash_sql('test_id')} % 5 as fold, p0 as p, label as y from predicted
-              union all select test_id, {hash_sql('test_id')} % 5, 1 - p0, 1 - label from predicted)"""
+both_ways as (select test_id, {hash_sql('test_id')} % 5 as fold, round(p0, 12) as p, label as y from predicted
+              union all select test_id, {hash_sql('test_id')} % 5, round(1 - p0, 12), 1 - label from predicted)"""
 
 
 def metrics(keys: str, source: str = "both_ways", name: str = "metrics") -> str:
@@ -56,7 +56,7 @@ select n_groups, round(c, 6) as ctr_model_choice, round(m, 6) as ctr_mean_arm, r
     "calibration": f"""
 with {BASE},
 edges as (select quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as e from both_ways),
-binned as (select p, y, len(list_filter(e, lambda x: x < p - 1e-15)) as bin from both_ways, edges)
+binned as (select p, y, len(list_filter(e, lambda x: x < p)) as bin from both_ways, edges)
 select 'all' as run, bin, count(*) as n, round(avg(p), 6) as mean_predicted, round(avg(y), 6) as observed,
   round(abs(avg(p) - avg(y)), 6) as gap from binned group by bin""",
     "probability_histogram": f"with {BASE} select 'all' as run, least(floor(p * 10), 9)::BIGINT as bin, count(*) as n from both_ways group by 2",

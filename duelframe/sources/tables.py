@@ -93,7 +93,7 @@ def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ranking_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the saved comparisons: order items with their product text."""
     items = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax",
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax",
         "l_shipdate",
     )
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
@@ -101,6 +101,7 @@ def ranking_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("ranking_id"),
         F.col("l_linenumber").cast("long").alias("rank"),
         F.col("p_name").alias("text"),
+        (F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("item_id"),
         F.col("l_shipdate").alias("created_at"),
         F.create_map(
             F.lit("quantity"), F.col("l_quantity"),
@@ -131,3 +132,46 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 != 0, F.floor(F.col("value") / 10)).alias("clicks"),
         (k / F.lit(80.0)).alias("share"),
     )
+
+
+def latency_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timed requests: events by type, with some failures and two orders for one target."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("target"), F.col("value").alias("ms"), (k % 10 != 0).alias("ok"),
+        F.when((F.col("event_type") == "error") & (k % 2 == 1), "[1,0,2,3]").otherwise("[0,1,2,3]").alias("ranking"),
+    )
+
+
+def monitoring_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("model_version"), F.col("o_orderkey").alias("run_id"),
+        F.col("o_orderdate").alias("created_at"), (F.col("o_totalprice") / 1000000).alias("max_psi"),
+    )
+
+
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model versions: users in twenty groups, measured on their events."""
+    v = F.col("user_id") % 20
+    hit = (F.col("value") > 10).cast("double")
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    measured = table(spark, sf_dir, "events").select(
+        v.alias("v"), hit.alias("hit"), early.alias("early"), "value"
+    ).groupBy("v").agg(
+        F.avg(F.when(F.col("early"), F.col("hit"))).alias("holdout_accuracy"),
+        F.avg(F.when(~F.col("early"), F.col("hit"))).alias("user_accuracy"),
+        F.count_if(~F.col("early")).alias("n_user_labels"),
+        (F.max("value") * F.lit(2.5e-9)).alias("antisymmetry"),
+    )
+    return measured.select(
+        F.concat(F.lit("v"), F.col("v").cast("string")).alias("version"),
+        F.when(F.col("v") % 2 == 0, "linear").otherwise("trees").alias("algorithm"),
+        F.when(F.col("v") == 0, "champion").when(F.col("v") % 4 == 1, "archived").otherwise("challenger").alias("status"),
+        F.when(F.col("v") == 0, "champion").otherwise("challenger").alias("role"),
+        F.when(F.col("v") % 7 == 6, 2).otherwise(1).alias("feature_spec_version"),
+        (F.col("v") == 3).alias("synthetic"),
+        (F.col("v") % 5 != 4).alias("export_passed"),
+        F.lit(1e-6).alias("tolerance"),
+        F.when(F.col("v") % 4 == 0, "agreed").alias("force"),
+        "holdout_accuracy", "user_accuracy", "n_user_labels", "antisymmetry",
+    )
