@@ -133,7 +133,7 @@ select outcome_id, case when opens >= 0 then opens::DOUBLE end as opens, case wh
     "owned_feedback": f"with {FEEDBACK} select feedback_id, ranking_id, user_id from notes_ n where exists (select 1 from saved s where s.ranking_id = n.ranking_id and s.user_id = n.user_id)",
     "feedback_queue": f"""with {FEEDBACK}, {ITEMS},
 queue as (select * from notes_ order by created_at desc, feedback_id desc limit 25)
-select feedback_id, created_at, q.ranking_id, coalesce(string_agg(text, ' | ' order by rank, text), '') as lines
+select feedback_id, q.created_at, q.ranking_id, coalesce(string_agg(text, ' | ' order by rank, text), '') as lines
 from queue q left join items i on i.ranking_id = q.ranking_id group by all""",
     "visible_rows": f"with {RANKINGS} select ranking_id, user_id, created_at from saved where user_id = 7",
 }
