@@ -5,35 +5,47 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_RUN = regex.compile(r"[\p{L}\p{Nd}'’]+")
 SPAN_TYPE = "array<struct<token:string,start:int,end:int>>"
 
 
-def _spans(text: str) -> list[dict]:
-    found = []
-    for m in _RUN.finditer(text):
-        left = m.group().lstrip("'’")
-        token = left.rstrip("'’")
-        if token:
-            start = m.end() - len(left)
-            found.append({"token": token, "start": start, "end": start + len(token)})
-    return found
+def span_arrays():
+    """Arrow-batched function: tokens with code point offsets.
 
+    Spark reports no offsets of regular expression matches.  Everything it needs is
+    inside, so executors do not import this package.
+    """
 
-@F.pandas_udf(SPAN_TYPE)
-def span_arrays(texts: pd.Series) -> pd.Series:
-    """Tokens with code point offsets, in Arrow batches (Spark has no regex offsets)."""
-    return texts.map(lambda t: _spans(t) if t is not None else None)
+    @F.pandas_udf(SPAN_TYPE)
+    def spans(texts: pd.Series) -> pd.Series:
+        import regex
+
+        run = regex.compile(r"[\p{L}\p{Nd}'’]+")
+
+        def one(text):
+            found = []
+            for m in run.finditer(text):
+                left = m.group().lstrip("'’")
+                token = left.rstrip("'’")
+                if token:
+                    start = m.end() - len(left)
+                    found.append({"token": token, "start": start, "end": start + len(token)})
+            return found
+
+        return texts.map(lambda t: one(t) if t is not None else None)
+
+    return spans
+
+
+def with_spans(df: DataFrame, text: str = "text", name: str = "tokens") -> DataFrame:
+    return df.withColumn(name, span_arrays()(F.col(text)))
 
 
 def token_spans(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """One row per token: keys, token, start, end."""
-    placed = df.select(*keys, span_arrays(F.col(text)).alias("spans"))
-    rows = placed.select(*keys, F.explode("spans").alias("s"))
+    rows = with_spans(df.select(*keys, text), text, "spans").select(*keys, F.explode("spans").alias("s"))
     return rows.select(
         *keys, "s.token", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end")
     )

@@ -52,7 +52,7 @@ def fit_baseline(rows: DataFrame, names: Sequence[str], version: str = "baseline
     if n < 2 * MIN_PAIRS:
         raise ValueError(f"only {n // 2} labelled pairs, too few to train on")
     model = LogisticRegression(
-        fitIntercept=False, standardization=False, regParam=1.0 / (C * n), maxIter=MAX_ITER, tol=1e-8
+        fitIntercept=False, standardization=False, regParam=1.0 / (C * n), maxIter=MAX_ITER, tol=1e-6
     ).fit(scaled)
     return LinearModel(version, tuple(names), tuple(float(c) for c in model.coefficients), tuple(scales))
 

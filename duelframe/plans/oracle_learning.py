@@ -3,18 +3,18 @@
 from .oracle_pairs import PAIRS
 
 TERMS = PAIRS + """,
-sides as (select headline, count(*) as occurrences
+texts_ as (select headline, count(*) as occurrences
           from (select headline_a as headline from labelled union all select headline_b from labelled) group by 1),
-words as (select headline, regexp_extract_all(lower(headline), '[\\p{L}\\p{N}_]{2,}') as w from sides),
+words as (select headline, regexp_extract_all(lower(headline), '[\\p{L}\\p{N}_]{2,}') as w from texts_),
 word_terms as (select headline, 'word' as kind, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from words),
-padded as (select headline, ' ' || unnest(list_filter(regexp_split_to_array(lower(headline), '\\s+'), lambda x: x <> '')) || ' ' as w from sides),
+padded as (select headline, ' ' || unnest(list_filter(regexp_split_to_array(lower(headline), '\\s+'), lambda x: x <> '')) || ' ' as w from texts_),
 char_terms as (select headline, 'char' as kind, substr(w, i, n) as term
                from (select headline, w, n, unnest(range(1, greatest(length(w) - n + 1, 1) + 1)) as i
                      from padded, (values (3), (4), (5)) s(n) where n = 3 or n - 1 < length(w))),
 tf as (select headline, kind, term, count(*) as tf from (select * from word_terms union all select * from char_terms) group by all),
 idf as (select kind, term, sum(occurrences)::BIGINT as df,
-          ln((1 + (select sum(occurrences) from sides)) / (1 + sum(occurrences))) + 1 as idf
-        from tf join sides using (headline) group by 1, 2 having sum(occurrences) >= 3),
+          ln((1 + (select sum(occurrences) from texts_)) / (1 + sum(occurrences))) + 1 as idf
+        from tf join texts_ using (headline) group by 1, 2 having sum(occurrences) >= 3),
 raw as (select headline, kind, term, (1 + ln(tf)) * idf as raw from tf join idf using (kind, term)),
 weights as (select headline, kind, term, raw / sqrt(sum(raw * raw) over (partition by headline, kind)) as weight from raw)"""
 

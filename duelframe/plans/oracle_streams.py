@@ -18,8 +18,8 @@ select started_at, count(*) as n, round(avg(p), 6) as mean, round(stddev_pop(p),
     "token_spans": """
 with pieces as (select conv_id, turn, unnest(p) as piece, unnest(range(len(p))) as n
   from (select conv_id, turn, regexp_extract_all(text, '[\\p{L}\\p{Nd}''’]+|[^\\p{L}\\p{Nd}''’]+') as p from conversations)),
-at as (select *, coalesce(sum(length(piece)) over (partition by conv_id, turn order by n rows between unbounded preceding and 1 preceding), 0)::BIGINT as pos,
+placed as (select *, coalesce(sum(length(piece)) over (partition by conv_id, turn order by n rows between unbounded preceding and 1 preceding), 0)::BIGINT as pos,
          length(piece) - length(ltrim(piece, '''’')) as lead_, trim(piece, '''’') as token from pieces where true)
 select conv_id, turn, token, pos + lead_ as start, pos + lead_ + length(token) as "end"
-from at where regexp_matches(piece, '^[\\p{L}\\p{Nd}''’]') and token <> ''""",
+from placed where regexp_matches(piece, '^[\\p{L}\\p{Nd}''’]') and token <> ''""",
 }
