@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.emoji import DECORATION_CLASS  # noqa: F401 - same classes as the features
 from ..functions.features import EMOJI_FEATURES, FEATURE_NAMES, with_features
 from ..functions.lexicons import DEFAULT_LEXICONS, Lexicons
 from ..functions.phrases import FALLBACK, NO_ATTRIBUTION, NOT_MEASURED, PHRASES
@@ -37,30 +36,32 @@ def notes(lines: DataFrame, model: LinearModel = HAND_MODEL) -> DataFrame:
     over_set = Window.partitionBy(SET)
     n = F.count(F.lit(1)).over(over_set)
     summed = featured.withColumns({f"_sum_{f}": F.sum(f).over(over_set) for f in names} | {"_n": n})
+    theirs = {
+        f: F.when(F.col("_n") > 1, (F.col(f"_sum_{f}") - F.col(f)) / (F.col("_n") - 1)).otherwise(0.0)
+        for f in names
+    }
+    staged = summed.withColumns({f"_theirs_{f}": c for f, c in theirs.items()})
+    staged = staged.withColumns({f"_delta_{f}": F.col(f) - F.col(f"_theirs_{f}") for f in names})
+    staged = staged.withColumns({
+        f"_gain_{f}": F.lit(coef) * F.col(f"_delta_{f}") / F.lit(scale) for f, coef, scale in model.terms
+    })
     entries = []
-    for pos, (name, coef, scale) in enumerate(model.terms):
-        mine = F.col(name)
-        theirs = F.when(F.col("_n") > 1, (F.col(f"_sum_{name}") - mine) / (F.col("_n") - 1)).otherwise(0.0)
-        delta = mine - theirs
-        gain = F.lit(coef) * delta / F.lit(scale)
+    for pos, name in enumerate(names):
+        delta, gain, mine = F.col(f"_delta_{name}"), F.col(f"_gain_{name}"), F.col(name)
         seen = (F.abs(delta) >= MIN_DIFFERENCE) & (F.abs(gain) >= MIN_CONTRIBUTION)
-        entries.append(
-            F.when(
-                seen,
-                F.struct(
-                    (-F.round(F.abs(gain), 12)).alias("order"),
-                    F.lit(pos).alias("pos"),
-                    F.lit(name).alias("feature"),
-                    F.when(gain > 0, "helps").otherwise("hurts").alias("kind"),
-                    gain.alias("contribution"),
-                    mine.alias("mine"),
-                    theirs.alias("theirs"),
-                    phrase(name, delta, mine).alias("text"),
-                ),
-            )
-        )
+        kind = F.when(gain > 0, "helps").otherwise("hurts")
+        entries.append(F.when(seen, _note(
+            -F.round(F.abs(gain), 12), pos, name, kind, gain, mine, F.col(f"_theirs_{name}"), phrase(name, delta, mine)
+        )))
     found = F.array_sort(F.filter(F.array(*entries), lambda e: e.isNotNull()))
-    return summed.select(SET, "position", "text", "has_emoji", "emoji_count", found.alias("notes"))
+    return staged.select(SET, "position", "text", "has_emoji", "emoji_count", found.alias("notes"))
+
+
+def _note(order: Column, pos: int, feature: str, kind, contribution, mine, theirs, text) -> Column:
+    return F.struct(
+        order.alias("order"), F.lit(pos).alias("pos"), F.lit(feature).alias("feature"), kind.alias("kind"),
+        contribution.alias("contribution"), mine.alias("mine"), theirs.alias("theirs"), text.alias("text"),
+    )
 
 
 def attribution(noted: DataFrame) -> DataFrame:
@@ -73,17 +74,16 @@ def attribution(noted: DataFrame) -> DataFrame:
 
 def top_reasons(noted: DataFrame, model: LinearModel = HAND_MODEL, limit: int = TOP_REASONS) -> DataFrame:
     """The strongest reasons of a line, and the emoji note when the model has no view on them."""
-    best = attribution(noted.withColumn("notes", F.slice("notes", 1, limit)))
-    if any(f in model.features for f in EMOJI_FEATURES):
-        return best
-    silent = noted.filter((F.col("has_emoji") > 0) | (F.col("emoji_count") > 0)).select(
-        SET, "position",
-        (F.least(F.size("notes"), F.lit(limit)) + 1).cast("long").alias("place"),
-        F.lit("has_emoji").alias("feature"), F.lit("not-measured").alias("kind"),
-        F.lit(0.0).alias("contribution"), F.lit(None).cast("double").alias("mine"),
-        F.lit(None).cast("double").alias("theirs"), F.lit(NOT_MEASURED).alias("text"),
-    )
-    return best.unionByName(silent)
+    best = F.slice("notes", 1, limit)
+    if not any(f in model.features for f in EMOJI_FEATURES):
+        missing = F.lit(None).cast("double")
+        silent = _note(
+            F.lit(0.0), len(model.features), "has_emoji", F.lit("not-measured"), F.lit(0.0), missing, missing,
+            F.lit(NOT_MEASURED),
+        )
+        has_emoji = (F.col("has_emoji") > 0) | (F.col("emoji_count") > 0)
+        best = F.when(has_emoji, F.concat(best, F.array(silent))).otherwise(best)
+    return attribution(noted.withColumn("notes", best))
 
 
 def no_attribution(lines: DataFrame) -> DataFrame:
