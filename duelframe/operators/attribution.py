@@ -65,8 +65,13 @@ def _note(order: Column, pos: int, feature: str, kind, contribution, mine, their
 
 
 def attribution(noted: DataFrame) -> DataFrame:
-    """One row per line and feature that says something."""
-    return noted.select(SET, "position", F.posexplode("notes").alias("place", "note")).select(
+    """One row per line and feature that says something.
+
+    The outer form keeps Spark from testing the size of ``notes`` before the
+    explode, which would work out every note twice.
+    """
+    rows = noted.select(SET, "position", F.posexplode_outer("notes").alias("place", "note"))
+    return rows.filter(F.col("note").isNotNull()).select(
         SET, "position", (F.col("place") + 1).cast("long").alias("place"),
         *[f"note.{c}" for c in ("feature", "kind", "contribution", "mine", "theirs", "text")],
     )

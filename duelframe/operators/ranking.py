@@ -84,7 +84,8 @@ def aggregate_sets(scored: DataFrame) -> DataFrame:
 
 def pairwise_matrix(scored: DataFrame) -> DataFrame:
     """Long form (set, i, j, p) of the off-diagonal matrix."""
-    return scored.select(SET, F.col("position").alias("i"), F.explode("pairwise").alias("j", "p"))
+    rows = scored.select(SET, F.col("position").alias("i"), F.explode_outer("pairwise").alias("j", "p"))
+    return rows.filter(F.col("j").isNotNull())
 
 
 def borda_scores(matrix: DataFrame) -> DataFrame:
