@@ -147,10 +147,14 @@ def number_within(
     numbered by up to ``salts`` tasks and the sizes of its slices give the offsets.
     """
     keys = list(keys)
-    salted = df.withColumn("_salt", salt_on % salts)
-    inside = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    numbered = salted.withColumn("_rn", F.row_number().over(inside).cast("long") - 1)
-    sizes = salted.groupBy(*keys, "_salt").agg(F.count("*").alias("_n"))
+    slice_ = Window.partitionBy(*keys, "_salt")
+    # Stored once: the offsets and every reader of the result would repeat the input.
+    numbered = cut_lineage(
+        df.withColumn("_salt", salt_on % salts)
+        .withColumn("_rn", F.row_number().over(slice_.orderBy(*order)).cast("long") - 1)
+    )
+    # The last number of a slice is its size.
+    sizes = numbered.groupBy(*keys, "_salt").agg((F.max("_rn") + 1).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *keys,

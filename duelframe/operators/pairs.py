@@ -81,7 +81,7 @@ def build_pairs(
     if not same_image:
         raise ValueError("pairs across images measure image and text together")
     numbered = number_within(arms, GROUP, ["headline"], hash_number(F.col("headline")))
-    groups = group_sizes(arms)
+    groups = numbered.filter("idx = 0").select(*GROUP, F.col("n_in_key").alias("n_arms"))
     side = F.struct("headline", "clicks", "impressions", "ctr", "created_at", "subset")
     first = numbered.select(*GROUP, F.col("idx").alias("i"), side.alias("x"))
     second = numbered.select(*GROUP, F.col("idx").alias("j"), side.alias("y"))
