@@ -68,15 +68,28 @@ def user_sessions(events: DataFrame) -> DataFrame:
     )
 
 
-def activity_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Runs of activity without a longer gap."""
-    stamped = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    grouped = stamped.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(
-        F.count(F.lit(1)).alias("n_events"), F.max("ts").alias("last_event")
+def activity_sessions(events: DataFrame, gap_seconds: int = 1800, slice_seconds: int = 3600) -> DataFrame:
+    """Runs of activity without a longer gap.
+
+    Events become partial sessions per (user, time slice) first, so a busy user is
+    spread over tasks; the partial sessions of a user, few per slice, are then
+    joined where their gap is short.
+    """
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    stamped = events.select(
+        "user_id", F.col("ts").cast("timestamp").alias("ts"),
+        F.floor(at / (slice_seconds * 1000000)).alias("_slice"),
     )
-    return grouped.select(
-        "user_id", F.col("w.start").alias("started_at"), "last_event", "n_events"
+    partial = stamped.groupBy("user_id", "_slice", F.session_window("ts", f"{gap_seconds} seconds")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")
     )
+    by_time = Window.partitionBy("user_id").orderBy("first")
+    idle = F.unix_micros("first") - F.unix_micros(F.lag("last").over(by_time))
+    starts = F.coalesce((idle >= gap_seconds * 1000000).cast("int"), F.lit(1))
+    runs = partial.withColumn("_start", starts).withColumn("_run", F.sum("_start").over(by_time))
+    return runs.groupBy("user_id", "_run").agg(
+        F.min("first").alias("started_at"), F.max("last").alias("last_event"), F.sum("n").alias("n_events")
+    ).drop("_run")
 
 
 def owned(rows: DataFrame, rankings: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import kolmogorov_tail
 from ..session import cut_lineage
-from .ordered import exact_quantiles, prefix_sums, quantiles_of, spread_steps
+from .ordered import attach, exact_quantiles, prefix_sums, quantiles_of, spread_steps
 
 # ---- fixed values ------------------------------------------------------------
 N_BINS, FLOOR_SHARE = 10, 1e-6
@@ -44,7 +44,9 @@ def _share(n: Column, total: Column) -> Column:
     return F.greatest(F.try_divide(n.cast("double"), total.cast("double")), F.lit(FLOOR_SHARE))
 
 
-def psi(sums: DataFrame, keys: Sequence[str], n_bins: int = N_BINS) -> DataFrame:
+def psi(
+    sums: DataFrame, keys: Sequence[str], n_bins: int = N_BINS, n_keys: int | None = None
+) -> DataFrame:
     """Population stability index with quantile bins of the training side.
 
     A bin is the number of inner edges at or below the value.  A training side
@@ -58,7 +60,7 @@ def psi(sums: DataFrame, keys: Sequence[str], n_bins: int = N_BINS) -> DataFrame
     )
     inner = F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
     # n_bins + 1 numbers per key
-    binned = sums.join(edges, keys).withColumn(
+    binned = attach(sums, edges, keys, n_keys, n_bins).withColumn(
         "_bin", F.size(F.filter(inner, lambda e: e <= F.col("value")))
     )
     per_bin = binned.groupBy(*keys, "_bin").agg(
@@ -116,7 +118,7 @@ def drift_report(sides: DataFrame, keys: Sequence[str] = ("feature",), n_keys: i
     keys = list(keys)
     sums = value_sums(sides, keys, n_keys)
     report = (
-        psi(sums, keys).withColumn("band", psi_band(F.col("psi")))
+        psi(sums, keys, n_keys=n_keys).withColumn("band", psi_band(F.col("psi")))
         .join(ks_two_sample(sums, keys), keys)
         .join(side_moments(sides, keys), keys)
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .ordered import prefix_sums, quantiles_of
+from .ordered import attach, prefix_sums, quantiles_of
 from .pairs import GROUP
 
 N_BINS = 10
@@ -50,12 +50,14 @@ def pairwise_metrics(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def calibration(sums: DataFrame, keys: Sequence[str], n_bins: int = N_BINS) -> DataFrame:
+def calibration(
+    sums: DataFrame, keys: Sequence[str], n_bins: int = N_BINS, n_keys: int | None = None
+) -> DataFrame:
     """Reliability per quantile bin; the bin is the number of inner edges strictly below p."""
     inner = quantiles_of(sums, keys, "p", range(1, n_bins), n_bins)
     edges = inner.groupBy(*keys).agg(F.array_sort(F.collect_list("quantile")).alias("_edges"))
     # n_bins - 1 numbers per key
-    binned = sums.join(edges, list(keys)).withColumn(
+    binned = attach(sums, edges, keys, n_keys, n_bins).withColumn(
         "bin", F.size(F.filter("_edges", lambda e: e < F.col("p"))).cast("long")
     )
     n, p = F.col("n").cast("double"), F.col("p")

@@ -20,7 +20,7 @@ N_RANGES = 64
 BROADCAST_BYTES = 8 << 20
 
 
-def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str], n_keys: int | None, width: int):
+def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], n_keys: int | None, width: int):
     """Join on the keys; broadcast only when the stated bound on keys is small enough."""
     if n_keys is not None and n_keys * width * 16 <= BROADCAST_BYTES:
         small = F.broadcast(small)
@@ -53,7 +53,7 @@ def prefix_sums(
     edges = per_value.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(at, cuts, 10000)).alias("_edges")
     )
-    ranged = _attach(per_value, edges, keys, n_keys, n_ranges).select(
+    ranged = attach(per_value, edges, keys, n_keys, n_ranges).select(
         *keys,
         value,
         *names,
@@ -74,7 +74,7 @@ def prefix_sums(
         *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}_off") for n in names],
         *[F.sum(n).over(every).alias(f"{n}_total") for n in names],
     )
-    joined = _attach(ranked, offsets, [*keys, "_range"], n_keys, n_ranges)
+    joined = attach(ranked, offsets, [*keys, "_range"], n_keys, n_ranges)
     return joined.select(
         *keys,
         value,

@@ -36,7 +36,7 @@ def _pairwise(spark, sf_dir):
 
 
 def _calibration(spark, sf_dir):
-    return _round_all(E.calibration(E.score_sums(predictions(spark, sf_dir), ["run"], 1), ["run"]))
+    return _round_all(E.calibration(E.score_sums(predictions(spark, sf_dir), ["run"], 1), ["run"], n_keys=1))
 
 
 def _cv_summary(spark, sf_dir):

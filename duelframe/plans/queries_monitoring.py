@@ -29,7 +29,7 @@ def _sums(spark, sf_dir):
 
 
 def _psi(spark, sf_dir):
-    return _round_all(D.psi(_sums(spark, sf_dir), ["feature"]).withColumn("band", D.psi_band(F.col("psi"))))
+    return _round_all(D.psi(_sums(spark, sf_dir), ["feature"], n_keys=N_FEATURES).withColumn("band", D.psi_band(F.col("psi"))))
 
 
 def _report(spark, sf_dir):
