@@ -85,7 +85,7 @@ def activity_sessions(events: DataFrame, gap_seconds: int = 1800, slice_seconds:
     )
     by_time = Window.partitionBy("user_id").orderBy("first")
     idle = F.unix_micros("first") - F.unix_micros(F.lag("last").over(by_time))
-    starts = F.coalesce((idle >= gap_seconds * 1000000).cast("int"), F.lit(1))
+    starts = F.coalesce((idle > gap_seconds * 1000000).cast("int"), F.lit(1))
     runs = partial.withColumn("_start", starts).withColumn("_run", F.sum("_start").over(by_time))
     return runs.groupBy("user_id", "_run").agg(
         F.min("first").alias("started_at"), F.max("last").alias("last_event"), F.sum("n").alias("n_events")

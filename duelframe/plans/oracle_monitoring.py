@@ -93,7 +93,7 @@ select day, n_live, round(psi, 6) + 0.0 as psi, case when psi < 0.1 then 'stable
   count(*) filter (where name = 'account_created') = 0 as is_anonymous, min(ts) filter (where name = 'account_created') as upgraded_at, count(*) as n_events
 from activity group by 1""",
     "activity_sessions": f"""with {ACTIVITY},
-s as (select *, case when ts - lag(ts) over w < interval 30 minutes then 0 else 1 end as starts from activity window w as (partition by user_id order by ts)),
+s as (select *, case when ts - lag(ts) over w <= interval 30 minutes then 0 else 1 end as starts from activity window w as (partition by user_id order by ts)),
 r as (select *, sum(starts) over (partition by user_id order by ts rows unbounded preceding) as run from s)
 select user_id, min(ts) as started_at, max(ts) as last_event, count(*) as n_events from r group by user_id, run""",
     "recent_samples": f"""with {ITEMS},

@@ -292,3 +292,24 @@ def test_outcome_agreement(spark):
     df = spark.createDataFrame(rows, "r int, s double, rate double")
     got = evaluate.outcome_agreement(df, ["r"], F.col("s"), F.col("rate")).first()
     assert (got["n_user_labels"], got["user_accuracy"]) == (2, 0.5)
+
+
+def test_sessions_of_a_busy_user_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    at = sorted(np.round(np.cumsum(rng.exponential(900, 400)), 3).tolist() + [0.0, 1800.0])
+    rows = [(u, t) for t in at for u in (1, 2) if u == 1 or t % 3 < 1]
+    df = spark.createDataFrame(rows, "user_id int, s double").withColumn(
+        "ts", F.timestamp_micros(F.round(F.col("s") * 1000000).cast("long"))
+    )
+    got = sorted((r["user_id"], r["n_events"]) for r in activity.activity_sessions(df).collect())
+    want = []
+    for user in (1, 2):
+        times, size = [t for u, t in rows if u == user], 0
+        for i, t in enumerate(times):
+            # A gap of exactly the limit stays in the session, as in Spark's session windows.
+            if i and round((t - times[i - 1]) * 1e6) > 1800 * 10**6:
+                want.append((user, size))
+                size = 0
+            size += 1
+        want.append((user, size))
+    assert got == sorted(want)
