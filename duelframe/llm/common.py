@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 16
     """Cuts Arrow batches so that one piece holds about ``most_bytes`` of a binary column (one row at least)."""
     for batch in batches:
         start, held = 0, 0
-        for i, length in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
+        for i, length in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
             if i > start and held + (length or 0) > most_bytes:
                 yield batch.slice(start, i - start)
                 start, held = i, 0

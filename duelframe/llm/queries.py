@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from duelframe.llm.common import table
+from duelframe.llm.common import remainder, table
+from duelframe.llm.quality_fm import score_quality, train_quality
+from duelframe.llm.toxicity_mil import score_toxicity, train_toxicity
 from duelframe.llm.url_rules import judge_urls
 
 URL_RULES = [
@@ -16,14 +19,32 @@ URL_RULES = [
 ]
 
 
+def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), remainder("doc_id", 3) == 1
+    model = train_quality(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = score_quality(docs, model, ["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), remainder("doc_id", 4) == 2
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = score_toxicity(docs, model, ["doc_id"])
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_sentences", "offending",
+    )
+
+
 QUERIES = {
+    "op3_quality_fm": op3_quality_fm,
     "op7_url_rules": op7_url_rules,
+    "op10_toxicity_mil": op10_toxicity_mil,
 }
 
 SQL = {
