@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from duelframe.llm.common import remainder, table
 from duelframe.llm.quality_fm import score_quality, train_quality
+from duelframe.llm.simhash_trie import simhash_components
 from duelframe.llm.toxicity_mil import score_toxicity, train_toxicity
 from duelframe.llm.url_rules import judge_urls
 
@@ -26,6 +27,10 @@ def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -43,6 +48,7 @@ def op10_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_quality_fm": op3_quality_fm,
+    "op5_simhash_trie": op5_simhash_trie,
     "op7_url_rules": op7_url_rules,
     "op10_toxicity_mil": op10_toxicity_mil,
 }
