@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelframe.llm.common import remainder, table
+from duelframe.llm.embedding_tiles import link_embeddings
 from duelframe.llm.quality_fm import score_quality, train_quality
 from duelframe.llm.simhash_trie import simhash_components
 from duelframe.llm.toxicity_mil import score_toxicity, train_toxicity
@@ -37,6 +38,10 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_embedding_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), remainder("doc_id", 4) == 2
     model = train_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -50,6 +55,7 @@ QUERIES = {
     "op3_quality_fm": op3_quality_fm,
     "op5_simhash_trie": op5_simhash_trie,
     "op7_url_rules": op7_url_rules,
+    "op9_embedding_tiles": op9_embedding_tiles,
     "op10_toxicity_mil": op10_toxicity_mil,
 }
 
