@@ -11,6 +11,7 @@ from duelframe.llm.quality_fm import score_quality, train_quality
 from duelframe.llm.simhash_trie import simhash_components
 from duelframe.llm.toxicity_mil import score_toxicity, train_toxicity
 from duelframe.llm.url_rules import judge_urls
+from duelframe.llm.warc import archive_round_trip
 
 URL_RULES = [
     ("com", "/", "allow"),
@@ -28,6 +29,10 @@ def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ def op10_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_quality_fm": op3_quality_fm,
+    "op4_warc_salvage": op4_warc_salvage,
     "op5_simhash_trie": op5_simhash_trie,
     "op7_url_rules": op7_url_rules,
     "op9_embedding_tiles": op9_embedding_tiles,
@@ -60,6 +66,15 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_warc_salvage": """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages
+), h AS (SELECT d, max(page_id) AS head, count(*) AS k FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN k > 1 AND page_id IS DISTINCT FROM head THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN k > 1 AND page_id IS DISTINCT FROM head THEN head END AS refers_to
+FROM p LEFT JOIN h USING (d)
+""",
     "op7_url_rules": """
 WITH cut AS (
   SELECT page_id,
