@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from duelframe.llm.common import remainder, table
 from duelframe.llm.embedding_tiles import link_embeddings
+from duelframe.llm.line_dedup import dedup_lines
 from duelframe.llm.quality_fm import score_quality, train_quality
 from duelframe.llm.simhash_trie import simhash_components
+from duelframe.llm.spaced_seeds import find_overlaps
 from duelframe.llm.toxicity_mil import score_toxicity, train_toxicity
 from duelframe.llm.url_rules import judge_urls
 from duelframe.llm.warc import archive_round_trip
@@ -37,12 +39,23 @@ def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "compared", "matched")
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = dedup_lines(table(spark, sf_dir, "documents"))
+    lines = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, r: n + r["last"] - r["first"] + 1)
+    return cleaned.select("doc_id", "n_lines", lines.alias("n_removed"), "removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_embedding_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_embeddings(table(spark, sf_dir, "embeddings"))
 
@@ -60,7 +73,9 @@ QUERIES = {
     "op3_quality_fm": op3_quality_fm,
     "op4_warc_salvage": op4_warc_salvage,
     "op5_simhash_trie": op5_simhash_trie,
+    "op6_spaced_seeds": op6_spaced_seeds,
     "op7_url_rules": op7_url_rules,
+    "op8_line_dedup": op8_line_dedup,
     "op9_embedding_tiles": op9_embedding_tiles,
     "op10_toxicity_mil": op10_toxicity_mil,
 }
