@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duelframe.llm.byte_bpe import decode, encode
 from duelframe.llm.common import remainder, table
 from duelframe.llm.embedding_tiles import link_embeddings
 from duelframe.llm.line_dedup import dedup_lines
@@ -24,6 +26,16 @@ URL_RULES = [
 ]
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, ["doc_id"])
+    return encoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(decode(F.col("ids"), vocabulary), 256).alias("decoded_sha256"),
+    )
+
+
 def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), remainder("doc_id", 3) == 1
     model = train_quality(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -70,6 +82,7 @@ def op10_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op3_quality_fm": op3_quality_fm,
     "op4_warc_salvage": op4_warc_salvage,
     "op5_simhash_trie": op5_simhash_trie,
