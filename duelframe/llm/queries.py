@@ -10,6 +10,7 @@ from duelframe.llm.byte_bpe import decode, encode
 from duelframe.llm.common import remainder, table
 from duelframe.llm.embedding_tiles import link_embeddings
 from duelframe.llm.line_dedup import dedup_lines
+from duelframe.llm.ngram_trie import score_corpus, train_trie
 from duelframe.llm.quality_fm import score_quality, train_quality
 from duelframe.llm.simhash_trie import simhash_components
 from duelframe.llm.spaced_seeds import find_overlaps
@@ -36,6 +37,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = train_trie(table(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0)
+    return score_corpus(model).select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.vocabulary.tokens).cast("bigint").alias("train_tokens"), "base_score", "score",
+    )
+
+
 def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), remainder("doc_id", 3) == 1
     model = train_quality(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -83,6 +92,7 @@ def op10_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_ngram_trie": op2_ngram_trie,
     "op3_quality_fm": op3_quality_fm,
     "op4_warc_salvage": op4_warc_salvage,
     "op5_simhash_trie": op5_simhash_trie,
