@@ -2,16 +2,65 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from duelframe.llm.common import shared_folder, table
+from duelframe.llm.byte_bpe import decode, encode
+from duelframe.llm.common import remainder, shared_folder, table
+from duelframe.llm.line_dedup import dedup_lines
+from duelframe.llm.quality_fm import score_quality, train_quality
+from duelframe.llm.simhash_trie import drop_near_copies
+from duelframe.llm.spaced_seeds import clean_documents
 
-STAGES: list = []
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a quality score of 0.5 or more."""
+    model = train_quality(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
+    return score_quality(docs, model, docs.columns).filter("score >= 0.5").select(*docs.columns)
+
+
+def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeats of line runs go, and documents of which they leave no word; n_chars follows the text."""
+    cleaned = dedup_lines(docs)
+    cleaned = cleaned.filter((F.size("removed") == 0) | F.col("text").rlike(r"[^ \t-\r]"))
+    n_chars = F.when(F.size("removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return drop_near_copies(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark text is found."""
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds ids, their number and whether decoding them gives the text."""
+    vocabulary = public_tokenizers.path(VOCABULARY)
+    encoded = encode(docs, vocabulary, public_tokenizers.PATTERN, docs.columns)
+    same = decode(F.col("ids"), vocabulary) == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return encoded.select(*docs.columns, "ids", F.size("ids").cast("bigint").alias("n_tokens"), same.alias("round_trip"))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("line_dedup", cut_lines),
+    ("near_copies", drop_copies),
+    ("decontamination", decontaminate),
+    ("byte_bpe", tokenize),
+]
+#: The first stage is a trained model, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents."""
+    """Applies STAGES to documents; a stage's rows are in the shared folder before the next one begins."""
     docs = table(spark, sf_dir, "documents")
     folder = shared_folder(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES):
