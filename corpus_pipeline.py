@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelframe.llm.byte_bpe import decode, encode
-from duelframe.llm.common import remainder, shared_folder, table
+from duelframe.llm.common import fresh_name, remainder, shared_folder, table
 from duelframe.llm.line_dedup import dedup_lines
 from duelframe.llm.quality_fm import score_quality, train_quality
 from duelframe.llm.simhash_trie import drop_near_copies
@@ -19,7 +19,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of 0.5 or more."""
     model = train_quality(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
-    return score_quality(docs, model, docs.columns).filter("score >= 0.5").select(*docs.columns)
+    score = fresh_name(docs.columns)
+    return score_quality(docs, model, docs.columns, score).filter(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +42,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds ids, their number and whether decoding them gives the text."""
+    """Adds ids, n_tokens and round_trip (decoding gives the text); columns of these names are replaced."""
     vocabulary = public_tokenizers.path(VOCABULARY)
-    encoded = encode(docs, vocabulary, public_tokenizers.PATTERN, docs.columns)
+    kept = [c for c in docs.columns if c.lower() not in ("ids", "n_tokens", "round_trip")]
+    encoded = encode(docs, vocabulary, public_tokenizers.PATTERN, kept)
     same = decode(F.col("ids"), vocabulary) == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return encoded.select(*docs.columns, "ids", F.size("ids").cast("bigint").alias("n_tokens"), same.alias("round_trip"))
+    return encoded.select(*kept, "ids", F.size("ids").cast("bigint").alias("n_tokens"), same.alias("round_trip"))
 
 
 STAGES = [

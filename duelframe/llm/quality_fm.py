@@ -150,8 +150,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, learn: Column, rows_per_cl
     return fit_machine([np.array(r["buckets"], np.int64) for r in table], np.array([r["stats"] for r in table]), y)
 
 
-def score_quality(docs: DataFrame, model: FactorisationMachine, carry: list[str]) -> DataFrame:
-    """The columns ``carry`` and ``score``: the probability of good quality, for every row and whole text.
+def score_quality(docs: DataFrame, model: FactorisationMachine, carry: list[str], name: str = "score") -> DataFrame:
+    """The columns ``carry`` and one called ``name``: the probability of good quality, for every row and whole text.
 
     Null texts are scored as empty ones, null n_chars as 0. Neither language, source, id nor labels are read.
     """
@@ -163,4 +163,4 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, carry: list[str]
     given = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)), *_input(docs))
     types = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     scored = given.mapInArrow(rows, f"{types}, score double")
-    return scored.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)), "score")
+    return scored.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)), F.col("score").alias(name))
