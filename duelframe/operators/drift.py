@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import kolmogorov_tail
 from ..session import cut_lineage
-from .ordered import attach, exact_quantiles, prefix_sums, quantiles_of, spread_steps
+from .ordered import exact_quantiles, prefix_sums, quantiles_of, spread_steps
 
 # ---- fixed values ------------------------------------------------------------
 N_BINS, FLOOR_SHARE = 10, 1e-6
@@ -27,12 +27,12 @@ def _finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
 
 
-def value_sums(sides: DataFrame, keys: Sequence[str], n_keys: int | None) -> DataFrame:
+def value_sums(sides: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Train and live counts per (keys, value) with exact prefix sums."""
     finite = sides.filter(_finite(F.col("value")))
     one = lambda s: (F.col("side") == s).cast("long")
     return cut_lineage(
-        prefix_sums(finite, keys, "value", {"train": one("train"), "live": one("live")}, n_keys)
+        prefix_sums(finite, keys, "value", {"train": one("train"), "live": one("live")})
     )
 
 
@@ -45,7 +45,7 @@ def _share(n: Column, total: Column) -> Column:
 
 
 def psi(
-    sums: DataFrame, keys: Sequence[str], n_bins: int = N_BINS, n_keys: int | None = None
+    sums: DataFrame, keys: Sequence[str], n_bins: int = N_BINS
 ) -> DataFrame:
     """Population stability index with quantile bins of the training side.
 
@@ -60,7 +60,7 @@ def psi(
     )
     inner = F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
     # n_bins + 1 numbers per key
-    binned = attach(sums, edges, keys, n_keys, n_bins).withColumn(
+    binned = sums.join(edges, keys).withColumn(
         "_bin", F.size(F.filter(inner, lambda e: e <= F.col("value")))
     )
     per_bin = binned.groupBy(*keys, "_bin").agg(
@@ -84,11 +84,11 @@ def psi(
 
 
 def psi_discrete(sums: DataFrame, keys: Sequence[str], n_bins: int = N_BINS) -> DataFrame:
-    """Index per distinct value for features with few values, where ``psi`` is blind."""
+    """Index per distinct value; ``usable`` for features with few values, where ``psi`` is blind."""
     t, l = _share(F.col("train"), F.col("train_total")), _share(F.col("live"), F.col("live_total"))
     return sums.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_values"), F.sum((l - t) * F.ln(l / t)).alias("psi")
-    ).filter(F.col("n_values") <= n_bins)
+    ).withColumn("usable", F.col("n_values") <= n_bins)
 
 
 def ks_two_sample(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -105,22 +105,33 @@ def ks_two_sample(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def side_moments(sides: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean and population deviation per side."""
-    of = lambda s: F.when(F.col("side") == s, F.col("value"))
-    return sides.groupBy(*keys).agg(
-        *[f(of(s)).alias(f"{s}_{n}") for s in ("train", "live") for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
+def side_moments(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean and population deviation per side, from the counts per value."""
+    x = F.col("value").cast("double")
+
+    def parts(side: str) -> list[Column]:
+        n = F.col(side).cast("double")
+        mean = F.try_divide(F.sum(n * x), F.sum(n))
+        return [mean.alias(f"{side}_mean"), F.sum(n).alias(f"_{side}_n")]
+
+    means = sums.groupBy(*keys).agg(*parts("train"), *parts("live"))
+    apart = lambda s: F.sqrt(F.try_divide(
+        F.sum(F.col(s) * (x - F.col(f"{s}_mean")) * (x - F.col(f"{s}_mean"))), F.max(f"_{s}_n")
+    )).alias(f"{s}_std")
+    # Deviations are taken from the mean, so that large values lose no digits.
+    return sums.join(means, list(keys)).groupBy(*keys).agg(
+        F.max("train_mean").alias("train_mean"), apart("train"), F.max("live_mean").alias("live_mean"), apart("live")
     )
 
 
-def drift_report(sides: DataFrame, keys: Sequence[str] = ("feature",), n_keys: int | None = None) -> DataFrame:
+def drift_report(sides: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
     """Everything per feature, worst index first (missing counts as 0)."""
     keys = list(keys)
-    sums = value_sums(sides, keys, n_keys)
+    sums = value_sums(sides, keys)
     report = (
-        psi(sums, keys, n_keys=n_keys).withColumn("band", psi_band(F.col("psi")))
+        psi(sums, keys).withColumn("band", psi_band(F.col("psi")))
         .join(ks_two_sample(sums, keys), keys)
-        .join(side_moments(sides, keys), keys)
+        .join(side_moments(sums, keys), keys)
     )
     return report.orderBy(F.desc(F.coalesce(F.nanvl("psi", F.lit(0.0)), F.lit(0.0))), *keys)
 
@@ -136,7 +147,7 @@ def drift_summary(report: DataFrame, threshold: float = MODERATE) -> DataFrame:
     )
 
 
-def prediction_health(predictions: DataFrame, keys: Sequence[str], n_keys: int | None = None) -> DataFrame:
+def prediction_health(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Spread of predicted probabilities; a pile-up at one half is the alarm."""
     keys = list(keys)
     finite = predictions.filter(_finite(F.col("p")))
@@ -146,18 +157,18 @@ def prediction_health(predictions: DataFrame, keys: Sequence[str], n_keys: int |
         F.avg(near).alias("near_half"),
     )
     points = spread_steps(
-        exact_quantiles(finite, keys, "p", [1, 10, 19], 20, n_keys), keys, {1: "p05", 10: "median", 19: "p95"}
+        exact_quantiles(finite, keys, "p", [1, 10, 19], 20), keys, {1: "p05", 10: "median", 19: "p95"}
     )
     return moments.join(points, keys).withColumn(
         "degenerate", (F.col("near_half") > MAX_NEAR_HALF) | (F.col("std") < MIN_STD)
     )
 
 
-def latency_summary(samples: DataFrame, target: str = "target", n_targets: int | None = None) -> DataFrame:
+def latency_summary(samples: DataFrame, target: str = "target") -> DataFrame:
     """Percentiles and failures per target; only successful requests are timed."""
     good = samples.filter("ok")
     points = spread_steps(
-        exact_quantiles(good, [target], "ms", [50, 90, 99], 100, n_targets), [target],
+        exact_quantiles(good, [target], "ms", [50, 90, 99], 100), [target],
         {50: "p50_ms", 90: "p90_ms", 99: "p99_ms"},
     )
     counts = samples.groupBy(target).agg(
@@ -177,11 +188,6 @@ def targets_agree(samples: DataFrame) -> DataFrame:
     )
 
 
-def newest(df: DataFrame, time: str, tie: str, n: int) -> DataFrame:
-    """The newest rows: a top-n per task and a merge, never a full sort."""
-    return df.orderBy(F.desc(time), F.desc(tie)).limit(n)
-
-
 def live_feature_means(items: DataFrame, time: str, tie: Sequence[str], n: int = 500) -> DataFrame:
     """Mean per feature over the newest items; missing is 0, names come from the newest row."""
     recent = items.orderBy(F.desc(time), *[F.desc(t) for t in tie]).limit(n)
@@ -214,43 +220,48 @@ def latest_per(df: DataFrame, keys: Sequence[str], time: str, tie: str) -> DataF
 
 
 def windowed_psi(train: DataFrame, live: DataFrame, window: str, minimum: int = MIN_LIVE) -> DataFrame:
-    """Index of every live window against one fixed training distribution.
+    """Index of every live window against one fixed training distribution: ``psi`` per window.
 
-    The training side is reduced to its bins (at most ``N_BINS``) before it meets
-    the live rows.  Windows with too few values are left out, not measured.
+    The training side is reduced to one row (edges, shares per bin, number of values) before it meets the live
+    rows, which are reduced to counts per bin.  Windows with too few values are left out, not measured; without
+    training values nothing is.
     """
     base = train.filter(_finite(F.col("value"))).withColumn("_run", F.lit(0))
-    sums = cut_lineage(prefix_sums(base, ["_run"], "value", {"n": F.lit(1)}, 1))
+    sums = cut_lineage(prefix_sums(base, ["_run"], "value", {"n": F.lit(1)}))
     cuts = quantiles_of(sums, ["_run"], "value", range(N_BINS + 1), N_BINS)
-    edges = cut_lineage(
-        cuts.groupBy("_run").agg(F.array_sort(F.array_distinct(F.collect_list("quantile"))).alias("_edges"))
-    )
+    edges = cuts.groupBy("_run").agg(F.array_sort(F.array_distinct(F.collect_list("quantile"))).alias("_edges"))
+    known = sums.groupBy("_run").agg(F.count(F.lit(1)).alias("_values"), F.min("value").alias("_single"))
+    edges = cut_lineage(edges.join(known, "_run"))
     inner = F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
     place = lambda df: df.join(F.broadcast(edges), "_run").withColumn(  # noqa: E731 - one row
         "_bin", F.size(F.filter(inner, lambda e: e <= F.col("value")))
     )
-    shares = place(sums).groupBy("_run", "_bin").agg(
+    shares = place(sums).groupBy("_run", "_edges", "_values", "_bin").agg(
         F.sum("n").alias("_train"), F.max("n_total").alias("_train_total")
     )
-    per_bin = shares.groupBy("_run").agg(
-        F.map_from_entries(F.collect_list(F.struct("_bin", _share(F.col("_train"), F.col("_train_total"))))).alias("_share")
+    # At most N_BINS entries; a bin without training rows is missing and counts as empty.
+    one = shares.groupBy("_run", "_edges", "_values").agg(
+        F.map_from_entries(F.collect_list(F.struct("_bin", "_train"))).alias("_train"), F.max("_train_total").alias("_train_total")
     )
+    outside = F.count_if(F.col("value") != F.col("_single"))
     counted = (
         place(live.filter(_finite(F.col("value"))).withColumn("_run", F.lit(0)))
-        .groupBy("_run", window, "_bin").agg(F.count(F.lit(1)).alias("_live"))
-        .groupBy("_run", window).agg(
+        .groupBy(window, "_bin").agg(F.count(F.lit(1)).alias("_live"), outside.alias("_outside"))
+        .groupBy(window).agg(
             F.map_from_entries(F.collect_list(F.struct("_bin", "_live"))).alias("_counts"),
-            F.sum("_live").alias("n_live"),
+            F.sum("_live").alias("n_live"), F.sum("_outside").alias("_outside"),
         )
         .filter(F.col("n_live") >= minimum)
-        .join(F.broadcast(per_bin), "_run")
+        .withColumn("_run", F.lit(0)).join(F.broadcast(one), "_run")
     )
-    terms = F.transform(
-        F.map_keys("_share"),
-        lambda b: F.struct(
-            F.try_element_at("_share", b).alias("t"),
-            _share(F.coalesce(F.try_element_at("_counts", b), F.lit(0)), F.col("n_live")).alias("l"),
-        ),
+    at = lambda counts, b: F.coalesce(F.try_element_at(counts, b), F.lit(0).cast("long"))
+    terms = F.transform(F.sequence(F.lit(0), F.size(inner)), lambda b: F.struct(
+        _share(at("_train", b), F.col("_train_total")).alias("t"), _share(at("_counts", b), F.col("n_live")).alias("l"),
+    ))
+    usual = F.aggregate(terms, F.lit(0.0), lambda a, x: a + (x["l"] - x["t"]) * F.ln(x["l"] / x["t"]))
+    value = (
+        F.when(F.size("_edges") >= 3, usual)
+        .when(F.col("_values") == 1, F.lit(10.0) * F.col("_outside") / F.col("n_live"))
+        .otherwise(F.lit(0.0))
     )
-    value = F.aggregate(terms, F.lit(0.0), lambda a, x: a + (x["l"] - x["t"]) * F.ln(x["l"] / x["t"]))
     return counted.select(window, "n_live", value.alias("psi")).withColumn("band", psi_band(F.col("psi")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .ordered import attach, prefix_sums, quantiles_of
+from .ordered import prefix_sums, quantiles_of
 from .pairs import GROUP
 
 N_BINS = 10
@@ -28,11 +28,11 @@ def mirrored_predictions(predicted: DataFrame) -> DataFrame:
     ).drop("p", "label").withColumnsRenamed({"_p": "p", "_y": "label"})
 
 
-def score_sums(predictions: DataFrame, keys: Sequence[str], n_keys: int | None = None) -> DataFrame:
+def score_sums(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts per distinct probability with exact prefix sums: base of AUC and calibration."""
     return cut_lineage(prefix_sums(
         predictions, keys, "p",
-        {"n": F.lit(1), "pos": F.col("label"), "neg": F.lit(1) - F.col("label")}, n_keys,
+        {"n": F.lit(1), "pos": F.col("label"), "neg": F.lit(1) - F.col("label")},
     ))
 
 
@@ -51,13 +51,13 @@ def pairwise_metrics(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def calibration(
-    sums: DataFrame, keys: Sequence[str], n_bins: int = N_BINS, n_keys: int | None = None
+    sums: DataFrame, keys: Sequence[str], n_bins: int = N_BINS
 ) -> DataFrame:
     """Reliability per quantile bin; the bin is the number of inner edges strictly below p."""
     inner = quantiles_of(sums, keys, "p", range(1, n_bins), n_bins)
     edges = inner.groupBy(*keys).agg(F.array_sort(F.collect_list("quantile")).alias("_edges"))
     # n_bins - 1 numbers per key
-    binned = attach(sums, edges, keys, n_keys, n_bins).withColumn(
+    binned = sums.join(edges, list(keys)).withColumn(
         "bin", F.size(F.filter("_edges", lambda e: e < F.col("p"))).cast("long")
     )
     n, p = F.col("n").cast("double"), F.col("p")

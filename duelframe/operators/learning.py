@@ -83,7 +83,7 @@ def metrics(predicted: DataFrame, model: str, keys: Sequence[str] = ()) -> DataF
     """Accuracy, AUC and Brier score of mirrored predictions."""
     tagged = predicted.select(*keys, F.lit(model).alias("model"), F.round("p", 12).alias("p"), "label")
     columns = ["model", *keys]
-    return evaluate.pairwise_metrics(evaluate.score_sums(tagged, columns, n_keys=N_FOLDS), columns)
+    return evaluate.pairwise_metrics(evaluate.score_sums(tagged, columns), columns)
 
 
 def cross_validate(rows: DataFrame, names: Sequence[str], n_folds: int = N_FOLDS) -> DataFrame:

@@ -43,14 +43,18 @@ def _signed(x: Column) -> Column:
 
 
 def promotion_verdict(candidates: DataFrame) -> DataFrame:
-    """Verdict per challenger against the single champion (column ``role``)."""
-    champion = candidates.filter("role = 'champion'").select(
-        F.lit(1).alias("_one"), F.col("holdout_accuracy").alias("_h"), F.col("user_accuracy").alias("_u")
+    """Verdict per challenger against the single champion (column ``role``).
+
+    Without a champion, or with several, and where an accuracy is missing, every challenger is held.
+    """
+    champion = candidates.agg(
+        F.lit(1).alias("_one"), F.count_if(F.col("role") == "champion").alias("_champions"),
+        *[F.max(F.when(F.col("role") == "champion", F.col(c))).alias(n) for c, n in (("holdout_accuracy", "_h"), ("user_accuracy", "_u"))],
     )
-    # One champion by contract; ``registry_check`` measures it.
+    # ``champion`` is one row.
     judged = (
         candidates.filter("role <> 'champion'").withColumn("_one", F.lit(1))
-        .join(F.broadcast(champion.limit(1)), "_one")
+        .join(F.broadcast(champion), "_one")
         .withColumns({
             "holdout_gain": F.col("holdout_accuracy") - F.col("_h"),
             "user_gain": F.col("user_accuracy") - F.col("_u"),
@@ -59,8 +63,11 @@ def promotion_verdict(candidates: DataFrame) -> DataFrame:
     h, u, n = F.col("holdout_gain"), F.col("user_gain"), F.col("n_user_labels")
     enough, wins_h, wins_u = F.coalesce(n, F.lit(0)) >= MIN_USER_LABELS, h >= MIN_HOLDOUT_GAIN, u > MIN_USER_GAIN
     verdict = (
-        F.when(F.col("antisymmetry") > TOLERANCE, "REJECTED: order dependent")
+        F.when(F.col("_champions") == 0, "HELD: no champion")
+        .when(F.col("_champions") > 1, "HELD: several champions")
+        .when(F.col("antisymmetry") > TOLERANCE, "REJECTED: order dependent")
         .when(~enough, "HELD: too few user labels")
+        .when(h.isNull() | u.isNull(), "HELD: accuracy missing")
         .when(wins_h & wins_u, "PROMOTE")
         .when(wins_h, "REJECTED: no user gain")
         .when(wins_u, "REJECTED: no holdout gain")
@@ -68,11 +75,13 @@ def promotion_verdict(candidates: DataFrame) -> DataFrame:
     )
     decided = judged.withColumns({"verdict": verdict, "promote": verdict == "PROMOTE"})
     why = (
-        F.when(F.col("verdict").startswith("HELD"), F.concat(n.cast("string"), F.lit(f" of {MIN_USER_LABELS} labels")))
+        F.when(F.col("verdict").contains("champion"), F.concat(F.col("_champions").cast("string"), F.lit(" champions")))
+        .when(F.col("verdict").contains("missing"), F.lit("an accuracy is missing"))
+        .when(F.col("verdict").startswith("HELD"), F.concat(n.cast("string"), F.lit(f" of {MIN_USER_LABELS} labels")))
         .when(F.col("verdict").contains("order"), F.lit(f"antisymmetry above {TOLERANCE:.0e}"))
         .otherwise(F.concat(F.lit("holdout "), _signed(h), F.lit(", user "), _signed(u)))
     )
-    return decided.withColumn("reason", why).drop("_one", "_h", "_u")
+    return decided.withColumn("reason", why).drop("_one", "_h", "_u", "_champions")
 
 
 def registry_check(registry: DataFrame) -> DataFrame:
@@ -137,10 +146,11 @@ def leakage_audit(split_pairs: DataFrame, diffs: DataFrame, mirrored: DataFrame,
     texts = diffs.groupBy("headline_a", "headline_b").agg(
         F.countDistinct(F.array_join(F.transform("d", lambda v: v.cast("string")), ",")).alias("n")
     ).agg(F.max("n").alias("n"))
-    sums = mirrored.agg(*[F.sum(F.get("d", F.lit(i))).alias(f"s{i}") for i in range(len(names))])
-    negation = sums.select(
-        F.greatest(*[F.abs(F.coalesce(f"s{i}", F.lit(0.0))) for i in range(len(names))]).alias("left")
-    )
+    # Both directions of a pair, cell by cell; a missing direction counts as infinitely far.
+    side = lambda s: F.max(F.when(F.col("sign") == s, F.col("d")))
+    both = mirrored.groupBy("test_id", "image_id", "headline_a", "headline_b").agg(side(1).alias("_to"), side(-1).alias("_fro"))
+    left = F.array_max(F.zip_with("_to", "_fro", lambda a, b: F.abs(a + b)))
+    negation = both.agg(F.max(F.coalesce(left, F.lit(float("inf")))).alias("left"))
     one_row = spark.range(1)
     share = F.col("n_held").cast("double") / F.col("n")
     rows = [
@@ -153,7 +163,7 @@ def leakage_audit(split_pairs: DataFrame, diffs: DataFrame, mirrored: DataFrame,
         check_row(totals, "holdout share 10-30 percent", share.between(0.10, 0.30), F.round(share, 6)),
         check_row(totals, "locked subset not loaded", F.col("locked") == 0, F.col("locked")),
         check_row(totals, "labels balanced", (F.col("balance") > 0.4) & (F.col("balance") < 0.6), F.round("balance", 6)),
-        check_row(negation, "mirror is the exact negation", F.col("left") < 1e-6, F.round("left", 6)),
+        check_row(negation, "mirror is the exact negation", F.col("left") == 0, F.col("left")),
     ]
     out = rows[0]
     for r in rows[1:]:

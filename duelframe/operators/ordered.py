@@ -17,14 +17,6 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 N_RANGES = 64
-BROADCAST_BYTES = 8 << 20
-
-
-def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], n_keys: int | None, width: int):
-    """Join on the keys; broadcast only when the stated bound on keys is small enough."""
-    if n_keys is not None and n_keys * width * 16 <= BROADCAST_BYTES:
-        small = F.broadcast(small)
-    return df.join(small, list(keys))
 
 
 def prefix_sums(
@@ -32,14 +24,12 @@ def prefix_sums(
     keys: Sequence[str],
     value: str,
     sums: dict[str, Column],
-    n_keys: int | None = None,
     n_ranges: int = N_RANGES,
     range_on: Column | None = None,
 ) -> DataFrame:
     """Per (keys, value): each sum, ``<sum>_before`` and ``<sum>_total`` of its key.
 
-    ``n_keys`` is a bound on the number of distinct keys where the caller has one
-    (feature names, models, a single run).  ``range_on``: a number that rises with
+    ``range_on``: a number that rises with
     ``value``, for values the sketch cannot take.
     """
     at = F.col(value) if range_on is None else range_on
@@ -53,7 +43,7 @@ def prefix_sums(
     edges = per_value.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(at, cuts, 10000)).alias("_edges")
     )
-    ranged = attach(per_value, edges, keys, n_keys, n_ranges).select(
+    ranged = per_value.join(edges, keys).select(
         *keys,
         value,
         *names,
@@ -74,7 +64,7 @@ def prefix_sums(
         *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}_off") for n in names],
         *[F.sum(n).over(every).alias(f"{n}_total") for n in names],
     )
-    joined = attach(ranked, offsets, [*keys, "_range"], n_keys, n_ranges)
+    joined = ranked.join(offsets, [*keys, "_range"])
     return joined.select(
         *keys,
         value,
@@ -123,9 +113,8 @@ def exact_quantiles(
     value: str,
     steps: Sequence[int],
     parts: int = 100,
-    n_keys: int | None = None,
 ) -> DataFrame:
-    sums = prefix_sums(df, keys, value, {"n": F.lit(1)}, n_keys)
+    sums = prefix_sums(df, keys, value, {"n": F.lit(1)})
     return quantiles_of(sums, keys, value, steps, parts)
 
 

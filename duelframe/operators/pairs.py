@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import hash_number, two_proportion_z, two_sided_p
+from ..session import cut_lineage
 from .ordered import exact_quantiles, number_within, spread_steps
 
 GROUP = ("test_id", "image_id")
@@ -80,7 +81,8 @@ def build_pairs(
     """Candidate pairs inside (test, image); ``a`` is the smaller headline."""
     if not same_image:
         raise ValueError("pairs across images measure image and text together")
-    numbered = number_within(arms, GROUP, ["headline"], hash_number(F.col("headline")))
+    # Read three times below.
+    numbered = cut_lineage(number_within(arms, GROUP, ["headline"], hash_number(F.col("headline"))))
     groups = numbered.filter("idx = 0").select(*GROUP, F.col("n_in_key").alias("n_arms"))
     side = F.struct("headline", "clicks", "impressions", "ctr", "created_at", "subset")
     first = numbered.select(*GROUP, F.col("idx").alias("i"), side.alias("x"))
@@ -141,7 +143,7 @@ def alpha_sweep(pairs: DataFrame, alphas: tuple[float, ...] = ALPHAS) -> DataFra
         F.sum(F.when(keep, F.col("_label")).otherwise(0)).cast("long").alias("positive"),
     )
     medians = spread_steps(
-        exact_quantiles(tested.filter(keep), ["alpha"], "_least", [1], 2, n_keys=len(alphas)),
+        exact_quantiles(tested.filter(keep), ["alpha"], "_least", [1], 2),
         ["alpha"],
         {1: "median_min_impressions"},
     )

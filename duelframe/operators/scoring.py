@@ -32,6 +32,8 @@ class LinearModel:
             raise ValueError("a model needs a version and its feature names")
         if not len(self.features) == len(self.coef) == len(self.scale):
             raise ValueError("features, coefficients and scales differ in length")
+        if len(set(self.features)) < len(self.features):
+            raise ValueError("a feature has several coefficients")
         unknown = [f for f in self.features if f not in FEATURE_NAMES]
         if unknown:
             raise ValueError(f"features the extractor does not know: {unknown}")
@@ -58,6 +60,8 @@ class LinearModel:
 def model_from_frame(weights: DataFrame, **extra) -> LinearModel:
     """A model from its weight table (one row per feature of the specification)."""
     rows = weights.orderBy("pos").limit(len(FEATURE_NAMES) + 1).collect()
+    if len(rows) > len(FEATURE_NAMES):
+        raise ValueError(f"more than {len(FEATURE_NAMES)} coefficients")
     versions = {r["version"] for r in rows}
     if len(versions) != 1:
         raise ValueError(f"expected the weights of one model, found {sorted(versions)}")

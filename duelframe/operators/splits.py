@@ -50,7 +50,7 @@ def holdout_tests(pairs: DataFrame, fraction: float = HOLDOUT_FRACTION) -> DataF
     """
     tests = pairs.groupBy("test_id").agg(F.min("created_at").alias("first_at"))
     tests = cut_lineage(tests.filter(F.col("first_at").isNotNull()).withColumn("_run", F.lit(0)))
-    dates = prefix_sums(tests, ["_run"], "first_at", {"n": F.lit(1)}, n_keys=1)
+    dates = prefix_sums(tests, ["_run"], "first_at", {"n": F.lit(1)})
     wanted = F.greatest(F.bround(F.col("n_total") * F.lit(fraction)).cast("long"), F.lit(1).cast("long"))
     newer = F.col("n_total") - F.col("n_before") - F.col("n")
     cut = dates.filter((newer < wanted) & (newer + F.col("n") >= wanted)).select(
@@ -60,7 +60,7 @@ def holdout_tests(pairs: DataFrame, fraction: float = HOLDOUT_FRACTION) -> DataF
     placed = cut_lineage(tests.join(F.broadcast(cut), "_run"))
     edge = placed.filter(F.col("first_at") == F.col("_cut"))
     ranks = prefix_sums(
-        edge, ["_run", "_need", "_cut"], "test_id", {"n": F.lit(1)}, n_keys=1,
+        edge, ["_run", "_need", "_cut"], "test_id", {"n": F.lit(1)},
         range_on=_range_key(edge, "test_id"),
     )
     on_edge = ranks.select(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import WHITESPACE_CLASS
+
 MIN_DF = 3
 
 
@@ -19,7 +21,7 @@ def word_terms(text: Column) -> Column:
 
 def char_terms(text: Column) -> Column:
     """Character 3-5-grams inside space-padded words; a short word counts once."""
-    words = F.filter(F.split(F.lower(text), "\\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(text), f"[{WHITESPACE_CLASS}]+"), lambda w: w != "")
 
     def grams(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
@@ -52,9 +54,13 @@ def term_counts(texts: DataFrame, keys: Sequence[str], text: str, kinds: Sequenc
 
 
 def vocabulary(texts: DataFrame, text: str, min_df: int = MIN_DF) -> DataFrame:
-    """Document frequency per word term: distinct inside the row, one shuffle."""
-    terms = texts.select(F.explode(F.array_distinct(word_terms(F.col(text)))).alias("term"))
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
+    """Document frequency per word and character term: distinct inside the row, one shuffle."""
+    found = F.array(*(
+        F.struct(F.lit(kind).alias("kind"), F.array_distinct(terms(F.col(text))).alias("terms"))
+        for kind, terms in (("word", word_terms), ("char", char_terms))
+    ))
+    rows = texts.select(F.inline(found)).select("kind", F.explode("terms").alias("term"))
+    return rows.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
 
 
 def pair_sides(pairs: DataFrame) -> DataFrame:

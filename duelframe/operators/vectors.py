@@ -33,7 +33,7 @@ def feature_support(diffs: DataFrame, names: Sequence[str] = FEATURE_NAMES) -> D
     wide = diffs.agg(*[
         F.avg((F.abs(F.get("d", F.lit(i))) > 0).cast("double")).alias(n) for i, n in enumerate(names)
     ])
-    return long_features(wide, [], names).withColumnRenamed("value", "support")
+    return long_features(wide, [], names).withColumnRenamed("value", "support").orderBy("support", "pos")
 
 
 def kept_features(support: DataFrame, minimum: float = MIN_SUPPORT) -> list[str]:

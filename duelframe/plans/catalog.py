@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_TOPICS = ("pairs", "text", "ranking", "evaluation", "monitoring", "lifecycle", "learning", "streams")
+_TOPICS = ("pairs", "text", "ranking", "evaluation", "monitoring", "lifecycle", "learning", "streams", "sources")
 
 
 def _merged(kind: str, attribute: str) -> dict:

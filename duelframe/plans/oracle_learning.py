@@ -7,7 +7,7 @@ texts_ as (select headline, count(*) as occurrences
           from (select headline_a as headline from labelled union all select headline_b from labelled) group by 1),
 words as (select headline, regexp_extract_all(lower(headline), '[\\p{L}\\p{N}_]{2,}') as w from texts_),
 word_terms as (select headline, 'word' as kind, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from words),
-padded as (select headline, ' ' || unnest(list_filter(regexp_split_to_array(lower(headline), '\\s+'), lambda x: x <> '')) || ' ' as w from texts_),
+padded as (select headline, ' ' || unnest(list_filter(regexp_split_to_array(lower(headline), '[\\x{9}-\\x{D}\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda x: x <> '')) || ' ' as w from texts_),
 char_terms as (select headline, 'char' as kind, substr(w, i, n) as term
                from (select headline, w, n, unnest(range(1, greatest(length(w) - n + 1, 1) + 1)) as i
                      from padded, (values (3), (4), (5)) s(n) where n = 3 or n - 1 < length(w))),

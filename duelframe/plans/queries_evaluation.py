@@ -23,20 +23,20 @@ def _round_all(df, skip=()):
 
 def predictions(spark, sf_dir):
     """(test_id, fold, run, p, label), every pair in both directions."""
-    scored = predict_pairs(labelled_pairs(spark, sf_dir)).select("test_id", "p", "label")
+    scored = predict_pairs(cut_lineage(labelled_pairs(spark, sf_dir))).select("test_id", "p", "label")
     return cut_lineage(E.mirrored_predictions(splits.with_fold(scored)).withColumn("run", F.lit("all")))
 
 
 def _fold_metrics(spark, sf_dir):
-    return E.pairwise_metrics(E.score_sums(predictions(spark, sf_dir), ["fold"], splits.N_FOLDS), ["fold"])
+    return E.pairwise_metrics(E.score_sums(predictions(spark, sf_dir), ["fold"]), ["fold"])
 
 
 def _pairwise(spark, sf_dir):
-    return _round_all(E.pairwise_metrics(E.score_sums(predictions(spark, sf_dir), ["run"], 1), ["run"]))
+    return _round_all(E.pairwise_metrics(E.score_sums(predictions(spark, sf_dir), ["run"]), ["run"]))
 
 
 def _calibration(spark, sf_dir):
-    return _round_all(E.calibration(E.score_sums(predictions(spark, sf_dir), ["run"], 1), ["run"], n_keys=1))
+    return _round_all(E.calibration(E.score_sums(predictions(spark, sf_dir), ["run"]), ["run"]))
 
 
 def _cv_summary(spark, sf_dir):
@@ -45,7 +45,7 @@ def _cv_summary(spark, sf_dir):
 
 
 def choices(spark, sf_dir):
-    a = arms(spark, sf_dir)
+    a = cut_lineage(arms(spark, sf_dir))
     return E.group_choices(a.join(headline_strengths(a), "headline"))
 
 
@@ -58,7 +58,7 @@ def _run_compare(spark, sf_dir):
     """All predictions against the confident half, fold by fold."""
     preds = predictions(spark, sf_dir)
     long = lambda df: _round_all(E.metrics_long(
-        E.pairwise_metrics(E.score_sums(df, ["fold"], splits.N_FOLDS), ["fold"]), ["fold"], _METRICS
+        E.pairwise_metrics(E.score_sums(df, ["fold"]), ["fold"]), ["fold"], _METRICS
     ))
     return _round_all(E.run_compare(long(preds), long(preds.filter("p >= 0.5")), ["fold"]))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.features import FEATURE_NAMES, long_features, with_features
+from ..functions.features import long_features, with_features
 from ..functions.stats import logistic, rounded
 from ..operators import activity as A
 from ..operators import drift as D
@@ -13,8 +13,6 @@ from ..session import cut_lineage
 from ..sources import tables
 from .queries_evaluation import _round_all
 
-N_FEATURES = len(FEATURE_NAMES)
-
 
 def feature_sides(spark, sf_dir):
     """(feature, value, side): English documents train, the others are live."""
@@ -25,15 +23,15 @@ def feature_sides(spark, sf_dir):
 
 
 def _sums(spark, sf_dir):
-    return D.value_sums(feature_sides(spark, sf_dir), ["feature"], N_FEATURES)
+    return D.value_sums(feature_sides(spark, sf_dir), ["feature"])
 
 
 def _psi(spark, sf_dir):
-    return _round_all(D.psi(_sums(spark, sf_dir), ["feature"], n_keys=N_FEATURES).withColumn("band", D.psi_band(F.col("psi"))))
+    return _round_all(D.psi(_sums(spark, sf_dir), ["feature"]).withColumn("band", D.psi_band(F.col("psi"))))
 
 
 def _report(spark, sf_dir):
-    return D.drift_report(cut_lineage(feature_sides(spark, sf_dir)), ["feature"], N_FEATURES)
+    return D.drift_report(feature_sides(spark, sf_dir), ["feature"])
 
 
 def _drift_by_window(spark, sf_dir):
@@ -46,7 +44,7 @@ def _drift_by_window(spark, sf_dir):
 def _health(spark, sf_dir):
     scored = R.score_sets(tables.lines(spark, sf_dir).drop("doc_id"))
     p = R.pairwise_matrix(scored).select(F.lit("all").alias("run"), F.round("p", 12).alias("p"))
-    return _round_all(D.prediction_health(cut_lineage(p), ["run"], 1))
+    return _round_all(D.prediction_health(cut_lineage(p), ["run"]))
 
 
 def _health_by_day(spark, sf_dir):
@@ -130,6 +128,9 @@ QUERIES = {
     "funnel_24h": _funnel,
     "funnel_by_day": _funnel_by_day,
     "rate_limit": lambda s, d: A.rate_windows(tables.activity(s, d)).select("event_id", "user_id", "n_recent", "allowed"),
+    "rate_limit_daily": lambda s, d: A.rate_windows(tables.activity(s, d), seconds=86400, limit=3, slice_seconds=604800).select(
+        "event_id", "user_id", "n_recent", "allowed"
+    ),
     "user_sessions": lambda s, d: A.user_sessions(tables.activity(s, d)),
     "activity_sessions": _activity_sessions,
     "recent_samples": _recent_samples,

@@ -10,6 +10,7 @@ from ..functions.lexicons import DEFAULT_LEXICONS as LEX
 from ..functions.phrases import PHRASES
 from ..functions.stats import rounded
 from ..operators import tfidf, vectors
+from ..session import cut_lineage
 from ..sources import tables
 from .oracle_text import FAMILIES
 from .queries_pairs import labelled_pairs
@@ -32,7 +33,8 @@ def _family(names):
 
 
 def diffs(spark, sf_dir):
-    return vectors.difference_vectors(labelled_pairs(spark, sf_dir))
+    """Differences of the labelled pairs, which are stored once: their texts are read twice more."""
+    return vectors.difference_vectors(cut_lineage(labelled_pairs(spark, sf_dir)))
 
 
 def _feature_diff_vectors(spark, sf_dir):
@@ -47,7 +49,7 @@ def _feature_support(spark, sf_dir):
 
 
 def _excluded(spark, sf_dir):
-    support = vectors.feature_support(diffs(spark, sf_dir))
+    support = cut_lineage(vectors.feature_support(diffs(spark, sf_dir)))
     every = support.select("feature")
     return every.exceptAll(support.filter(F.col("support") >= vectors.MIN_SUPPORT).select("feature"))
 

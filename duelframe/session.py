@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,13 +23,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the folder named by ``spark.checkpoint.dir``.
+def _shared_root(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where no folder is configured and Spark runs inside this process
-    (tests), a temporary one is set.
+    Only where none is configured and Spark runs inside this process (tests), a temporary one is set.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,4 +36,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(configured)
+    return context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder name below the shared folder."""
+    return f"{_shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared folder."""
+    _shared_root(df.sparkSession)
     return df.checkpoint()

@@ -175,18 +175,18 @@ def test_psi(spark):
     base = rng.normal(size=1500)
     cases = {"same": base, "shifted": base + 2.5, "apart": rng.uniform(50, 60, 300)}
     for name, live in cases.items():
-        sums = drift.value_sums(_sides(spark, base, live), ["feature"], 1)
+        sums = drift.value_sums(_sides(spark, base, live), ["feature"])
         assert drift.psi(sums, ["feature"]).first()["psi"] == pytest.approx(_numpy_psi(base, live), abs=1e-9), name
-    blind = drift.value_sums(_sides(spark, [0, 1, 1] * 33, [1] * 50), ["feature"], 1)
+    blind = drift.value_sums(_sides(spark, [0, 1, 1] * 33, [1] * 50), ["feature"])
     assert drift.psi(blind, ["feature"]).first()["psi"] == 0.0
     assert drift.psi_discrete(blind, ["feature"]).first()["psi"] > 1
-    constant = drift.value_sums(_sides(spark, [2] * 20, [2, 2, 3, 4, float("nan")]), ["feature"], 1)
+    constant = drift.value_sums(_sides(spark, [2] * 20, [2, 2, 3, 4, float("nan")]), ["feature"])
     assert drift.psi(constant, ["feature"]).first()["psi"] == pytest.approx(5.0)
 
 
 def test_ks_and_degenerate_predictions(spark):
     a, b = np.arange(100) / 10, np.arange(100) / 10 + 2
-    got = drift.ks_two_sample(drift.value_sums(_sides(spark, a, b), ["feature"], 1), ["feature"]).first()
+    got = drift.ks_two_sample(drift.value_sums(_sides(spark, a, b), ["feature"]), ["feature"]).first()
     assert got["ks_statistic"] == pytest.approx(0.2)
     p = spark.createDataFrame([("flat", 0.5)] * 90 + [("flat", 0.9)] * 10 + [("wide", i / 100) for i in range(100)], "m string, p double")
     health = {r["m"]: r["degenerate"] for r in drift.prediction_health(p, ["m"]).collect()}
@@ -197,7 +197,7 @@ def test_auc_with_ties_and_one_class(spark):
     rng = np.random.default_rng(1)
     p, y = np.round(rng.uniform(size=300), 1), rng.integers(0, 2, 300)
     rows = [("a", float(x), int(t)) for x, t in zip(p, y)] + [("b", 0.3, 1), ("b", 0.9, 1)]
-    sums = evaluate.score_sums(spark.createDataFrame(rows, "m string, p double, label long"), ["m"], 2)
+    sums = evaluate.score_sums(spark.createDataFrame(rows, "m string, p double, label long"), ["m"])
     got = {r["m"]: r for r in evaluate.pairwise_metrics(sums, ["m"]).collect()}
     wins = [(a > b) + 0.5 * (a == b) for a in p[y == 1] for b in p[y == 0]]
     assert got["a"]["roc_auc"] == pytest.approx(np.mean(wins))
@@ -313,3 +313,23 @@ def test_sessions_of_a_busy_user_against_brute_force(spark):
             size += 1
         want.append((user, size))
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("train", [[0.0, 10.0] * 40, [3.0] * 50, [float(i % 7) for i in range(90)], [1.0, 2.0] * 30, [float(i) for i in range(200)]])
+@pytest.mark.parametrize("live", [[5.5] * 60, [3.0] * 30 + [9.0] * 40, [float(i % 11) for i in range(77)]])
+def test_windowed_psi_equals_psi(spark, train, live):
+    """Bins without training rows and constant training sides included."""
+    frame = lambda values: spark.createDataFrame([(v,) for v in values], "value double")
+    sides = frame(train).selectExpr("'f' feature", "value", "'train' side").unionByName(frame(live).selectExpr("'f' feature", "value", "'live' side"))
+    want = drift.psi(drift.value_sums(sides, ["feature"]), ["feature"]).first()["psi"]
+    got = drift.windowed_psi(frame(train), frame(live).selectExpr("1 day", "value"), "day").first()
+    assert got["n_live"] == len(live) and got["psi"] == pytest.approx(want)
+
+
+def test_verdict_without_champion_or_accuracy(spark):
+    row = "version string, role string, holdout_accuracy double, user_accuracy double, n_user_labels long, antisymmetry double"
+    champion, good, unknown = ("c", "champion", 0.6, 0.6, 900, 0.0), ("a", "challenger", 0.7, 0.7, 900, 0.0), ("b", "challenger", None, 0.7, 900, 0.0)
+    of = lambda rows: {r.version: r.verdict for r in lifecycle.promotion_verdict(spark.createDataFrame(rows, row)).collect()}
+    assert of([champion, good, unknown]) == {"a": "PROMOTE", "b": "HELD: accuracy missing"}
+    assert of([good]) == {"a": "HELD: no champion"}
+    assert of([champion, ("d", *champion[1:]), good]) == {"a": "HELD: several champions"}
