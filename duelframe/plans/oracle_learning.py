@@ -1,5 +1,9 @@
 """Oracle SQL (DuckDB) for TF-IDF tables."""
 
+from ..functions.features import FEATURE_NAMES
+from .oracle_evaluation import metrics
+from .oracle_pairs import SPLIT, hash_sql
+from .oracle_text import features_ctes
 from .oracle_pairs import PAIRS
 
 TERMS = PAIRS + """,
@@ -18,7 +22,49 @@ idf as (select kind, term, sum(occurrences)::BIGINT as df,
 raw as (select headline, kind, term, (1 + ln(tf)) * idf as raw from tf join idf using (kind, term)),
 weights as (select headline, kind, term, raw / sqrt(sum(raw * raw) over (partition by headline, kind)) as weight from raw)"""
 
+# Baseline fits by plain gradient descent: run -1 learns from the past, runs 0-4 leave one fold out. Pairs with
+# equal differences are one row, so that a step is short; the step is that of the largest possible curvature.
+FITS = "with recursive " + SPLIT + """,
+headlines as (select distinct headline as text from (select headline_a as headline from labelled union all select headline_b from labelled)),""" + features_ctes(
+    "headlines", "text", "hf", None
+) + f""",
+parts_ as (select l.headline_a, l.headline_b, l.label, s.holdout, {hash_sql('test_id')} % 5 as fold, count(*) as n
+  from labelled l join split s using (test_id) group by all),
+wide as (select p.*, {", ".join(f"a.{n} - b.{n} as {n}" for n in FEATURE_NAMES)}
+  from parts_ p join hf a on a.text = p.headline_a join hf b on b.text = p.headline_b),
+cells as (select headline_a, headline_b, label, holdout, fold, n, feature, v, list_position({list(FEATURE_NAMES)}, feature) as place_
+  from (unpivot wide on {", ".join(FEATURE_NAMES)} into name feature value v)),
+kept as (select feature, row_number() over (order by min(place_)) as pos from cells group by 1 having sum(n * (v <> 0)::INT) / sum(n) >= 0.001),
+runs as (select unnest(range(-1, 5)) as run),
+learned as (select run, headline_a, headline_b, label, n, pos, v from cells join kept using (feature), runs
+  where case when run < 0 then not holdout else fold <> run end),
+scales as (select run, pos, case when sum(n * v * v) > 0 then sqrt(sum(n * v * v) / sum(n)) else 1 end as s from learned group by all),
+vectors as (select run, headline_a, headline_b, label, any_value(n) as n, list(v / s order by pos) as x from (
+    select run, headline_a, headline_b, label, pos, sum(n)::DOUBLE as n, any_value(v) as v from learned group by all)
+  join scales using (run, pos) group by all),
+data as (select run, x, label, 2 * sum(n) as n from vectors group by all),
+steps as (select run, 1 / (1 + sum(n * list_dot_product(x, x)) / 4) as step, any_value(len(x)) as size from data group by 1),
+fit as (
+  select run, 0 as k, list_transform(range(size), lambda i: 0.0::DOUBLE) as w from steps
+  union all
+  select run, k, list(next order by j) from (
+    select f.run, f.k + 1 as k, j, any_value(f.w[j]) - any_value(step) * (any_value(f.w[j])
+      + sum(n * (1 / (1 + exp(-list_dot_product(x, f.w))) - label) * x[j])) as next
+    from fit f join data d on d.run = f.run join steps s on s.run = f.run, lateral (select unnest(range(1, size + 1)) as j) where f.k < 2000 group by f.run, f.k, j)
+  group by run, k),
+weights_ as (select run, unnest(w) as coef, unnest(range(1, len(w) + 1)) as pos from fit where k = 2000),
+terms_ as (select run, pos, feature, coef, s from weights_ join scales using (run, pos) join kept using (pos)),
+scored_ as (select run, headline_a, headline_b, c.label, holdout, fold, n, 1 / (1 + exp(-sum(coef / s * v))) as p0
+  from cells c join terms_ using (feature) where case when run < 0 then holdout else fold = run end group by all),
+each_ as (select *, unnest(range(n)) as copy from scored_),
+both_ as (select run, round(p0, 12) as p, label as y from each_ union all select run, round(1 - p0, 12), 1 - label from each_)"""
+
+_MEASURES = "n_pairs, round(accuracy, 4) as accuracy, round(roc_auc, 4) as roc_auc, round(brier, 4) as brier"
+
 SQL = {
+    "fit_baseline": f"{FITS} select 'baseline' as version, pos - 1 as pos, feature, round(coef, 4) + 0.0 as coef, round(s, 4) as scale from terms_ where run < 0",
+    "cross_validation": f"{FITS}, {metrics('run', 'both_')} select run as fold, 'baseline' as model, {_MEASURES} from metrics where run >= 0",
+    "holdout_report": f"{FITS}, {metrics('run', 'both_')} select 'baseline' as model, {_MEASURES} from metrics where run < 0",
     "tfidf_idf": f"with {TERMS} select kind, term, df, round(idf, 6) as idf from idf",
     "tfidf_weights": f"with {TERMS} select headline, kind, term, round(weight, 6) as weight from weights",
     "tfidf_diff": f"""with {TERMS},
