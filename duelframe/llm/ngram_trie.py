@@ -24,7 +24,7 @@ END = b" "
 #: Bytes of text whose tokens are numbered together.
 BATCH_BYTES = 16 << 20
 #: Training tokens for each shard of the trie and for each bucket of the vocabulary.
-SHARD_TOKENS = 1 << 22
+SHARD_TOKENS = 1 << 21
 #: Classes of words into which the followers of a context with more than SHARD_TOKENS are divided at most.
 CLASSES = 4096
 _FLOOR = 0.1
@@ -69,13 +69,17 @@ class Vocabulary:
         return float((self.class_tokens[mine].sum() + _FLOOR * self.class_words[mine].sum() + extra) / (self.tokens + _FLOOR * (self.words + 1)))
 
 
+def _kind(ids: np.ndarray) -> np.ndarray:
+    """Class of a word, from its id."""
+    return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(52)).astype(np.int64)
+
+
 @dataclass
-class TrieModel:
-    """Vocabulary totals, and a stored table (shard, trie): levels of one shard as bytes."""
+class NumberedCorpus:
+    """Texts as word numbers, ids and counts of the words, and totals. All tables are stored."""
 
     vocabulary: Vocabulary
     shards: int
-    tries: DataFrame
     corpus: DataFrame
     numbers: DataFrame
 
@@ -151,18 +155,17 @@ def number_words(corpus: DataFrame, buckets: int) -> DataFrame:
                 if c:
                     total[w] = total.get(w, 0) + c
         ids = {w: i * buckets + bucket for i, w in enumerate(sorted(total, key=lambda w: (-total[w], w)))}
-        kinds = (_hash(list(total)) >> np.uint64(52)).astype(np.int64)
-        values = np.fromiter(total.values(), np.int64, len(total))
-        yield (-1, bucket, _squeeze(np.bincount(kinds, values, CLASSES).astype(np.int64)), _squeeze(np.bincount(kinds, minlength=CLASSES).astype(np.int64)), None)
+        kinds = _kind(np.fromiter(ids.values(), np.int64, len(ids)))
+        values = np.fromiter((total[w] for w in ids), np.int64, len(ids))
+        yield (-1, bucket, _squeeze(np.bincount(kinds, values, CLASSES).astype(np.int64)), _squeeze(np.bincount(kinds, minlength=CLASSES).astype(np.int64)))
         for batch, words, _ in held:
-            kind = (_hash(words) >> np.uint64(52)).astype(np.int16)
             yield (
                 batch, bucket, _squeeze(np.fromiter((ids.get(w, -1) for w in words), np.int64, len(words))),
-                _squeeze(np.fromiter((total.get(w, 0) for w in words), np.int64, len(words))), _squeeze(kind),
+                _squeeze(np.fromiter((total.get(w, 0) for w in words), np.int64, len(words))),
             )
 
     def rows(batches):
-        names, types = ["batch", "bucket", "ids", "counts", "kinds"], [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        names, types = ["batch", "bucket", "ids", "counts"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
         def out(held, bucket):
             for row in merge(held, bucket):
@@ -180,7 +183,7 @@ def number_words(corpus: DataFrame, buckets: int) -> DataFrame:
             yield from out(held, last)
 
     words = corpus.filter("bucket >= 0").select("bucket", "batch", "words", "counts").repartition("bucket").sortWithinPartitions("bucket", "batch")
-    return cut_lineage(words.mapInArrow(rows, "batch bigint, bucket int, ids binary, counts binary, kinds binary"))
+    return cut_lineage(words.mapInArrow(rows, "batch bigint, bucket int, ids binary, counts binary"))
 
 
 def _per_key(batches, key: str, columns: list[str]) -> Iterator[tuple[int, list[tuple]]]:
@@ -197,55 +200,51 @@ def _per_key(batches, key: str, columns: list[str]) -> Iterator[tuple[int, list[
         yield last, held
 
 
-_PAIRS = "shard int, batch bigint, kind int, a binary, b binary, c binary, d binary"
-_PAIR_TYPES = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
-_PAIR_NAMES = ["shard", "batch", "kind", "a", "b", "c", "d"]
-_BASE, _TRIE, _ASK = 0, 1, 2
+_PARTS = ["a", "b", "c", "d", "e"]
+_PAIRS = "shard int, batch bigint, kind int, " + ", ".join(f"{x} binary" for x in _PARTS)
+_PAIR_TYPES = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
+_BASE, _ASK = 0, 1
 
 
 def _emit(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_PAIR_TYPES)], _PAIR_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_PAIR_TYPES)], ["shard", "batch", "kind", *_PARTS])
 
 
-def _pairs(corpus: DataFrame, numbers: DataFrame, vocabulary: Vocabulary, shards: int, ask: bool) -> DataFrame:
-    """Word pairs of each batch by shard: with training counts, or (``ask``) by document with what is to be scored.
+def _pairs(numbered: NumberedCorpus) -> DataFrame:
+    """Word pairs of each batch by shard, with the documents in which they stand and how often.
 
-    A shard takes a context and one part of its followers. With ``ask`` each batch also gives one row of kind
-    _BASE: known tokens and base score of each document.
+    A shard takes a context and one part of its followers. Each batch also gives one row of kind _BASE: known
+    tokens and base score of each document.
     """
+    vocabulary, shards = numbered.vocabulary, numbered.shards
+
     def rows(batches):
-        for batch, held in _per_key(batches, "batch", ["bucket", "train", "lengths", "tokens", "ids", "counts", "kinds"]):
+        for batch, held in _per_key(batches, "batch", ["bucket", "train", "lengths", "tokens", "ids", "counts"]):
             texts = [r for r in held if r[3] is not None]
             maps = sorted((r for r in held if r[3] is None), key=lambda r: r[0])
-            if not texts:
-                continue
             _, train, lengths, packed, *_ = texts[0]
-            ids, counts, kinds = (np.concatenate([_expand(m[k], t) for m in maps]) for k, t in ((4, np.int64), (5, np.int64), (6, np.int16)))
+            ids, counts = (np.concatenate([_expand(m[k], np.int64) for m in maps]) for k in (4, 5))
             tokens, lengths = _expand(packed, np.int32), np.array(lengths, np.int64)
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             before = np.concatenate([[0], tokens[:-1]])
             before[starts] = tokens[-1]  # every text ends with END
-            doc = np.repeat(np.arange(len(lengths)), lengths)
+            known = np.add.reduceat((counts[tokens] > 0).astype(np.int64), starts)
+            base = np.add.reduceat(vocabulary.base(counts)[tokens], starts)
+            yield _emit([(int(batch) % shards, batch, _BASE, known.tobytes(), base.tobytes(), None, None, None)])
+            # A document's number and whether it is learned from.
+            doc = np.repeat(np.arange(len(lengths)) * 2 + np.array(train, np.int64), lengths)
             used = ids[before] >= 0
-            if ask:
-                known = np.add.reduceat((counts[tokens] > 0).astype(np.int64), starts)
-                base = np.add.reduceat(vocabulary.base(counts)[tokens], starts)
-                yield _emit([(int(batch) % shards, batch, _BASE, known.tobytes(), base.tobytes(), None, None)])
-            else:
-                used &= np.repeat(np.array(train, bool), lengths) & (ids[tokens] >= 0)
             w, v, doc = before[used], tokens[used], doc[used]
+            if not len(w):
+                continue
             parts = vocabulary.parts(counts[w])
-            part = np.where(ids[v] < 0, parts - 1, kinds[v].astype(np.int64) * parts // CLASSES)
-            context = ids[w] * CLASSES + part
-            follower = ids[v]
-            keys = (follower, context) if not ask else (doc, follower, context)
-            order = np.lexsort(keys)
-            fresh = np.concatenate([[True], np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)]) if len(order) else np.zeros(0, bool)
-            at = order[fresh]
-            times = np.diff(np.append(np.flatnonzero(fresh), len(order)))
-            context, follower = context[at], follower[at]
-            third = doc[at] if ask else counts[v[at]]
-            own = counts[w[at]]
+            part = np.where(ids[v] < 0, parts - 1, _kind(ids[v]) * parts // CLASSES)
+            context, follower = ids[w] * CLASSES + part, ids[v]
+            order = np.lexsort((doc, follower, context))
+            context, follower, doc = context[order], follower[order], doc[order]
+            at = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (follower[1:] != follower[:-1]) | (doc[1:] != doc[:-1])]))
+            times = np.diff(np.append(at, len(order)))
+            context, follower, doc, own, count = context[at], follower[at], doc[at], counts[w[order[at]]], counts[v[order[at]]]
             shard = ((context * 0x9E3779B1 ^ context >> 7) & 0x7FFFFFFF) % shards
             by = np.argsort(shard, kind="stable")
             edges = np.searchsorted(shard[by], np.arange(shards + 1))
@@ -255,21 +254,27 @@ def _pairs(corpus: DataFrame, numbers: DataFrame, vocabulary: Vocabulary, shards
                 first = np.concatenate([[True], context[x][1:] != context[x][:-1]])
                 runs = np.diff(np.append(np.flatnonzero(first), len(x)))
                 head = np.stack([context[x][first], runs, own[x][first]])
-                out.append((int(s), batch, _ASK, zlib.compress(head.tobytes(), 1), _squeeze(follower[x]), _squeeze(third[x]), _squeeze(times[x])))
-            if out:
-                yield _emit(out)
+                out.append((int(s), batch, _ASK, zlib.compress(head.tobytes(), 1), _squeeze(follower[x]), _squeeze(doc[x].astype(np.int32)), _squeeze(times[x].astype(np.int32)), _squeeze(count[x])))
+            yield _emit(out)
 
-    texts = corpus.filter("bucket < 0").select("batch", "bucket", "train", "lengths", "tokens", *(F.lit(None).cast("binary").alias(c) for c in ("ids", "counts", "kinds")))
-    maps = numbers.filter("batch >= 0").select("batch", "bucket", F.lit(None).cast("array<boolean>").alias("train"), F.lit(None).cast("array<bigint>").alias("lengths"), F.lit(None).cast("binary").alias("tokens"), "ids", "counts", "kinds")
-    return texts.unionByName(maps).repartition("batch").sortWithinPartitions("batch", "bucket").mapInArrow(rows, _PAIRS)
+    empty = [F.lit(None).cast("binary").alias(c) for c in ("ids", "counts")]
+    texts = numbered.corpus.filter("bucket < 0").select("batch", "bucket", "train", "lengths", "tokens", *empty)
+    maps = numbered.numbers.filter("batch >= 0").select(
+        "batch", "bucket", F.lit(None).cast("array<boolean>").alias("train"), F.lit(None).cast("array<bigint>").alias("lengths"),
+        F.lit(None).cast("binary").alias("tokens"), "ids", "counts")
+    both = texts.unionByName(maps).repartition("batch").sortWithinPartitions("batch", "bucket").mapInArrow(rows, _PAIRS)
+    return both.repartition("shard").sortWithinPartitions("shard", "batch", "kind")
 
 
 def _unpack(row: tuple) -> tuple[np.ndarray, ...]:
-    """context, follower, third, times, own count of the context."""
-    _, _, a, b, c, d = row
+    """context, follower, document, whether it is learned from, times, count of the follower, count of the context."""
+    a, b, c, d, e = row
     head = np.frombuffer(zlib.decompress(a), np.int64).reshape(3, -1)
-    context, own = np.repeat(head[0], head[1]), np.repeat(head[2], head[1])
-    return context, _expand(b, np.int64), _expand(c, np.int64), _expand(d, np.int64), own
+    doc = _expand(c, np.int32)
+    return (
+        np.repeat(head[0], head[1]), _expand(b, np.int64), doc >> 1, (doc & 1).astype(bool), _expand(d, np.int32), _expand(e, np.int64),
+        np.repeat(head[2], head[1]),
+    )
 
 
 #: Codes of log10 values: 65,536 even steps.
@@ -358,12 +363,10 @@ class Trie:
         return out
 
 
-def train_trie(docs: DataFrame, train: Column) -> TrieModel:
-    """Numbers the corpus, counts words and pairs of the training rows and stores the trie, shard by shard.
+def number_corpus(docs: DataFrame, train: Column) -> NumberedCorpus:
+    """Numbers the words of all texts and counts them in the rows that ``train`` admits.
 
-    The numbers of buckets and shards follow the size of the texts. Counts are summed in each batch before
-    they are shuffled; a shard holds about SHARD_TOKENS of them, and a context beyond that is divided by classes
-    of its followers.
+    The number of buckets and shards follows the size of the texts.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = int(size / 5 // SHARD_TOKENS) + 1
@@ -373,69 +376,81 @@ def train_trie(docs: DataFrame, train: Column) -> TrieModel:
     for row in numbers.filter("batch < 0").select("ids", "counts").toLocalIterator():
         tokens += _expand(bytes(row[0]), np.int64)
         words += _expand(bytes(row[1]), np.int64)
-    vocabulary = Vocabulary(int(tokens.sum()), int(words.sum()), tokens, words)
+    return NumberedCorpus(Vocabulary(int(tokens.sum()), int(words.sum()), tokens, words), shards, corpus, numbers)
+
+
+def _shard_trie(held: list[tuple], vocabulary: Vocabulary) -> bytes:
+    """The trie of a shard from the training documents' part of its pairs."""
+    learned = []
+    for row in held:
+        context, follower, _, train, times, count, own = _unpack(row)
+        train &= follower >= 0
+        context, follower, times, count, own = (x[train] for x in (context, follower, times, count, own))
+        at = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (follower[1:] != follower[:-1])])) if len(context) else np.zeros(0, np.int64)
+        if len(at):
+            learned.append((context[at], follower[at], np.add.reduceat(times, at), count[at], own[at]))
+    if not learned:
+        empty = np.zeros(0, np.int64)
+        return build_trie(empty, empty, empty, empty, empty, vocabulary)
+    return build_trie(*(np.concatenate(x) for x in zip(*learned)), vocabulary)
+
+
+def store_tries(numbered: NumberedCorpus) -> DataFrame:
+    """The model as a stored table (shard, trie): the levels of every shard as bytes."""
+    vocabulary = numbered.vocabulary
 
     def build(batches):
-        for shard, held in _per_key(batches, "shard", ["batch", "kind", "a", "b", "c", "d"]):
-            context, follower, count, times, own = (np.concatenate(x) for x in zip(*map(_unpack, held)))
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([build_trie(context, follower, times, count, own, vocabulary)], pa.binary())], ["shard", "trie"])
+        for shard, held in _per_key(batches, "shard", ["kind", *_PARTS]):
+            trie = _shard_trie([r[1:] for r in held if r[0] == _ASK], vocabulary)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([trie], pa.binary())], ["shard", "trie"])
 
-    pairs = _pairs(corpus, numbers, vocabulary, shards, ask=False)
-    tries = cut_lineage(pairs.repartition("shard").sortWithinPartitions("shard", "batch").mapInArrow(build, "shard int, trie binary"))
-    return TrieModel(vocabulary, shards, tries, corpus, numbers)
+    return cut_lineage(_pairs(numbered).mapInArrow(build, "shard int, trie binary"))
 
 
-def score_corpus(model: TrieModel) -> DataFrame:
+def score_corpus(numbered: NumberedCorpus) -> DataFrame:
     """doc_id, train, n_tokens, n_known, base_score and score of every row of the numbered corpus.
 
-    Pairs go to the shard of their context with the documents that ask for them, meet the mapped trie there, and
-    come back as one sum per document, batch and shard.
+    Pairs are shuffled once, to the shard of their context. There the shard's trie is built from the training
+    documents, mapped from a file, and asked for all documents; what comes back is one sum per document, batch
+    and shard. A shard holds the pairs of about SHARD_TOKENS tokens; a context beyond that is divided by
+    classes of its followers.
     """
-    shards = model.shards
+    vocabulary = numbered.vocabulary
 
     def answer(batches):
-        for shard, held in _per_key(batches, "shard", ["kind", "batch", "a", "b", "c", "d"]):
-            yield from answers(shard, held)
-
-    def answers(shard, held):
-        blob = [r[2] for r in held if r[0] == _TRIE]
-        with tempfile.TemporaryFile() as mapped:
-            trie = None
-            if blob:
-                mapped.write(blob[0])
+        for shard, held in _per_key(batches, "shard", ["kind", "batch", *_PARTS]):
+            with tempfile.TemporaryFile() as mapped:
+                mapped.write(_shard_trie([r[2:] for r in held if r[0] == _ASK], vocabulary))
                 mapped.flush()
                 trie = Trie(mapped)
-            for kind, batch, *rest in held:
-                if kind == _BASE:
-                    yield _emit([(shard, batch, _BASE, *rest)])
-                elif kind == _ASK and trie is not None:
-                    context, follower, doc, times, _ = _unpack((kind, batch, *rest))
+                for kind, batch, *rest in held:
+                    if kind == _BASE:
+                        yield _emit([(shard, batch, _BASE, *rest)])
+                        continue
+                    context, follower, doc, _, times, *_ = _unpack(rest)
                     sums = np.bincount(doc, trie.gains(context, follower) * times)
                     at = np.flatnonzero(np.bincount(doc))
-                    yield _emit([(shard, batch, _ASK, _squeeze(at.astype(np.int32)), sums[at].tobytes(), None, None)])
+                    yield _emit([(shard, batch, _ASK, _squeeze(at.astype(np.int32)), sums[at].astype(np.float32).tobytes(), None, None, None)])
 
-    asked = _pairs(model.corpus, model.numbers, model.vocabulary, shards, ask=True)
-    tries = model.tries.select("shard", F.lit(-1).cast("bigint").alias("batch"), F.lit(_TRIE).alias("kind"), F.col("trie").alias("a"), *(F.lit(None).cast("binary").alias(c) for c in "bcd"))
-    met = asked.unionByName(tries).repartition("shard").sortWithinPartitions("shard", "batch", "kind").mapInArrow(answer, _PAIRS)
-    texts = model.corpus.filter("bucket < 0").select("batch", "doc_id", "train", "lengths")
-    kind = model.corpus.schema["doc_id"].dataType.elementType
+    met = _pairs(numbered).mapInArrow(answer, _PAIRS)
+    texts = numbered.corpus.filter("bucket < 0").select("batch", "doc_id", "train", "lengths")
+    kind = numbered.corpus.schema["doc_id"].dataType.elementType
+    arrow = to_arrow_type(kind)
 
     def total(batches):
         for _, held in _per_key(batches, "batch", ["doc_id", "train", "lengths", "kind", "a", "b"]):
-            texts = [r for r in held if r[2] is not None]
-            sums = sorted((r for r in held if r[2] is None), key=lambda r: (r[3], r[4]))
-            ids, train, lengths = texts[0][:3]
+            ids, train, lengths = next(r[:3] for r in held if r[2] is not None)
             score = np.zeros(len(lengths))
-            for r in sums:
+            for r in sorted((r for r in held if r[2] is None), key=lambda r: (r[3], r[4])):
                 if r[3] == _BASE:
                     known, base = np.frombuffer(r[4], np.int64), np.frombuffer(r[5], np.float64)
                 else:
-                    score[_expand(r[4], np.int32)] += np.frombuffer(r[5], np.float64)
-            arrays = [pa.array(ids), pa.array(train, pa.bool_()), pa.array(lengths, pa.int64()), pa.array(known), pa.array(base), pa.array(base + score)]
-            yield pa.RecordBatch.from_arrays([arrays[0].cast(arrow), *arrays[1:]], ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
+                    score[_expand(r[4], np.int32)] += np.frombuffer(r[5], np.float32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, arrow), pa.array(train, pa.bool_()), pa.array(lengths, pa.int64()), pa.array(known), pa.array(base), pa.array(base + score)],
+                ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
-    arrow = to_arrow_type(kind)
-    left = texts.select(*(F.col(c) for c in ("batch", "doc_id", "train", "lengths")), F.lit(-1).alias("kind"), *(F.lit(None).cast("binary").alias(c) for c in "ab"))
+    left = texts.select("batch", "doc_id", "train", "lengths", F.lit(-1).alias("kind"), *(F.lit(None).cast("binary").alias(c) for c in "ab"))
     right = met.select("batch", F.lit(None).cast(T.ArrayType(kind)).alias("doc_id"), F.lit(None).cast("array<boolean>").alias("train"), F.lit(None).cast("array<bigint>").alias("lengths"), "kind", "a", "b")
     schema = T.StructType([T.StructField("doc_id", kind), *T.StructType.fromDDL("train boolean, n_tokens bigint, n_known bigint, base_score double, score double")])
     return left.unionByName(right).repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(total, schema)

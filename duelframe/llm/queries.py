@@ -10,7 +10,7 @@ from duelframe.llm.byte_bpe import decode, encode
 from duelframe.llm.common import remainder, table
 from duelframe.llm.embedding_tiles import link_embeddings
 from duelframe.llm.line_dedup import dedup_lines
-from duelframe.llm.ngram_trie import score_corpus, train_trie
+from duelframe.llm.ngram_trie import number_corpus, score_corpus
 from duelframe.llm.quality_fm import score_quality, train_quality
 from duelframe.llm.simhash_trie import simhash_components
 from duelframe.llm.spaced_seeds import find_overlaps
@@ -38,10 +38,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = train_trie(table(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0)
-    return score_corpus(model).select(
+    numbered = number_corpus(table(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0)
+    return score_corpus(numbered).select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known",
-        F.lit(model.vocabulary.tokens).cast("bigint").alias("train_tokens"), "base_score", "score",
+        F.lit(numbered.vocabulary.tokens).cast("bigint").alias("train_tokens"), "base_score", "score",
     )
 
 
