@@ -197,7 +197,8 @@ def order_invariance(lines: DataFrame, model: LinearModel = HAND_MODEL) -> DataF
 
     Rows: set, line, the largest score drift and whether the order changed.
     """
-    accepted = split_requests(lines)
+    # A line's strength does not depend on its place, so it is worked out before the orders are.
+    accepted = with_strength(split_requests(lines), model)
     sized = accepted.withColumn("_n", F.count(F.lit(1)).over(_set()))
     turns = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("_n") - 1),
@@ -206,8 +207,7 @@ def order_invariance(lines: DataFrame, model: LinearModel = HAND_MODEL) -> DataF
             F.struct((r * 2 + 1).alias("turn"), ((F.col("_n") * 2 - 1 - F.col("position") - r) % F.col("_n")).alias("at")),
         ),
     )
-    turned = sized.select(SET, F.col("position").alias("line"), "text", F.explode(F.flatten(turns)).alias("t"))
-    scored = with_strength(turned, model)
+    scored = sized.select(SET, F.col("position").alias("line"), "strength", F.explode(F.flatten(turns)).alias("t"))
     trial = Window.partitionBy(SET, "t.turn")
     mates = F.array_sort(F.collect_list(F.struct(F.col("t.at").alias("at"), "strength", "line")).over(trial))
     others = F.filter("_mates", lambda m: m["line"] != F.col("line"))
