@@ -53,13 +53,23 @@ def mirrored(diffs: DataFrame) -> DataFrame:
 
 
 def table_diff(first: DataFrame, second: DataFrame, keys: Sequence[str], names: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
-    """Cells of two feature tables that disagree, per feature, worst first."""
-    side = lambda df, s: long_features(df, keys, names).withColumnRenamed("value", f"v{s}")
-    both = side(first, 1).join(side(second, 2), [*keys, "pos", "feature"], "full")
-    delta = F.abs(F.col("v1") - F.col("v2"))
-    bad = delta.isNull() | (delta > tolerance)
-    return both.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n_cells"),
-        F.count_if(bad).alias("n_divergent"),
-        F.max(F.coalesce(delta, F.lit(float("inf")))).alias("max_delta"),
-    )
+    """Cells of two feature tables that disagree, per feature, worst first, with the key of the largest difference.
+
+    The tables meet wide, all features are summed up in one pass, and only that one row is turned.  A row that
+    one table lacks differs infinitely.
+    """
+    side = lambda df, s: df.select(*keys, F.struct(*names).alias(s))
+    both = side(first, "_a").join(side(second, "_b"), list(keys), "full")
+
+    def summed(name: str):
+        delta = F.coalesce(F.abs(F.col(f"_a.{name}") - F.col(f"_b.{name}")), F.lit(float("inf")))
+        worst = F.min_by(F.struct(*keys), F.struct(-delta, *[F.col(k) for k in keys]))
+        return F.struct(
+            F.lit(names.index(name)).alias("pos"), F.lit(name).alias("feature"), F.count(F.lit(1)).alias("n_cells"),
+            F.count_if(delta > tolerance).alias("n_divergent"), F.max(delta).alias("max_delta"),
+            F.when(F.max(delta) > tolerance, worst).alias("worst"),
+        )
+
+    rows = both.agg(*[summed(n).alias(f"_{n}") for n in names])
+    turned = rows.select(F.inline(F.array(*[F.col(f"_{n}") for n in names])))
+    return turned.filter("n_cells > 0").orderBy(F.desc("n_divergent"), F.desc("max_delta"), "pos").drop("pos")

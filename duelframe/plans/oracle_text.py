@@ -168,9 +168,12 @@ select kind, term, count(*) as df from terms group by all having count(*) >= 3""
     "phrase_coverage": "with " + features_ctes("documents", "doc_id") + ", long as (unpivot features on "
     + _NAMES + " into name feature value v) select feature, count(*) filter (where v <> 0) as n_used, "
     "feature not in ('has_emoji', 'emoji_count', 'emoji_leading', 'emoji_trailing') as has_phrase from long group by 1",
-    "feature_diff": f"with {LINES}, {features_ctes('lines', 'ranking_id, position', 'lf')} "
-    + "select feature, count(*) as n_cells, 0::BIGINT as n_divergent, 0.0::DOUBLE as max_delta from (unpivot (select ranking_id, position, word_count, mean_word_len, syllable_count, second_person_count, demonstrative_count, polarity_sum from lf) "
-    "on word_count, mean_word_len, syllable_count, second_person_count, demonstrative_count, polarity_sum into name feature value v) group by 1",
+    "feature_diff": "with bare as (select doc_id, lang, regexp_replace(text, '[.!?]+$', '') as text from documents), "
+    + features_ctes("documents", "doc_id", "fa") + "," + features_ctes("bare", "doc_id", "fb")
+    + f""", a as (unpivot fa on {_NAMES} into name feature value v), b as (unpivot fb on {_NAMES} into name feature value v),
+d as (select feature, doc_id, abs(a.v - b.v) as delta from a join b using (feature, doc_id))
+select feature, count(*) as n_cells, count(*) filter (where delta > 1e-5) as n_divergent, round(max(delta), 6) + 0.0 as max_delta,
+  case when max(delta) > 1e-5 then arg_min(doc_id, {{'a': -delta, 'b': doc_id}}) end as worst_doc from d group by 1""",
     "url_hosts": """
 select regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as host, count(*) as n_pages from pages group by 1""",
 }

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..functions.features import FEATURE_NAMES, long_features, with_features
-from ..functions.lexicons import DEFAULT_LEXICONS as LEX
 from ..functions.phrases import PHRASES
 from ..functions.stats import rounded
 from ..operators import tfidf, vectors
@@ -78,36 +76,12 @@ def _phrase_coverage(spark, sf_dir):
 
 
 def _feature_diff(spark, sf_dir):
-    """Two ways to write six features, cell by cell: token strings against token arrays."""
-    names = "word_count mean_word_len syllable_count second_person_count demonstrative_count polarity_sum".split()
-    lines = tables.lines(spark, sf_dir).drop("doc_id")
-    keys = ["ranking_id", "position"]
-    first = with_features(lines, "text", keys, names)
-    tok = F.transform(T.tokenise(T.normalise(F.col("text"))), T.fold)
-    arrays = lines.select(*keys, tok.alias("tok"))
-    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-    n = F.size("tok").cast("double")
-    members = lambda words: F.size(F.filter("tok", lambda t: t.isin(*words))).cast("double")
-    positive, negative = LEX.polarity[0.6], LEX.polarity[-0.6]
-
-    def score(word, i):
-        negated = F.lit(False)
-        for back in range(1, LEX.negation_window + 1):
-            earlier = F.get("tok", i - back)
-            negated = negated | F.coalesce((i >= back) & earlier.isin(*LEX.negators), F.lit(False))
-        base = F.when(word.isin(*positive), 0.6).when(word.isin(*negative), -0.6).otherwise(0.0)
-        return F.when(negated, -base).otherwise(base)
-
-    second = arrays.select(
-        *keys,
-        n.alias("word_count"),
-        F.when(n > 0, total(F.transform("tok", F.char_length)) / n).otherwise(0.0).alias("mean_word_len"),
-        total(F.transform("tok", T.syllables)).alias("syllable_count"),
-        members(LEX.second).alias("second_person_count"),
-        members(LEX.demonstratives).alias("demonstrative_count"),
-        total(F.transform("tok", score)).alias("polarity_sum"),
-    )
-    return vectors.table_diff(first, second, keys, names).withColumn("max_delta", rounded(F.col("max_delta")))
+    """Features of the documents with and without their last marks, all 52, cell by cell."""
+    docs = tables.documents(spark, sf_dir, "doc_id", "text")
+    bare = docs.withColumn("text", F.regexp_replace("text", "[.!?]+$", ""))
+    first, second = (_rounded(with_features(df, "text", ["doc_id"])) for df in (docs, bare))
+    found = vectors.table_diff(first, second, ["doc_id"], FEATURE_NAMES, 1e-5)
+    return found.select("feature", "n_cells", "n_divergent", rounded(F.col("max_delta")).alias("max_delta"), F.col("worst.doc_id").alias("worst_doc"))
 
 
 def _url_hosts(spark, sf_dir):
