@@ -24,7 +24,7 @@ END = b" "
 #: Bytes of text whose tokens are numbered together.
 BATCH_BYTES = 16 << 20
 #: Training tokens for each shard of the trie and for each bucket of the vocabulary.
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 3 << 19
 #: Classes of words into which the followers of a context with more than SHARD_TOKENS are divided at most.
 CLASSES = 4096
 _FLOOR = 0.1
@@ -226,28 +226,33 @@ def _pairs(numbered: NumberedCorpus) -> DataFrame:
             ids, counts = (np.concatenate([_expand(m[k], np.int64) for m in maps]) for k in (4, 5))
             tokens, lengths = _expand(packed, np.int32), np.array(lengths, np.int64)
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            before = np.concatenate([[0], tokens[:-1]])
+            before = np.empty_like(tokens)
+            before[1:] = tokens[:-1]
             before[starts] = tokens[-1]  # every text ends with END
             known = np.add.reduceat((counts[tokens] > 0).astype(np.int64), starts)
             base = np.add.reduceat(vocabulary.base(counts)[tokens], starts)
             yield _emit([(int(batch) % shards, batch, _BASE, known.tobytes(), base.tobytes(), None, None, None)])
             # A document's number and whether it is learned from.
-            doc = np.repeat(np.arange(len(lengths)) * 2 + np.array(train, np.int64), lengths)
+            doc = np.repeat((np.arange(len(lengths)) * 2 + np.array(train, np.int64)).astype(np.int32), lengths)
             used = ids[before] >= 0
             w, v, doc = before[used], tokens[used], doc[used]
+            del before, tokens, used, known, base
             if not len(w):
                 continue
             parts = vocabulary.parts(counts[w])
             part = np.where(ids[v] < 0, parts - 1, _kind(ids[v]) * parts // CLASSES)
             context, follower = ids[w] * CLASSES + part, ids[v]
+            del parts, part
             order = np.lexsort((doc, follower, context))
             context, follower, doc = context[order], follower[order], doc[order]
             at = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (follower[1:] != follower[:-1]) | (doc[1:] != doc[:-1])]))
             times = np.diff(np.append(at, len(order)))
             context, follower, doc, own, count = context[at], follower[at], doc[at], counts[w[order[at]]], counts[v[order[at]]]
+            del order, w, v, at
             shard = ((context * 0x9E3779B1 ^ context >> 7) & 0x7FFFFFFF) % shards
             by = np.argsort(shard, kind="stable")
             edges = np.searchsorted(shard[by], np.arange(shards + 1))
+            del shard
             out = []
             for s in np.flatnonzero(np.diff(edges)):
                 x = by[edges[s]:edges[s + 1]]
@@ -299,6 +304,7 @@ def build_trie(context: np.ndarray, follower: np.ndarray, times: np.ndarray, cou
     """
     order = np.lexsort((follower, context))
     context, follower, times, count, own = (x[order] for x in (context, follower, times, count, own))
+    del order
     fresh = np.concatenate([[True], (context[1:] != context[:-1]) | (follower[1:] != follower[:-1])]) if len(context) else np.zeros(0, bool)
     at = np.flatnonzero(fresh)
     times = np.add.reduceat(times, at) if len(at) else times
@@ -392,7 +398,10 @@ def _shard_trie(held: list[tuple], vocabulary: Vocabulary) -> bytes:
     if not learned:
         empty = np.zeros(0, np.int64)
         return build_trie(empty, empty, empty, empty, empty, vocabulary)
-    return build_trie(*(np.concatenate(x) for x in zip(*learned)), vocabulary)
+    columns = [list(x) for x in zip(*learned)]
+    del learned
+    # One column after the other, so that the parts are freed as they are joined.
+    return build_trie(*(np.concatenate(columns.pop(0)) for _ in range(5)), vocabulary)
 
 
 def store_tries(numbered: NumberedCorpus) -> DataFrame:
