@@ -29,6 +29,25 @@ class Forest:
                     break
                 self.root = further
 
+    def grow(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Adds the links and tells which of them joined two components: a spanning forest of what is new."""
+        used, at = np.zeros(len(u), bool), np.arange(len(u))
+        while True:
+            a, b = self.root[u[at]], self.root[v[at]]
+            at, a, b = at[a != b], a[a != b], b[a != b]
+            if not len(at):
+                return used
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            order = np.lexsort((low, high))
+            taken = order[np.concatenate([[True], np.diff(high[order]) > 0])]
+            used[at[taken]] = True
+            self.root[high[taken]] = low[taken]
+            while True:
+                further = self.root[self.root]
+                if (further == self.root).all():
+                    break
+                self.root = further
+
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from duelframe.llm.common import cut_lineage, fresh_name, lower_words, pieces, utf8
 from duelframe.llm.components import Forest, components
@@ -85,11 +86,14 @@ def _turned(keys: np.ndarray, offset: int) -> np.ndarray:
     return ((wide << rest | np.roll(wide, -1, axis=1) >> (8 - rest)) & 255).astype(np.uint8)
 
 
-def trie_links(keys: np.ndarray, groups: np.ndarray, depth: int, budget: int, forest: Forest | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_links(
+    keys: np.ndarray, groups: np.ndarray, depth: int, budget: int, forest: Forest | None = None, counted: int | None = None,
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one group that differ in at most ``budget`` bits.
 
     With a ``forest``, to which the caller adds what it gets, pairs of nodes whose rows are all connected
-    already are left out: enough for components.
+    already are left out: enough for components. Of longer keys only the first ``counted`` bits (a multiple of
+    64) are compared; the others tell rows apart.
 
     ``keys``: bytes of each row, sorted within its group; the rows of a group agree in their first ``depth``
     bits. ``groups``: where each group begins, and the end. A node is the range of rows below a prefix. Pairs
@@ -99,7 +103,8 @@ def trie_links(keys: np.ndarray, groups: np.ndarray, depth: int, budget: int, fo
     n, width = keys.shape
     words = np.zeros((n, -(-width // 8) * 8), np.uint8)
     words[:, :width] = keys
-    words = words.view(np.uint64)
+    counted = 8 * width if counted is None else counted
+    words = words.view(np.uint64)[:, : -(-counted // 64)]
     ones: dict[int, np.ndarray] = {}
     lo, hi = groups[:-1], groups[1:]
     many = hi - lo > 1
@@ -127,10 +132,10 @@ def trie_links(keys: np.ndarray, groups: np.ndarray, depth: int, budget: int, fo
             ones[d] = np.concatenate([[0], np.cumsum(keys[:, d // 8] >> (7 - d % 8) & 1, dtype=np.int64)])
         c = ones[d]
         a_mid, b_mid = a_end - (c[a_end] - c[a]), b_end - (c[b_end] - c[b])
-        same = a == b
+        same, cost = a == b, int(d < counted)
         parts = [
             (a, a_mid, b, b_mid, diff, slice(None)), (a_mid, a_end, b_mid, b_end, diff, slice(None)),
-            (a, a_mid, b_mid, b_end, diff + 1, slice(None)), (a_mid, a_end, b, b_mid, diff + 1, ~same),
+            (a, a_mid, b_mid, b_end, diff + cost, slice(None)), (a_mid, a_end, b, b_mid, diff + cost, ~same),
         ]
         joined = [np.concatenate([p[i][p[5]] for p in parts]) for i in range(5)]
         alive = (joined[1] > joined[0]) & (joined[3] > joined[2]) & (joined[4] <= budget)
@@ -242,23 +247,206 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-#: For a similarity of 0.8 or more on 5-word shingles: 512 bits, of which such texts seldom differ in more than
-#: 80 (measured: 95 % of the pairs between 0.80 and 0.85, all above 0.85), in 32 tries of 16 equal bits.
-WIDE_BITS, WIDE_BUDGET, WIDE_TRIES = 512, 80, [(16 * i, 16) for i in range(32)]
+#: Wide fingerprints, and tops for near_groups() over them.
+WIDE_BITS, WIDE_TRIES = 512, [(16 * i, 16) for i in range(32)]
+#: Least similarity of near copies: the share of their distinct shingles that both texts have.
+SIMILAR = 0.8
+#: Differing bits of a candidate. Fingerprints of distinct shingles differ in 78 of 512 bits at SIMILAR, with a
+#: standard deviation of 8.
+WIDE_BUDGET = 120
+#: Tries, and the least hashes that name one. A pair at SIMILAR shares none with probability (1 - 0.8^6)^32 = 6e-5.
+BANDS, BAND_ROWS = 32, 6
+#: Forests of candidates that a task emits in each round; None: all candidates.
+ROUNDS = (1, 8, None)
+#: Where there are many rows, candidates within fewer bits join the forests first.
+_NEARER, _MANY = (56, 80), 64
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+def shingle_set(data: bytes, size: int = 5) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(shingle_hashes(lower_words(data), size))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """BANDS keys: two sets of similarity J share a given one with probability J^BAND_ROWS. None for an empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(0, len(hashes), 1024):
+            np.minimum(least, (hashes[i:i + 1024, None] * _FACTORS[0] + _FACTORS[1]).min(0), out=least)
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def _with_sets(docs: DataFrame, sid: str, fp: str, keys: str) -> DataFrame:
+    """Adds a digest of every text's shingle set, the set's wide fingerprint and its band keys."""
+    columns = docs.columns
+
+    def rows(batches):
+        for batch in pieces(batches, "_data"):
+            sets = [shingle_set(d or b"") for d in batch.column("_data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                *batch.select(names).columns, pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                pa.array([fingerprint(s, WIDE_BITS) for s in sets], pa.binary()), pa.array(list(map(band_keys, sets)), pa.list_(pa.int64())),
+            ], [*names, "_sid", "_fp", "_keys"])
+
+    names = [f"_c{i}" for i in range(len(columns))]
+    given = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)), utf8("text").alias("_data"))
+    schema = given.drop("_data").schema.add("_sid", "binary").add("_fp", "binary").add("_keys", ArrayType(LongType()))
+    found = given.mapInArrow(rows, schema)
+    return found.select(*(F.col(n).alias(c) for c, n in zip([*columns, sid, fp, keys], [*names, "_sid", "_fp", "_keys"])))
+
+
+def _meetings(sets: DataFrame) -> DataFrame:
+    """(key, i, j, sid, fp): the sets that meet in one trie; groups over BLOCK_ROWS as blocks that meet in pairs."""
+    slim = cut_lineage(sets.select("sid", F.explode("keys").alias("key")))
+    sizes = slim.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+    met = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
+        F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: other != own))
+    keyed = slim.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(met))
+    keyed = cut_lineage(keyed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid"))
+    return keyed.join(sets.select("sid", "fp"), "sid")
+
+
+def _candidates(meetings: DataFrame, forests: int | None) -> DataFrame:
+    """(a, b, more): pairs of sets (a < b) with fingerprints within WIDE_BUDGET bits and different roots (column root).
+
+    A task emits ``forests`` spanning forests of its pairs, each of the links that the ones before leave; a row
+    without a and b says that links are left after the last one. None: every pair is emitted.
+    """
+    key = ["key", "i", "j"]
+    rows = meetings.repartition(*key).sortWithinPartitions(*key, "fp", "sid")
+
+    def found(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        group = np.array([r[0] for r in held])
+        keys = np.frombuffer(b"".join(r[1] + r[2] for r in held), np.uint8).reshape(len(held), WIDE_BITS // 8 + 16)
+        begins = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(held)]])
+        _, first, which = np.unique(np.array([r[3] for r in held], object), return_index=True, return_inverse=True)
+        roots = first[which]
+        sids = np.array([r[2] for r in held], object)
+
+        def packed(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+            x, y = sids[u], sids[v]
+            return pa.RecordBatch.from_arrays([
+                pa.array(list(map(min, x, y)), pa.binary()), pa.array(list(map(max, x, y)), pa.binary()), pa.array([False] * len(u), pa.bool_()),
+            ], schema=out)
+
+        if forests is None:
+            for u, v in trie_links(keys, begins, 0, WIDE_BUDGET, None, WIDE_BITS):
+                apart = roots[u] != roots[v]
+                for k in range(0, len(u), _STEP):
+                    yield packed(u[k:k + _STEP][apart[k:k + _STEP]], v[k:k + _STEP][apart[k:k + _STEP]])
+            return
+        grown = [Forest(len(held)) for _ in range(forests)]
+        for forest in grown:
+            forest.root = roots.copy()
+        nearer = _NEARER if np.diff(begins).max() > _MANY else ()
+        for limit in (*nearer, WIDE_BUDGET):
+            least = max((x for x in nearer if x < limit), default=-1)
+            for u, v in trie_links(keys, begins, 0, limit, grown[-1], WIDE_BITS):
+                wide = np.bitwise_count(keys[u, :WIDE_BITS // 8] ^ keys[v, :WIDE_BITS // 8]).sum(1, dtype=np.int64)
+                new = (wide > least) & (roots[u] != roots[v])
+                u, v = u[new], v[new]
+                for forest in grown:
+                    used = forest.grow(u, v)
+                    if used.any():
+                        yield packed(u[used], v[used])
+                    u, v = u[~used], v[~used]
+        # What the last forest connects may hold more links; two sets have one.
+        many = np.bincount(np.unique(np.stack([grown[-1].root, roots]), axis=1)[0])
+        if (many > (2 if forests == 1 else 1)).any():
+            yield pa.RecordBatch.from_pylist([{"a": None, "b": None, "more": True}], schema=out)
+
+    def tasks(batches):
+        held, group, last = [], -1, None
+        for batch in batches:
+            for k, i, j, sid, fp, root in zip(*(batch.column(c).to_pylist() for c in (*key, "sid", "fp", "root"))):
+                if (k, i, j) != last:
+                    group, last = group + 1, (k, i, j)
+                    if len(held) >= BLOCK_ROWS:
+                        yield from found(held)
+                        held = []
+                held.append((group, fp, sid, root))
+        if held:
+            yield from found(held)
+
+    out = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("more", pa.bool_())])
+    return rows.mapInArrow(tasks, "a binary, b binary, more boolean")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those whose shingle sets have a similarity of SIMILAR; ``texts``: one text (data) for each sid."""
+    def as_sets(batches):
+        for batch in pieces(batches, "data"):
+            sets = [shingle_set(d or b"").tobytes() for d in batch.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(sets, pa.binary())], ["sid", "hashes"])
+
+    def similar(batches):
+        for whole in batches:
+            for batch in pieces([whole], "x"):
+                keep = []
+                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    if min(len(x), len(y)) < SIMILAR * max(len(x), len(y)):
+                        keep.append(False)
+                        continue
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    # In whole numbers: 5 * both >= 4 * either.
+                    keep.append(5 * both >= 4 * (len(x) + len(y) - both))
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    sets = cut_lineage(texts.join(ends, "sid", "left_semi").select("sid", "data").mapInArrow(as_sets, "sid binary, hashes binary"))
+    joined = pairs.join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), "a")
+    joined = joined.join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b")
+    return joined.select("a", "b", "x", "y").mapInArrow(similar, "a binary, b binary")
+
+
+def similar_groups(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(sid, root) of every set that has links: root is the same for all that links of SIMILAR or more connect.
+
+    ``sets``: distinct (sid, fp, keys); ``texts``: (sid, data). Every candidate is verified on the shingles before it
+    links. The first round verifies a forest of each trie, the next ones what verified links have not connected
+    yet; the last one leaves no candidate out.
+    """
+    meetings = cut_lineage(_meetings(sets))
+    links = tried = groups = None
+    for forests in ROUNDS:
+        if groups is None:
+            rooted = meetings.withColumn("root", F.col("sid"))
+        else:
+            rooted = meetings.join(groups, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        found = cut_lineage(_candidates(rooted, forests).distinct())
+        pairs = found.filter("a is not null").select("a", "b")
+        new = pairs if tried is None else cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"))
+        good = cut_lineage(_verified(new, texts))
+        links = good if links is None else links.unionByName(good)
+        tried = new if tried is None else tried.unionByName(new)
+        groups = cut_lineage(components(links).select(F.col("node").alias("sid"), "root"))
+        if found.filter("more").isEmpty():
+            break
+    return groups
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies, with all its columns: that with the smallest doc_id, null ids last.
 
-    5-word shingles; texts link when their wide fingerprints differ in at most WIDE_BUDGET bits. Texts with fewer
-    words count as one shingle, texts without words are one group. Of rows that repeat the smallest id one stays.
+    Texts link when they share SIMILAR or more of their distinct 5-word shingles. Texts with fewer words count as
+    one shingle, texts without words are one group. Of rows that repeat the smallest id one stays.
     """
-    fp = fresh_name(docs.columns)
-    row = fresh_name(docs.columns, [fp])
-    prints = with_fingerprints(docs, fp, 5, WIDE_BITS).withColumn(row, F.monotonically_increasing_id())
-    prints = cut_lineage(prints)
-    groups = near_groups(prints.select(F.col(fp).alias("fp")), WIDE_BITS, WIDE_BUDGET, WIDE_TRIES)
+    sid = fresh_name(docs.columns)
+    fp = fresh_name(docs.columns, [sid])
+    keys = fresh_name(docs.columns, [sid, fp])
+    row = fresh_name(docs.columns, [sid, fp, keys])
+    prints = cut_lineage(_with_sets(docs, sid, fp, keys).withColumn(row, F.monotonically_increasing_id()))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(row).alias("row"))
-    first = prints.groupBy(F.col(fp).alias("fp")).agg(F.min(rank).alias("rank"))
-    kept = first.join(groups, "fp").groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(row))
+    first = cut_lineage(prints.groupBy(F.col(sid).alias("sid")).agg(F.min(rank).alias("rank")))
+    heads = prints.join(first.select(F.col("rank.row").alias(row)), row, "left_semi")
+    sets = heads.select(F.col(sid).alias("sid"), F.col(fp).alias("fp"), F.col(keys).alias("keys"))
+    groups = similar_groups(sets, heads.select(F.col(sid).alias("sid"), utf8("text").alias("data")))
+    rooted = first.join(groups, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    kept = rooted.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(row))
     return prints.join(cut_lineage(kept), row, "left_semi").select(*docs.columns)
