@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from duelframe.llm.common import cut_lineage
 
-#: Token positions that a seed compares; the others may differ. All begin with two neighbours.
-MASKS = ((0, 1, 3, 4, 7, 9, 10, 11), (0, 1, 2, 5, 7, 8, 10, 11))
-#: For items that are shorter than the masks.
-SHORT_MASK = (0, 1, 2, 3, 4)
-SPAN = 12
+#: Token positions that a seed compares, counted from two neighbours (0, 1); the others may differ. Every 13 tokens or
+#: more of which AGREE are equal hold one of these.
+MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5))
+#: For items under LONG tokens: every 5 tokens of which 4 are equal hold one.
+SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (-2, 0, 1, 2))
+LONG, SHORTEST = 13, 5
+#: For items that must be found exactly, by their number of tokens; items of one token are looked up.
+EXACT_MASKS = {2: (0, 1), 3: (0, 1, 2), 4: (0, 1, 2, 3)}
 #: Tokens around a hit that are compared, and the share of them that must agree.
 OVERLAP = 32
 AGREE = 0.8
@@ -35,7 +38,7 @@ def _seeds(tokens: str, places: Column, masks: dict[int, tuple[int, ...]]) -> Co
     t, n = F.col(tokens), F.size(tokens)
 
     def seeds(number: int, mask: tuple[int, ...]) -> Column:
-        fits = F.filter(places, lambda at: at + (mask[-1] + 1) <= n)
+        fits = F.filter(places, lambda at: (at + mask[0] >= 0) & (at + (mask[-1] + 1) <= n))
         return F.transform(fits, lambda at: F.struct(
             at.alias("at"), F.xxhash64(F.lit(number), *(F.get(t, at + o) for o in mask)).alias("key")))
 
@@ -53,27 +56,50 @@ def _pair_map(items: DataFrame) -> Column:
     return F.split(F.lit(line), ",").cast("array<bigint>")
 
 
+def _by_length(items: DataFrame) -> tuple[dict[int, tuple[int, ...]], DataFrame]:
+    """The masks that the benchmark's items need, by number, and the items' seeds: (ino, length, key, item_at)."""
+    every = F.sequence(F.lit(0), F.size("item") - 1)
+    n = F.size("item")
+    classes = [(n >= LONG, MASKS), ((n >= SHORTEST) & (n < LONG), SHORT_MASKS), *((n == k, (mask,)) for k, mask in EXACT_MASKS.items())]
+    present = items.agg(*(F.count_if(which).alias(str(i)) for i, (which, _) in enumerate(classes))).first()
+    masks, parts, number = {}, [], 0
+    for (which, kinds), there in zip(classes, present):
+        numbered = dict(enumerate(kinds, number))
+        number += len(kinds)
+        if there:
+            masks |= numbered
+        parts.append(items.filter(which).select("ino", n.alias("length"), F.explode(_seeds("item", every, numbered)).alias("s")))
+    wanted = parts[0]
+    for part in parts[1:]:
+        wanted = wanted.unionByName(part)
+    return masks, wanted.select("ino", "length", F.col("s.key").alias("key"), F.col("s.at").alias("item_at"))
+
+
+def _windows(pairs: DataFrame) -> DataFrame:
+    """compared and matched of each of the column ``windows``, where AGREE of the window do."""
+    tried = pairs.withColumn("compared", F.least(F.size("item"), F.lit(OVERLAP))).withColumn("w", F.explode("windows"))
+    same = F.aggregate(
+        F.sequence(F.lit(0), F.col("compared") - 1), F.lit(0),
+        lambda n, j: n + F.when(F.get("t", F.when(F.col("shift") + F.col("w") + j >= 0, F.col("shift") + F.col("w") + j)) == F.get("item", F.col("w") + j), 1).otherwise(0))
+    return tried.withColumn("matched", same).filter(F.col("matched") >= AGREE * F.col("compared"))
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """rid, doc_id, item_id, start, compared, matched: one row per document and benchmark text found in it.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. Tokens are words, A-Z lowered. A seed is the
-    hash of the tokens at the positions of a mask; seeds of documents and items meet in an equi-join, and on the
-    diagonal of each hit up to OVERLAP item tokens around it are compared: at least AGREE of them must agree
-    (``start``: the document's token under the item's first one, negative if that was cut off). Items with
-    equal tokens are one item (smallest item_id). Items of 5 to SPAN - 1 tokens take a mask of five
-    neighbours and are compared in whole; shorter ones and null texts are found nowhere. ``rid`` is a hash of
-    doc_id and text; rows that repeat both are one document.
+    hash of the tokens at the positions of a mask; seeds of documents and items meet in an equi-join, and the
+    diagonal of each hit is compared (``start``: the document's token under the item's first one, negative if that
+    was cut off). AGREE of up to OVERLAP item tokens around the hit must be equal. Items with equal tokens are one item (smallest item_id). Items of under SHORTEST tokens are
+    found exactly; null and empty texts nowhere. ``rid`` is a hash of doc_id and text; rows that repeat
+    both are one document.
 
     Every place of a document is first tried against a bit map of the benchmark's token pairs of fixed
     size; only places that pass are hashed by the masks, and only those rows leave the scan.
     """
-    items = benchmark.select("item_id", token_hashes(F.col("text")).alias("item")).filter(F.size("item") >= len(SHORT_MASK))
+    items = benchmark.select("item_id", token_hashes(F.col("text")).alias("item")).filter(F.size("item") > 0)
     items = cut_lineage(items.groupBy("item").agg(F.min("item_id").alias("item_id")).withColumn("ino", F.monotonically_increasing_id()))
-    numbered = dict(enumerate(MASKS))
-    every = F.sequence(F.lit(0), F.size("item") - 1)
-    long = items.filter(F.size("item") >= SPAN).select("ino", F.size("item").alias("length"), F.explode(_seeds("item", every, numbered)).alias("s"))
-    short = items.filter(F.size("item") < SPAN).select("ino", F.size("item").alias("length"), F.explode(_seeds("item", every, {len(MASKS): SHORT_MASK})).alias("s"))
-    wanted = long.unionByName(short).select("ino", "length", F.col("s.key").alias("key"), F.col("s.at").alias("item_at"))
+    masks, wanted = _by_length(items)
 
     known = _pair_map(items)
     rid = F.xxhash64("doc_id", "text").alias("rid")
@@ -87,20 +113,21 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     placed = tokens.select("doc_id", "rid", "t", F.filter(F.transform(_pair_hashes(F.col("t")), seen), lambda i: i.isNotNull()).alias("places"))
     placed = placed.filter(F.size("places") > 0)
-    seeds = placed.select("doc_id", "rid", F.explode(_seeds("t", F.col("places"), numbered | {len(MASKS): SHORT_MASK})).alias("s"))
+    seeds = placed.select("doc_id", "rid", F.explode(_seeds("t", F.col("places"), masks or {0: MASKS[0]})).alias("s"))
     hits = seeds.select("doc_id", "rid", F.col("s.key").alias("key"), F.col("s.at").alias("at")).join(wanted, "key")
     width = F.least("length", F.lit(OVERLAP))
-    window = F.greatest(F.lit(0), F.least(F.col("item_at") + SPAN // 2 - F.floor(width / 2).cast("int"), F.col("length") - width))
-    hits = cut_lineage(hits.groupBy("doc_id", "rid", "ino", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set(window).alias("windows")))
+    window = F.greatest(F.lit(0), F.least(F.col("item_at") + 3 - F.floor(width / 2).cast("int"), F.col("length") - width))
+    hits = hits.select("doc_id", "rid", "ino", (F.col("at") - F.col("item_at")).alias("shift"), window.cast("int").alias("window"))
+    ones = items.filter(F.size("item") == 1).select("ino", F.get("item", F.lit(0)).alias("token"))
+    if not ones.isEmpty():
+        single = tokens.select("doc_id", "rid", "t", F.explode(F.array_distinct("t")).alias("token")).join(ones, "token")
+        hits = hits.unionByName(single.select("doc_id", "rid", "ino", (F.array_position("t", F.col("token")) - 1).cast("int").alias("shift"), F.lit(0).alias("window")))
+    hits = cut_lineage(hits.groupBy("doc_id", "rid", "ino", "shift").agg(F.collect_set("window").alias("windows")))
 
     texts = docs.select(rid, "text").join(hits.select("rid").distinct(), "rid", "left_semi").groupBy("rid").agg(F.first("text").alias("text"))
     texts = cut_lineage(texts.select("rid", token_hashes(F.col("text")).alias("t")))
-    pairs = hits.join(texts, "rid").join(items, "ino").withColumn("compared", F.least(F.size("item"), F.lit(OVERLAP)))
-    tried = pairs.select("doc_id", "rid", "item_id", "shift", "compared", "t", "item", F.explode("windows").alias("w"))
-    same = F.aggregate(
-        F.sequence(F.lit(0), F.col("compared") - 1), F.lit(0),
-        lambda n, j: n + F.when(F.get("t", F.when(F.col("shift") + F.col("w") + j >= 0, F.col("shift") + F.col("w") + j)) == F.get("item", F.col("w") + j), 1).otherwise(0))
-    tried = tried.select("doc_id", "rid", "item_id", "shift", "compared", same.alias("matched")).filter(F.col("matched") >= AGREE * F.col("compared"))
+    pairs = hits.join(texts, "rid").join(items, "ino")
+    tried = _windows(pairs)
     best = tried.groupBy("doc_id", "rid", "item_id").agg(F.max_by(F.struct("shift", "compared", "matched"), F.struct("matched", "compared", -F.col("shift"))).alias("best"))
     return best.select("rid", "doc_id", "item_id", F.col("best.shift").alias("start"), F.col("best.compared").alias("compared"), F.col("best.matched").alias("matched"))
 
