@@ -13,7 +13,7 @@ from duelframe.llm.line_dedup import dedup_lines
 from duelframe.llm.ngram_trie import number_corpus, score_corpus
 from duelframe.llm.quality_fm import score_quality, train_quality
 from duelframe.llm.simhash_trie import simhash_components
-from duelframe.llm.spaced_seeds import find_overlaps
+from duelframe.llm.spaced_seeds import EXCERPT, find_overlaps
 from duelframe.llm.toxicity_mil import score_toxicity, train_toxicity
 from duelframe.llm.url_rules import judge_urls
 from duelframe.llm.warc import archive_round_trip
@@ -61,7 +61,7 @@ def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), EXCERPT)
     return found.select("doc_id", "item_id", "start", "compared", "matched")
 
 

@@ -18,6 +18,8 @@ EXACT_MASKS = {2: (0, 1), 3: (0, 1, 2), 4: (0, 1, 2, 3)}
 #: Tokens around a hit that are compared, and the share of them that must agree.
 OVERLAP = 32
 AGREE = 0.8
+#: Tokens from which on an excerpt of an item counts, wherever it lies in the item.
+EXCERPT = 13
 #: Bits (as a power of two) of the map of token pairs that occur in the benchmark: 128 KB, whatever its size.
 MAP_BITS = 20
 
@@ -84,19 +86,50 @@ def _windows(pairs: DataFrame) -> DataFrame:
     return tried.withColumn("matched", same).filter(F.col("matched") >= AGREE * F.col("compared"))
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _excerpts(pairs: DataFrame, least: int) -> DataFrame:
+    """compared and matched of the best run of ``least`` item tokens or more (of all, if there are fewer) on the diagonal.
+
+    An equal token counts 1 and another one -4, so that a sum of 0 is an agreement of 0.8; the best run has the
+    largest sum. One pass: the sum up to a token less the smallest sum up to ``least`` tokens before it.
+    """
+    place = lambda j: F.when(F.col("shift") + j >= 0, F.col("shift") + j)
+    scores = F.transform(F.sequence(F.lit(0), F.size("item") - 1), lambda j: F.when(F.get("t", place(j)) == F.get("item", j), 1).otherwise(-4))
+    pairs = pairs.withColumn("scores", scores).withColumn("least", F.least(F.size("item"), F.lit(least)))
+    fields = ("end", "sum", "before", "low", "low_at", "best", "first", "last")
+
+    def step(a: Column, score: Column) -> Column:
+        end, total = a["end"] + 1, a["sum"] + score
+        behind = end - F.col("least") - 1
+        before = a["before"] + F.when(behind >= 0, F.get("scores", behind)).otherwise(0)
+        reached = behind >= -1
+        lower = reached & (before < a["low"])
+        low, low_at = F.when(lower, before).otherwise(a["low"]), F.when(lower, behind + 1).otherwise(a["low_at"])
+        wins = reached & (total - low > a["best"])
+        values = (end, total, before, low, low_at, F.when(wins, total - low).otherwise(a["best"]), F.when(wins, low_at).otherwise(a["first"]), F.when(wins, end).otherwise(a["last"]))
+        return F.struct(*(v.cast("int").alias(f) for v, f in zip(values, fields)))
+
+    zero = F.struct(*(F.lit(v).cast("int").alias(f) for v, f in zip((0, 0, 0, 1 << 30, 0, -1, 0, 0), fields)))
+    run = pairs.withColumn("run", F.aggregate("scores", zero, step)).filter("run.best >= 0").withColumn("compared", F.expr("run.last - run.first"))
+    return run.withColumn("matched", F.expr("(run.best + 4 * compared) div 5").cast("int"))
+
+
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, excerpt: int | None = None) -> DataFrame:
     """rid, doc_id, item_id, start, compared, matched: one row per document and benchmark text found in it.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. Tokens are words, A-Z lowered. A seed is the
     hash of the tokens at the positions of a mask; seeds of documents and items meet in an equi-join, and the
     diagonal of each hit is compared (``start``: the document's token under the item's first one, negative if that
-    was cut off). AGREE of up to OVERLAP item tokens around the hit must be equal. Items with equal tokens are one item (smallest item_id). Items of under SHORTEST tokens are
+    was cut off). With ``excerpt`` (LONG or more) any run of so many item tokens of which AGREE are equal is found,
+    or the whole item if it is shorter, and the best run is told. Without it AGREE of up to OVERLAP item tokens around
+    the hit must be equal. Items with equal tokens are one item (smallest item_id). Items of under SHORTEST tokens are
     found exactly; null and empty texts nowhere. ``rid`` is a hash of doc_id and text; rows that repeat
     both are one document.
 
     Every place of a document is first tried against a bit map of the benchmark's token pairs of fixed
     size; only places that pass are hashed by the masks, and only those rows leave the scan.
     """
+    if excerpt is not None and excerpt < LONG:
+        raise ValueError(f"excerpts of under {LONG} tokens have no seed for certain")
     items = benchmark.select("item_id", token_hashes(F.col("text")).alias("item")).filter(F.size("item") > 0)
     items = cut_lineage(items.groupBy("item").agg(F.min("item_id").alias("item_id")).withColumn("ino", F.monotonically_increasing_id()))
     masks, wanted = _by_length(items)
@@ -122,17 +155,21 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not ones.isEmpty():
         single = tokens.select("doc_id", "rid", "t", F.explode(F.array_distinct("t")).alias("token")).join(ones, "token")
         hits = hits.unionByName(single.select("doc_id", "rid", "ino", (F.array_position("t", F.col("token")) - 1).cast("int").alias("shift"), F.lit(0).alias("window")))
-    hits = cut_lineage(hits.groupBy("doc_id", "rid", "ino", "shift").agg(F.collect_set("window").alias("windows")))
+    if excerpt is None:
+        hits = hits.groupBy("doc_id", "rid", "ino", "shift").agg(F.collect_set("window").alias("windows"))
+    else:
+        hits = hits.select("doc_id", "rid", "ino", "shift").distinct()
+    hits = cut_lineage(hits)
 
     texts = docs.select(rid, "text").join(hits.select("rid").distinct(), "rid", "left_semi").groupBy("rid").agg(F.first("text").alias("text"))
     texts = cut_lineage(texts.select("rid", token_hashes(F.col("text")).alias("t")))
     pairs = hits.join(texts, "rid").join(items, "ino")
-    tried = _windows(pairs)
+    tried = _windows(pairs) if excerpt is None else _excerpts(pairs, excerpt)
     best = tried.groupBy("doc_id", "rid", "item_id").agg(F.max_by(F.struct("shift", "compared", "matched"), F.struct("matched", "compared", -F.col("shift"))).alias("best"))
     return best.select("rid", "doc_id", "item_id", F.col("best.shift").alias("start"), F.col("best.compared").alias("compared"), F.col("best.matched").alias("matched"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark text is found, with all their columns."""
-    found = find_overlaps(docs.select("doc_id", "text"), benchmark).select(F.col("rid").alias("_found")).distinct()
+    """The rows of ``docs`` in which no benchmark text or excerpt of one is found, with all their columns."""
+    found = find_overlaps(docs.select("doc_id", "text"), benchmark, EXCERPT).select(F.col("rid").alias("_found")).distinct()
     return docs.join(found, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_found"), "left_anti")
