@@ -21,7 +21,6 @@ REVISIT_LEAST = 1000
 #: A writer begins another archive beyond this size.
 ARCHIVE_BYTES = 32 << 20
 _CHUNK = 1 << 20
-_LONGEST_HEAD = 1 << 16
 _DATE = b"2000-01-01T00:00:00Z"
 _PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -110,7 +109,7 @@ class _Damaged(Exception):
 
 
 def _head(data: bytes) -> tuple[dict[str, str], int]:
-    end = data.find(b"\r\n\r\n", 0, _LONGEST_HEAD)
+    end = data.find(b"\r\n\r\n")
     if end < 0:
         raise _Damaged("head without end")
     first, *lines = data[:end].split(b"\r\n")
@@ -138,8 +137,13 @@ def _plain(window: _Window, at: int) -> Record:
     head = window.get(at, at + 4096)
     if not head.startswith(b"WARC/"):
         raise _Damaged("no version line")
-    if b"\r\n\r\n" not in head:
-        head = window.get(at, at + _LONGEST_HEAD)
+    while b"\r\n\r\n" not in head:
+        # No head has a whole line without colon after the first; this ends the search in damaged archives.
+        if any(b":" not in line for line in head.split(b"\r\n")[1:-1]):
+            raise _Damaged("header line without colon")
+        if not window.upto(at + len(head) + 1):
+            raise _Damaged("head without end")
+        head = window.get(at, at + 2 * len(head))
     headers, size = _head(head)
     end = at + size + int(headers["content-length"])
     if not window.upto(end + 4):
@@ -283,9 +287,11 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return cut_lineage(given.mapInArrow(write, "path string, records bigint, bytes bigint"))
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
+def read_archives(archives: DataFrame, whole: bool = False) -> DataFrame:
     """Every valid record and every gap of the archives named in column ``path``, one archive per task at a time.
 
+    ``whole``: the column ``records`` tells how many records an archive has; another number, or a gap, is an error.
+
     path, start, end; for records warc_type, record_id, target_uri, refers_to, payload_digest (hex of the
     header), http_length (Content-Length of the HTTP head), payload and its own digest; for gaps the reason.
     Payloads are not kept for revisits, which have none.
@@ -315,31 +321,37 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            for name in batch.column("path").to_pylist():
+            for name, records in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist()):
                 files, path = pafs.FileSystem.from_uri(name)
-                rows, size = [], 0
+                rows, size, seen = [], 0, 0
                 with files.open_input_stream(path, compression=None) as stream:
                     for item in salvage(stream):
+                        if whole and isinstance(item, Gap):
+                            raise ValueError(f"{name}: bytes {item.start} to {item.end} are no record: {item.reason}")
+                        seen += 1
                         rows.append(one(name, item))
                         size += len(rows[-1][9] or b"") + 500
                         if size > _CHUNK * 8:
                             yield packed(rows)
                             rows, size = [], 0
+                if whole and seen != records:
+                    raise ValueError(f"{name}: {seen} records were read, {records} were written")
                 if rows:
                     yield packed(rows)
 
-    return archives.select("path").mapInArrow(read, schema)
+    return archives.select("path", (F.col("records") if whole else F.lit(None).cast("bigint")).alias("records")).mapInArrow(read, schema)
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Writes the pages to archives in the shared folder, reads these back and returns what the records tell.
 
     page_id, payload_bytes, payload_digest, record_type and refers_to (null for responses). A response tells
-    size and digest of the payload that was read, a revisit those of its headers.
+    size and digest of the payload that was read, a revisit those of its headers. A record that cannot be read
+    back is an error.
     """
     archives = write_archives(pages, shared_folder(pages.sparkSession, "warc"))
     # A number is given, as adaptive execution would join tasks by the size of the names, not of the archives.
-    records = read_archives(archives.repartition(max(archives.count(), 1))).filter("gap is null")
+    records = read_archives(archives.repartition(max(archives.count(), 1)), whole=True)
 
     def page(column: str) -> Column:
         return F.regexp_extract(column, r"^<urn:page:(-?\d+)>$", 1).try_cast("bigint")
