@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,6 +22,9 @@ REVISIT_LEAST = 1000
 #: A writer begins another archive beyond this size.
 ARCHIVE_BYTES = 32 << 20
 _CHUNK = 1 << 20
+_VERSION_LINE = re.compile(rb"WARC/[0-9]+(?:\.[0-9]+)*\r\n")
+#: What a record begins with: a gzip member or a version line.
+_MARKS = (b"\x1f\x8b\x08", b"WARC/")
 _DATE = b"2000-01-01T00:00:00Z"
 _PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -74,6 +78,14 @@ class _Window:
 
     def __init__(self, stream):
         self.stream, self.base, self.data, self.over = stream, 0, bytearray(), False
+        #: For each mark where it was found last (-1: nowhere yet) and up to where it does not begin.
+        self.seen: dict[bytes, tuple[int, int]] = {}
+        #: The line found last; heads that begin before ``refused`` fail for the same reason as an earlier one.
+        self.line, self.refused, self.reason = (0, -1), 0, ""
+
+    def refuse(self, until: float, reason: str) -> _Damaged:
+        self.refused, self.reason = until, reason
+        return _Damaged(reason)
 
     def upto(self, end: int) -> bool:
         """True if the stream reaches absolute offset ``end``."""
@@ -92,22 +104,52 @@ class _Window:
             del self.data[:start - self.base]
             self.base = start
 
-    def find(self, what: bytes, start: int) -> int | None:
+    def find(self, marks: tuple[bytes, ...], start: int) -> int | None:
+        """Where the first of the marks begins; bytes are let go only behind what was searched for all of them."""
         while True:
-            at = self.data.find(what, start - self.base)
-            if at >= 0:
-                return self.base + at
+            for mark in marks:
+                at, clear = self.seen.get(mark, (-1, 0))
+                if at < start:
+                    clear = max(clear, start)
+                    at = self.data.find(mark, clear - self.base)
+                    clear = max(clear, self.base + len(self.data) - len(mark) + 1)
+                    self.seen[mark] = (self.base + at if at >= 0 else -1, clear if at < 0 else self.base + at)
+            found = [at for at, _ in map(self.seen.get, marks) if at >= start]
+            if found:
+                return min(found)
             if self.over:
                 return None
-            start = max(start, self.base + len(self.data) - len(what) + 1)
-            self.drop(start)
+            self.drop(min(clear for _, clear in map(self.seen.get, marks)))
             self.upto(self.base + len(self.data) + 1)
 
+    def line_end(self, start: int) -> int | None:
+        """Where the line at ``start`` ends. Remembered, so that starts inside a long line do not search it again."""
+        if not self.line[0] <= start <= self.line[1]:
+            at = start
+            while True:
+                end = self.data.find(b"\r\n", at - self.base)
+                if end >= 0:
+                    self.line = (start, self.base + end)
+                    break
+                if self.over:
+                    return None
+                at = max(start, self.base + len(self.data) - 1)
+                self.upto(self.base + len(self.data) + 1)
+        return self.line[1]
+
 
 class _Damaged(Exception):
     pass
 
 
+def _lacks(headers: dict[str, str]) -> str | None:
+    """The mandatory header that is missing."""
+    length = headers.get("content-length", "")
+    if not (length.isascii() and length.isdigit()):
+        return "no content length"
+    return next((f"no {name}" for name in ("warc-type", "warc-record-id", "warc-date") if not headers.get(name)), None)
+
+
 def _head(data: bytes) -> tuple[dict[str, str], int]:
     end = data.find(b"\r\n\r\n")
     if end < 0:
@@ -121,8 +163,9 @@ def _head(data: bytes) -> tuple[dict[str, str], int]:
         if not colon:
             raise _Damaged("header line without colon")
         headers[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
-    if not headers.get("content-length", "").isascii() or not headers.get("content-length", "").isdigit():
-        raise _Damaged("no content length")
+    lacks = _lacks(headers)
+    if lacks:
+        raise _Damaged(lacks)
     return headers, end + 4
 
 
@@ -133,24 +176,38 @@ def _check(headers: dict[str, str], block: bytes) -> None:
 
 
 def _plain(window: _Window, at: int) -> Record:
-    """The uncompressed record at ``at``."""
-    head = window.get(at, at + 4096)
-    if not head.startswith(b"WARC/"):
+    """The uncompressed record at ``at``.
+
+    The head is read line by line. One that fails at some line, or ends without a length, says so for all heads
+    that begin before: their lines from there on are the same. So false version lines cost no second reading.
+    """
+    version = _VERSION_LINE.match(window.get(at, at + 32))
+    if not version:
         raise _Damaged("no version line")
-    while b"\r\n\r\n" not in head:
-        # No head has a whole line without colon after the first; this ends the search in damaged archives.
-        if any(b":" not in line for line in head.split(b"\r\n")[1:-1]):
-            raise _Damaged("header line without colon")
-        if not window.upto(at + len(head) + 1):
-            raise _Damaged("head without end")
-        head = window.get(at, at + 2 * len(head))
-    headers, size = _head(head)
-    end = at + size + int(headers["content-length"])
+    if at < window.refused:
+        raise _Damaged(window.reason)
+    pos, headers = at + version.end(), {}
+    while True:
+        end = window.line_end(pos)
+        if end is None:
+            raise window.refuse(float("inf"), "head without end")
+        if end == pos:
+            break
+        name, colon, value = window.get(pos, end).partition(b":")
+        if not colon:
+            raise window.refuse(pos, "header line without colon")
+        headers[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+        pos = end + 2
+    lacks = _lacks(headers)
+    if lacks:
+        raise window.refuse(pos, lacks)
+    begin = pos + 2
+    end = begin + int(headers["content-length"])
     if not window.upto(end + 4):
         raise _Damaged("record is cut off")
     if window.get(end, end + 4) != b"\r\n\r\n":
         raise _Damaged("no end of record")
-    block = window.get(at + size, end)
+    block = window.get(begin, end)
     _check(headers, block)
     return Record(at, end + 4, headers, block)
 
@@ -162,7 +219,8 @@ def _member(window: _Window, at: int) -> Record:
     unpack, out, pos = zlib.decompressobj(31), [], at
     try:
         while not unpack.eof:
-            data = window.get(pos, pos + (1 << 16))
+            # A short first look: most false marks end there.
+            data = window.get(pos, pos + (1 << 16 if out else 1 << 9))
             if not data:
                 raise _Damaged("member is cut off")
             out.append(unpack.decompress(data))
@@ -185,7 +243,8 @@ def salvage(stream) -> Iterator[Record | Gap]:
     """All valid records of an archive (gzip members or plain), and the gaps between them, in order.
 
     After a failed check the search goes on one byte further, for the next gzip member or version line that
-    begins a valid record; what lies between is one gap. Memory is bounded by the longest record.
+    begins a valid record; what lies between is one gap. Both marks are sought in one pass forward. Records and
+    gaps cover the archive without overlap. Memory is bounded by the longest record that a head announces.
     """
     window, at, lost, reason = _Window(stream), 0, None, ""
     while window.upto(at + 1):
@@ -195,13 +254,11 @@ def salvage(stream) -> Iterator[Record | Gap]:
         except _Damaged as e:
             if lost is None:
                 lost, reason = at, str(e)
-            found = [x for x in (window.find(b"\x1f\x8b\x08", at + 1), ) if x is not None]
-            plain = _next_version(window, at + 1, found[0] if found else None)
-            found += [] if plain is None else [plain]
-            if not found:
+            found = window.find(_MARKS, at + 1)
+            if found is None:
                 at = window.base + len(window.data)
                 break
-            at = min(found)
+            at = found
             continue
         if lost is not None:
             yield Gap(lost, at, reason)
@@ -213,13 +270,6 @@ def salvage(stream) -> Iterator[Record | Gap]:
         yield Gap(lost, at, reason)
 
 
-def _next_version(window: _Window, start: int, before: int | None) -> int | None:
-    if before is None:
-        return window.find(b"WARC/", start)
-    at = window.data.find(b"WARC/", start - window.base, before - window.base)
-    return window.base + at if at >= 0 else None
-
-
 @dataclass
 class _Writer:
     """Archives of one task; a retry writes the same names anew, and a file appears only when it is whole."""
