@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duelframe.llm.common import pieces, utf8
+from duelframe.llm.common import pieces, quoted, utf8
 
 #: Distinct words whose ids a task remembers; beyond, it starts anew.
 REMEMBERED = 300_000
@@ -115,7 +115,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, carry: list[str]) ->
             column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(out) if out else pa.array([], pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.select(names).columns, column], [*names, "ids"])
 
-    given = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)), utf8("text").alias("_data"))
+    given = docs.select(*(quoted(c).alias(n) for c, n in zip(carry, names)), utf8("text").alias("_data"))
     schema = given.drop("_data").schema.add("ids", docs.sparkSession.range(0).select(F.array(F.lit(0))).schema[0].dataType)
     return given.mapInArrow(rows, schema).select(*(F.col(n).alias(c) for c, n in zip(carry, names)), "ids")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from duelframe.session import cut_lineage
 
-__all__ = ["cut_lineage", "fresh_name", "lower_words", "pieces", "remainder", "shared_folder", "table", "utf8"]
+__all__ = ["cut_lineage", "fresh_name", "lower_words", "pieces", "quoted", "remainder", "shared_folder", "table", "utf8"]
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -36,6 +36,11 @@ def lower_words(data: bytes) -> list[bytes]:
     return data.translate(_LOWER).split()
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def fresh_name(*taken: list[str]) -> str:
     """A column name that none of the given frames uses."""
     used = {c.lower() for names in taken for c in names}

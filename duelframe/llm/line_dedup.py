@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duelframe.llm.common import cut_lineage, pieces, utf8
+from duelframe.llm.common import cut_lineage, pieces, quoted, utf8
 
 #: A fingerprint covers whole lines with this many words at least; shorter repeats are left alone.
 RUN_WORDS = 30
@@ -150,7 +150,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 batch.column("row"), pa.array([o[0].decode() for o in out], pa.string()), pa.array([o[2] for o in out], pa.int64()), pa.array([o[1] for o in out], spans),
             ], ["row", "cleaned", "n_lines", "removed"])
 
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), utf8("text").alias("data"), key.alias("rid"))
+    rows = docs.select(F.struct(*(quoted(c) for c in names)).alias("row"), utf8("text").alias("data"), key.alias("rid"))
     rows = rows.join(cuts, "rid", "left").select("row", "data", "runs")
     made = "cleaned string, n_lines bigint, removed array<struct<first:bigint,last:bigint,words:bigint>>"
     schema = T.StructType([*rows.select("row").schema, *T.StructType.fromDDL(made)])

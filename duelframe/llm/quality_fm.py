@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duelframe.llm.common import lower_words, pieces, utf8
+from duelframe.llm.common import lower_words, pieces, quoted, utf8
 from duelframe.llm.samples import labelled_sample
 
 BUCKETS = 1 << 13
@@ -160,7 +160,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, carry: list[str]
             scores = pa.array([model.probability(b, s) for b, s in zip(found, stats)], pa.float64())
             yield pa.RecordBatch.from_arrays([*kept.columns, scores], [*kept.schema.names, "score"])
 
-    given = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)), *_input(docs))
+    given = docs.select(*(quoted(c).alias(f"c{i}") for i, c in enumerate(carry)), *_input(docs))
     types = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     scored = given.mapInArrow(rows, f"{types}, score double")
     return scored.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)), F.col("score").alias(name))

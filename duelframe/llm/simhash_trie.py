@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from duelframe.llm.common import cut_lineage, fresh_name, lower_words, pieces, utf8
+from duelframe.llm.common import cut_lineage, fresh_name, lower_words, pieces, quoted, utf8
 from duelframe.llm.components import Forest, components
 
 SEED = 42
@@ -71,7 +71,7 @@ def with_fingerprints(docs: DataFrame, name: str, size: int = 3, bits: int = 64)
             yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(found, pa.binary())], [*names, "_fp"])
 
     names = [f"_c{i}" for i in range(len(columns))]
-    given = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)), utf8("text").alias("_data"))
+    given = docs.select(*(quoted(c).alias(n) for c, n in zip(columns, names)), utf8("text").alias("_data"))
     schema = given.drop("_data").schema.add("_fp", "binary")
     return given.mapInArrow(rows, schema).select(*(F.col(n).alias(c) for c, n in zip(columns, names)), F.col("_fp").alias(name))
 
@@ -256,10 +256,8 @@ SIMILAR = 0.8
 WIDE_BUDGET = 120
 #: Tries, and the least hashes that name one. A pair at SIMILAR shares none with probability (1 - 0.8^6)^32 = 6e-5.
 BANDS, BAND_ROWS = 32, 6
-#: Forests of candidates that a task emits in each round; None: all candidates.
-ROUNDS = (1, 8, None)
-#: Where there are many rows, candidates within fewer bits join the forests first.
-_NEARER, _MANY = (56, 80), 64
+#: Bytes of shingle hashes of one block of a unit, and pairs that are verified before the forest is asked again.
+BLOCK_BYTES, _CHECKED = 48 << 20, 2048
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64) << np.uint64(1) | np.uint64(1)
 
 
@@ -279,8 +277,8 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
 
 
-def _with_sets(docs: DataFrame, sid: str, fp: str, keys: str) -> DataFrame:
-    """Adds a digest of every text's shingle set, the set's wide fingerprint and its band keys."""
+def _with_sets(docs: DataFrame, sid: str, fp: str, keys: str, size: str) -> DataFrame:
+    """Adds a digest of every text's shingle set, the set's wide fingerprint, its band keys and its size."""
     columns = docs.columns
 
     def rows(batches):
@@ -289,146 +287,141 @@ def _with_sets(docs: DataFrame, sid: str, fp: str, keys: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 *batch.select(names).columns, pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([fingerprint(s, WIDE_BITS) for s in sets], pa.binary()), pa.array(list(map(band_keys, sets)), pa.list_(pa.int64())),
-            ], [*names, "_sid", "_fp", "_keys"])
+                pa.array(list(map(len, sets)), pa.int64()),
+            ], [*names, "_sid", "_fp", "_keys", "_size"])
 
     names = [f"_c{i}" for i in range(len(columns))]
-    given = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)), utf8("text").alias("_data"))
-    schema = given.drop("_data").schema.add("_sid", "binary").add("_fp", "binary").add("_keys", ArrayType(LongType()))
+    given = docs.select(*(quoted(c).alias(n) for c, n in zip(columns, names)), utf8("text").alias("_data"))
+    schema = given.drop("_data").schema.add("_sid", "binary").add("_fp", "binary").add("_keys", ArrayType(LongType())).add("_size", LongType())
     found = given.mapInArrow(rows, schema)
-    return found.select(*(F.col(n).alias(c) for c, n in zip([*columns, sid, fp, keys], [*names, "_sid", "_fp", "_keys"])))
+    return found.select(*(F.col(n).alias(c) for c, n in zip([*columns, sid, fp, keys, size], [*names, "_sid", "_fp", "_keys", "_size"])))
 
 
-def _meetings(sets: DataFrame) -> DataFrame:
-    """(key, i, j, sid, fp): the sets that meet in one trie; groups over BLOCK_ROWS as blocks that meet in pairs."""
-    slim = cut_lineage(sets.select("sid", F.explode("keys").alias("key")))
-    sizes = slim.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
-    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    met = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
-        F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: other != own))
-    keyed = slim.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(met))
-    keyed = cut_lineage(keyed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid"))
-    return keyed.join(sets.select("sid", "fp"), "sid")
+def _units(sets: DataFrame) -> DataFrame:
+    """(sid, units): for each set the units in which it meets others, with the number of their blocks.
 
-
-def _candidates(meetings: DataFrame, forests: int | None) -> DataFrame:
-    """(a, b, more): pairs of sets (a < b) with fingerprints within WIDE_BUDGET bits and different roots (column root).
-
-    A task emits ``forests`` spanning forests of its pairs, each of the links that the ones before leave; a row
-    without a and b says that links are left after the last one. None: every pair is emitted.
+    Sets with one band key in common meet. All keys whose least member is the same are one unit, so that two copies
+    meet once and a large group a few times, not once for each key.
+    """
+    slim = cut_lineage(sets.select("sid", "size", F.explode("keys").alias("key")))
+    least = slim.groupBy("key").agg(F.min("sid").alias("unit"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = cut_lineage(slim.join(least, "key").select("unit", "sid", "size").distinct())
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("size") * 8 / BLOCK_BYTES)).cast("int")
+    sizes = members.groupBy("unit").agg(blocks.alias("blocks"))
+    # At most one unit for each band.
+    return members.join(sizes, "unit").groupBy("sid").agg(F.collect_list(F.struct("unit", "blocks")).alias("units"))
+
+
+class _Overlaps:
+    """Similarities of the sets of one block, counted over numbers of their distinct hashes."""
+
+    def __init__(self, sets: list[bytes]):
+        hashes = np.frombuffer(b"".join(sets), np.uint64)
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets)) // 8
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        distinct, self.numbers = np.unique(hashes, return_inverse=True)
+        self.marked = np.zeros(len(distinct), bool)
+
+    def similar(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Which pairs share SIMILAR or more of their distinct hashes, exactly."""
+        out = np.zeros(len(u), bool)
+        x, y = self.sizes[u], self.sizes[v]
+        # In whole numbers: 5 * both >= 4 * either; both is at most the smaller size.
+        todo = np.flatnonzero(5 * np.minimum(x, y) >= 4 * np.maximum(x, y))
+        todo = todo[np.argsort(u[todo], kind="stable")]
+        for part in np.split(todo, np.flatnonzero(np.diff(u[todo])) + 1):
+            if not len(part):
+                continue
+            one, others = u[part[0]], v[part]
+            own = self.numbers[self.starts[one]:self.starts[one] + self.sizes[one]]
+            self.marked[own] = True
+            lengths = self.sizes[others]
+            ends = np.cumsum(lengths)
+            at = np.arange(ends[-1]) + np.repeat(self.starts[others] - ends + lengths, lengths)
+            both = np.add.reduceat(self.marked[self.numbers[at]], ends - lengths, dtype=np.int64)
+            self.marked[own] = False
+            out[part] = 5 * both >= 4 * (self.sizes[one] + lengths - both)
+        return out
+
+
+def _similar_links(work: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest of the links of each unit and pair of blocks (columns unit, i, j; sid, fp, hashes).
+
+    A candidate of the trie is verified on the shingles in the same task before it links; rows that are connected
+    already are not compared. So what a task holds is two blocks, and what it gives is at most one row for each set.
     """
-    key = ["key", "i", "j"]
-    rows = meetings.repartition(*key).sortWithinPartitions(*key, "fp", "sid")
+    key = ["unit", "i", "j"]
+    rows = work.repartition(*key).sortWithinPartitions(*key, "fp", "sid")
 
-    def found(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def found(held: list[tuple]) -> pa.RecordBatch | None:
         group = np.array([r[0] for r in held])
         keys = np.frombuffer(b"".join(r[1] + r[2] for r in held), np.uint8).reshape(len(held), WIDE_BITS // 8 + 16)
         begins = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(held)]])
-        _, first, which = np.unique(np.array([r[3] for r in held], object), return_index=True, return_inverse=True)
-        roots = first[which]
+        forest, overlaps = Forest(len(held)), _Overlaps([r[3] for r in held])
+
+        def link(u: np.ndarray, v: np.ndarray) -> None:
+            for k in range(0, len(u), _CHECKED):
+                a, b = u[k:k + _CHECKED], v[k:k + _CHECKED]
+                apart = forest.root[a] != forest.root[b]
+                a, b = a[apart], b[apart]
+                good = overlaps.similar(a, b)
+                forest.add(a[good], b[good])
+
+        # Most of a group of copies is connected by its first row and by neighbours in order.
+        heads, rest = np.repeat(begins[:-1], np.diff(begins)), np.arange(len(held))
+        link(heads[rest != heads], rest[rest != heads])
+        beside = np.flatnonzero(group[1:] == group[:-1])
+        link(beside, beside + 1)
+        for u, v in trie_links(keys, begins, 0, WIDE_BUDGET, forest, WIDE_BITS):
+            link(u, v)
+        away = np.flatnonzero(forest.root != np.arange(len(held)))
+        if not len(away):
+            return None
         sids = np.array([r[2] for r in held], object)
-
-        def packed(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-            x, y = sids[u], sids[v]
-            return pa.RecordBatch.from_arrays([
-                pa.array(list(map(min, x, y)), pa.binary()), pa.array(list(map(max, x, y)), pa.binary()), pa.array([False] * len(u), pa.bool_()),
-            ], schema=out)
-
-        if forests is None:
-            for u, v in trie_links(keys, begins, 0, WIDE_BUDGET, None, WIDE_BITS):
-                apart = roots[u] != roots[v]
-                for k in range(0, len(u), _STEP):
-                    yield packed(u[k:k + _STEP][apart[k:k + _STEP]], v[k:k + _STEP][apart[k:k + _STEP]])
-            return
-        grown = [Forest(len(held)) for _ in range(forests)]
-        for forest in grown:
-            forest.root = roots.copy()
-        nearer = _NEARER if np.diff(begins).max() > _MANY else ()
-        for limit in (*nearer, WIDE_BUDGET):
-            least = max((x for x in nearer if x < limit), default=-1)
-            for u, v in trie_links(keys, begins, 0, limit, grown[-1], WIDE_BITS):
-                wide = np.bitwise_count(keys[u, :WIDE_BITS // 8] ^ keys[v, :WIDE_BITS // 8]).sum(1, dtype=np.int64)
-                new = (wide > least) & (roots[u] != roots[v])
-                u, v = u[new], v[new]
-                for forest in grown:
-                    used = forest.grow(u, v)
-                    if used.any():
-                        yield packed(u[used], v[used])
-                    u, v = u[~used], v[~used]
-        # What the last forest connects may hold more links; two sets have one.
-        many = np.bincount(np.unique(np.stack([grown[-1].root, roots]), axis=1)[0])
-        if (many > (2 if forests == 1 else 1)).any():
-            yield pa.RecordBatch.from_pylist([{"a": None, "b": None, "more": True}], schema=out)
+        return pa.RecordBatch.from_arrays([pa.array(sids[away], pa.binary()), pa.array(sids[forest.root[away]], pa.binary())], ["a", "b"])
 
     def tasks(batches):
-        held, group, last = [], -1, None
+        held, size, group, last = [], 0, -1, None
         for batch in batches:
-            for k, i, j, sid, fp, root in zip(*(batch.column(c).to_pylist() for c in (*key, "sid", "fp", "root"))):
-                if (k, i, j) != last:
-                    group, last = group + 1, (k, i, j)
-                    if len(held) >= BLOCK_ROWS:
-                        yield from found(held)
-                        held = []
-                held.append((group, fp, sid, root))
+            for unit, i, j, sid, fp, hashes in zip(*(batch.column(c).to_pylist() for c in (*key, "sid", "fp", "hashes"))):
+                if (unit, i, j) != last:
+                    group, last = group + 1, (unit, i, j)
+                    if len(held) >= BLOCK_ROWS or size >= BLOCK_BYTES:
+                        out = found(held)
+                        held, size = [], 0
+                        if out is not None:
+                            yield out
+                held.append((group, fp, sid, hashes))
+                size += len(hashes)
         if held:
-            yield from found(held)
-
-    out = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("more", pa.bool_())])
-    return rows.mapInArrow(tasks, "a binary, b binary, more boolean")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those whose shingle sets have a similarity of SIMILAR; ``texts``: one text (data) for each sid."""
-    def as_sets(batches):
-        for batch in pieces(batches, "data"):
-            sets = [shingle_set(d or b"").tobytes() for d in batch.column("data").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(sets, pa.binary())], ["sid", "hashes"])
-
-    def similar(batches):
-        for whole in batches:
-            for batch in pieces([whole], "x"):
-                keep = []
-                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    if min(len(x), len(y)) < SIMILAR * max(len(x), len(y)):
-                        keep.append(False)
-                        continue
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    # In whole numbers: 5 * both >= 4 * either.
-                    keep.append(5 * both >= 4 * (len(x) + len(y) - both))
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    sets = cut_lineage(texts.join(ends, "sid", "left_semi").select("sid", "data").mapInArrow(as_sets, "sid binary, hashes binary"))
-    joined = pairs.join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), "a")
-    joined = joined.join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(similar, "a binary, b binary")
-
-
-def similar_groups(sets: DataFrame, texts: DataFrame) -> DataFrame:
+            out = found(held)
+            if out is not None:
+                yield out
+
+    return rows.mapInArrow(tasks, "a binary, b binary")
+
+
+def similar_groups(sets: DataFrame) -> DataFrame:
     """(sid, root) of every set that has links: root is the same for all that links of SIMILAR or more connect.
 
-    ``sets``: distinct (sid, fp, keys); ``texts``: (sid, data). Every candidate is verified on the shingles before it
-    links. The first round verifies a forest of each trie, the next ones what verified links have not connected
-    yet; the last one leaves no candidate out.
+    ``sets``: distinct (sid, fp, keys, size) with one text (data) each. The shingles of a set that meets others are
+    hashed once and go to each of its units; a unit over BLOCK_ROWS sets or BLOCK_BYTES of hashes is cut into blocks
+    that meet in pairs.
     """
-    meetings = cut_lineage(_meetings(sets))
-    links = tried = groups = None
-    for forests in ROUNDS:
-        if groups is None:
-            rooted = meetings.withColumn("root", F.col("sid"))
-        else:
-            rooted = meetings.join(groups, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        found = cut_lineage(_candidates(rooted, forests).distinct())
-        pairs = found.filter("a is not null").select("a", "b")
-        new = pairs if tried is None else cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"))
-        good = cut_lineage(_verified(new, texts))
-        links = good if links is None else links.unionByName(good)
-        tried = new if tried is None else tried.unionByName(new)
-        groups = cut_lineage(components(links).select(F.col("node").alias("sid"), "root"))
-        if found.filter("more").isEmpty():
-            break
-    return groups
+    def hashed(batches):
+        for batch in pieces(batches, "data", 4 << 20):
+            hashes = pa.array([shingle_set(d or b"").tobytes() for d in batch.column("data").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.select(["sid", "fp", "units"]).columns, hashes], ["sid", "fp", "units", "hashes"])
+
+    met = sets.join(_units(sets), "sid").select("sid", "fp", "units", "data")
+    met = met.mapInArrow(hashed, "sid binary, fp binary, units array<struct<unit:binary,blocks:int>>, hashes binary")
+    met = met.withColumn("u", F.explode("units")).select("sid", "fp", "hashes", "u.unit", "u.blocks")
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
+        F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: other != own))
+    met = met.withColumn("own", own).withColumn("other", F.explode(others))
+    links = _similar_links(met.select("unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "fp", "hashes"))
+    return components(links).select(F.col("node").alias("sid"), "root")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -440,13 +433,14 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     sid = fresh_name(docs.columns)
     fp = fresh_name(docs.columns, [sid])
     keys = fresh_name(docs.columns, [sid, fp])
-    row = fresh_name(docs.columns, [sid, fp, keys])
-    prints = cut_lineage(_with_sets(docs, sid, fp, keys).withColumn(row, F.monotonically_increasing_id()))
+    size = fresh_name(docs.columns, [sid, fp, keys])
+    row = fresh_name(docs.columns, [sid, fp, keys, size])
+    prints = cut_lineage(_with_sets(docs, sid, fp, keys, size).withColumn(row, F.monotonically_increasing_id()))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(row).alias("row"))
     first = cut_lineage(prints.groupBy(F.col(sid).alias("sid")).agg(F.min(rank).alias("rank")))
     heads = prints.join(first.select(F.col("rank.row").alias(row)), row, "left_semi")
-    sets = heads.select(F.col(sid).alias("sid"), F.col(fp).alias("fp"), F.col(keys).alias("keys"))
-    groups = similar_groups(sets, heads.select(F.col(sid).alias("sid"), utf8("text").alias("data")))
+    sets = heads.select(F.col(sid).alias("sid"), F.col(fp).alias("fp"), F.col(keys).alias("keys"), F.col(size).alias("size"), utf8("text").alias("data"))
+    groups = similar_groups(sets)
     rooted = first.join(groups, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     kept = rooted.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(row))
-    return prints.join(cut_lineage(kept), row, "left_semi").select(*docs.columns)
+    return prints.join(cut_lineage(kept), row, "left_semi").select(*(quoted(c) for c in docs.columns))

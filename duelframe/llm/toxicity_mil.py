@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duelframe.llm.common import pieces, utf8
+from duelframe.llm.common import pieces, quoted, utf8
 from duelframe.llm.samples import labelled_sample
 
 STEM = 5
@@ -136,7 +136,7 @@ def score_toxicity(docs: DataFrame, model: InstanceModel, carry: list[str], offe
                 [*kept.schema.names, "score", "n_sentences", "offending"],
             )
 
-    given = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)), utf8("text").alias("data"))
+    given = docs.select(*(quoted(c).alias(f"c{i}") for i, c in enumerate(carry)), utf8("text").alias("data"))
     types = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     scored = given.mapInArrow(rows, f"{types}, score double, n_sentences bigint, offending array<struct<start:bigint,end:bigint,score:double>>")
     return scored.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)), "score", "n_sentences", "offending")

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duelframe.llm.common import pieces, utf8
+from duelframe.llm.common import pieces, quoted, utf8
 
 #: Chunks between white space whose ids a task remembers, and characters of them; beyond either, it starts anew.
 REMEMBERED, REMEMBERED_CHARS = 500_000, 16 << 20
@@ -324,7 +324,7 @@ def encode(docs: DataFrame, vocabulary: str, carry: list[str]) -> DataFrame:
             ids = memory.encode([d.decode("utf-8", "replace") for d in batch.column("_data").to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.select(names).columns, ids], [*names, "ids"])
 
-    given = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)), utf8("text").alias("_data"))
+    given = docs.select(*(quoted(c).alias(n) for c, n in zip(carry, names)), utf8("text").alias("_data"))
     schema = given.drop("_data").schema.add("ids", docs.sparkSession.range(0).select(F.array(F.lit(0))).schema[0].dataType)
     return given.mapInArrow(rows, schema).select(*(F.col(n).alias(c) for c, n in zip(carry, names)), "ids")
 
