@@ -23,7 +23,7 @@ from duelframe.llm.common import lower_words
 from duelframe.llm.components import Forest, components
 from duelframe.llm.elias_fano import EliasFano, encode
 from duelframe.llm.embedding_tiles import link_embeddings
-from duelframe.llm.line_dedup import SPREAD_WORDS, RUN_WORDS, dedup_lines, line_hashes, winnow
+from duelframe.llm.line_dedup import SPREAD_WORDS, RUN_WORDS, dedup_lines
 from duelframe.llm.quality_fm import FactorisationMachine, STATISTICS, BUCKETS
 from duelframe.llm.spaced_seeds import find_overlaps
 from duelframe.llm.toxicity_mil import noisy_or
@@ -266,42 +266,61 @@ def test_overlaps_find_all_passages(spark, texts):
     assert want <= {(r.doc_id, r.item_id) for r in Q.op6_spaced_seeds(spark, SF).collect()}
 
 
-def _plain_line_dedup(texts):
-    signed, first = {}, {}
-    for i in sorted(texts):
-        hashes, sizes, numbers = line_hashes(texts[i].encode())
-        signed[i] = hashes, winnow(hashes, sizes), numbers
-        for a, g in zip(signed[i][1][0].tolist(), signed[i][1][2].tolist()):
-            first.setdefault(g, (i, a))
-    gone = {i: set() for i in texts}
-    for i, (h, (at, ends, prints), numbers) in signed.items():
-        for a, e, g in zip(at.tolist(), ends.tolist(), prints.tolist()):
-            j, b = first[g]
-            if (j, b) == (i, a):
-                continue
-            other, x, y, u, v = signed[j][0], a, b, e, b + e - a
-            while x and y and h[x - 1] == other[y - 1]:
-                x, y = x - 1, y - 1
-            while u < len(h) and v < len(other) and h[u] == other[v]:
-                u, v = u + 1, v + 1
-            gone[i] |= set(range(numbers[x], numbers[u - 1] + 1))
-    return {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in texts.items()}
-
-
-def test_line_dedup_equals_plain(spark, texts):
+def _lines_of(text):
+    found = [(n, tuple(x.split())) for n, x in enumerate(text.split("\n"))]
+    return [f for f in found if f[1]]
+
+
+def _repeated_lines(texts, least):
+    """Lines (document, line number) in a run of ``least`` words that equals one at an earlier place: all documents are compared."""
+    lines = {i: _lines_of(t) for i, t in texts.items()}
+    gone = set()
+    for i in lines:
+        for j in (j for j in lines if j <= i):
+            x, y = lines[i], lines[j]
+            for shift in range(1 if i == j else -len(y) + 1, len(x)):
+                run = []
+                for a in range(max(shift, 0), min(len(x), len(y) + shift) + 1):
+                    if a < min(len(x), len(y) + shift) and x[a][1] == y[a - shift][1]:
+                        run.append(a)
+                        continue
+                    if sum(len(x[k][1]) for k in run) >= least:
+                        gone |= {(i, x[k][0]) for k in run}
+                    run = []
+    return gone
+
+
+def _check_line_dedup(spark, texts):
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = dedup_lines(frame).collect()
+    gone = {(r.doc_id, n) for r in rows for s in r.removed for n in range(s["first"], s["last"] + 1)}
+    gone = {(i, n) for i, n in gone if texts[i].split("\n")[n].split()}
+    assert _repeated_lines(texts, RUN_WORDS + SPREAD_WORDS) <= gone <= _repeated_lines(texts, RUN_WORDS)
+    return {r.doc_id: r.text for r in rows}
+
+
+def test_line_dedup_finds_every_repeat(spark):
     rng = random.Random(2)
-    passage = [" ".join(f"w{rng.randint(0, 99999)}" for _ in range(rng.choice([1, 6, 25]))) for _ in range(9)]
-    more = dict(texts)
-    for k in range(12):
-        own = [" ".join(f"u{k}n{j}x{rng.randint(0, 9)}" for _ in range(8)) for j in range(rng.randint(0, 4))]
-        more[10**6 + k] = "\n".join([*own, "", *passage, *own[:1]])
-    frame = spark.createDataFrame(list(more.items()), "doc_id long, text string")
-    got = {r.doc_id: r.text for r in dedup_lines(frame).collect()}
-    assert got == _plain_line_dedup(more)
-    words = len(" ".join(passage).split())
-    assert words >= RUN_WORDS + SPREAD_WORDS
-    kept = "\n".join(t for i, t in sorted(got.items()) if i >= 10**6)
-    assert all(kept.count(line) == 1 for line in passage if len(line.split()) > 5)
+    pool = [" ".join(f"w{k}x{rng.randint(0, 99)}" for _ in range(rng.choice([1, 4, 9, 14, 25]))) for k in range(24)]
+    texts = {}
+    for i in range(90):
+        out = []
+        for _ in range(rng.randint(0, 5)):
+            a = rng.randrange(len(pool))
+            out += pool[a:a + rng.randint(1, 9)] + [""] * rng.randint(0, 1) + [f"own {i} {j} {rng.random()}" for j in range(rng.randint(0, 2))]
+        texts[i] = "\n".join(out)
+    got = _check_line_dedup(spark, texts)
+    # Something is left of each line.
+    everything = "\n".join(got.values())
+    assert all(line in everything for t in texts.values() for line in t.split("\n"))
+
+
+def test_line_dedup_beyond_the_first_occurrence(spark):
+    """The first document with a passage's beginning holds no more of it; the second holds what the third repeats."""
+    one, two = (" ".join(f"{n}{k}" for k in range(words)) for n, words in (("a", 30), ("b", 25)))
+    texts = {1: one + "\nmore of the first", 2: f"{one}\n{two}\nother tail", 3: f"head\n{one}\n{two}\nlast tail", 4: f"{two}\n{one}\n{two}\n{one}"}
+    got = _check_line_dedup(spark, texts)
+    assert got[3] == "head\nlast tail" and got[1] == texts[1]
 
 
 def test_embeddings_equal_brute_force(spark):
