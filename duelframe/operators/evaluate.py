@@ -28,11 +28,15 @@ def mirrored_predictions(predicted: DataFrame) -> DataFrame:
     ).drop("p", "label").withColumnsRenamed({"_p": "p", "_y": "label"})
 
 
-def score_sums(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Counts per distinct probability with exact prefix sums: base of AUC and calibration."""
+def score_sums(predictions: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
+    """Counts per distinct probability with exact prefix sums: base of AUC and calibration.
+
+    ``weight``: a column of how often a row counts (once, if not given).
+    """
+    times = F.lit(1) if weight is None else F.col(weight)
     return cut_lineage(prefix_sums(
         predictions, keys, "p",
-        {"n": F.lit(1), "pos": F.col("label"), "neg": F.lit(1) - F.col("label")},
+        {"n": times, "pos": F.col("label") * times, "neg": (F.lit(1) - F.col("label")) * times},
     ))
 
 

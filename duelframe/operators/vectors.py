@@ -28,10 +28,12 @@ def difference_vectors(pairs: DataFrame, names: Sequence[str] = FEATURE_NAMES) -
     return joined.withColumn("d", F.zip_with("_va", "_vb", lambda a, b: a - b)).drop("_va", "_vb")
 
 
-def feature_support(diffs: DataFrame, names: Sequence[str] = FEATURE_NAMES) -> DataFrame:
-    """Share of pairs where a feature differs: one wide aggregation, then 52 rows."""
+def feature_support(diffs: DataFrame, names: Sequence[str] = FEATURE_NAMES, weight: str | None = None) -> DataFrame:
+    """Share of pairs where a feature differs: one wide aggregation, then 52 rows. ``weight``: how many pairs a row is."""
+    times = F.lit(1) if weight is None else F.col(weight)
+    total = F.sum(times).cast("double")
     wide = diffs.agg(*[
-        F.avg((F.abs(F.get("d", F.lit(i))) > 0).cast("double")).alias(n) for i, n in enumerate(names)
+        (F.sum((F.abs(F.get("d", F.lit(i))) > 0).cast("long") * times).cast("double") / total).alias(n) for i, n in enumerate(names)
     ])
     return long_features(wide, [], names).withColumnRenamed("value", "support").orderBy("support", "pos")
 

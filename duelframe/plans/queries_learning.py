@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import rounded
 from ..operators import learning as M
+from ..operators import scorers as S
 from ..operators import splits, tfidf, vectors
+from ..operators import text_model as X
+from ..operators.scoring import headline_strengths
 from ..session import cut_lineage
 from .queries_evaluation import _round_all
-from .queries_pairs import labelled_pairs, split_pairs
+from .queries_pairs import arms, labelled_pairs, split_pairs
 
 _KEYS = ["test_id", "image_id", "headline_a", "headline_b"]
 
@@ -35,13 +38,12 @@ def _tfidf_diff(spark, sf_dir):
     )
 
 
-def training_rows(spark, sf_dir):
-    """Mirrored differences with fold and holdout, and the features with enough support."""
-    pairs = splits.with_fold(split_pairs(spark, sf_dir))
+def training_tables(spark, sf_dir):
+    """Distinct labelled pairs with their counts per run, distinct differences of them, and the features with enough support."""
+    pairs = cut_lineage(M.pair_table(splits.with_fold(split_pairs(spark, sf_dir))))
     diffs = cut_lineage(vectors.difference_vectors(pairs))
-    names = vectors.kept_features(vectors.feature_support(diffs))
-    rows = M.select_features(vectors.mirrored(diffs), names).select("test_id", "fold", "holdout", "sign", "d", "label")
-    return cut_lineage(rows), names
+    names = vectors.kept_features(vectors.feature_support(diffs, weight="n"))
+    return pairs, cut_lineage(M.difference_table(diffs, names)), names
 
 
 def _four_digits(df):
@@ -49,39 +51,92 @@ def _four_digits(df):
     return df.withColumns({c: rounded(F.col(c), 4) for c, t in df.dtypes if t == "double"})
 
 
+def _past_model(table, names):
+    return M.fit_baseline(table, names, weight=M.train_weight(M.PAST), both=False)
+
+
 def _fit_baseline(spark, sf_dir):
-    rows, names = training_rows(spark, sf_dir)
-    weights = M.fit_baseline(rows.filter("not holdout"), names).to_frame(spark)
-    return _four_digits(weights).withColumn("pos", F.col("pos").cast("long"))
+    _, table, names = training_tables(spark, sf_dir)
+    return _four_digits(_past_model(table, names).to_frame(spark)).withColumn("pos", F.col("pos").cast("long"))
 
 
 def _cross_validation(spark, sf_dir):
-    rows, names = training_rows(spark, sf_dir)
-    return _four_digits(M.cross_validate(rows, names))
+    _, table, names = training_tables(spark, sf_dir)
+    return _four_digits(M.cross_validate(table, names))
+
+
+def _text_folds(spark, pairs):
+    """The text model's metrics per fold, and the size of each fold's vocabulary."""
+    space = X.text_space(pairs)
+
+    def job(k):
+        strengths = X.text_strengths(spark, space, X.fit_text_model(spark, space, k), k)
+        return k, S.StrengthScorer("tfidf", strengths).pairs(S.both_ways(pairs))
+
+    rows = M.metrics(M.tested(M.at_once([lambda k=k: job(k) for k in range(splits.N_FOLDS)])), "tfidf", ["fold"], "n")
+    sizes = F.array(*[F.lit(space.sizes[k]) for k in range(splits.N_FOLDS)])
+    return rows.withColumn("n_features", F.get(sizes, F.col("fold").cast("int")).cast("long"))
+
+
+def _text_cross_validation(spark, sf_dir):
+    return _four_digits(_text_folds(spark, training_tables(spark, sf_dir)[0]))
+
+
+def _model_cross_validation(spark, sf_dir):
+    """Three models on the same folds: 15 rows."""
+    pairs, table, names = training_tables(spark, sf_dir)
+    rows = M.cross_validate(table, names).unionByName(M.cross_validate_trees(table))
+    return _four_digits(rows.unionByName(_text_folds(spark, pairs).drop("n_features")))
+
+
+def _held_out(spark, sf_dir, pairs):
+    """Pairs and arms of the newest tests."""
+    held = splits.holdout_tests(labelled_pairs(spark, sf_dir)).filter("holdout").select("test_id")
+    tests = pairs.withColumn("n", F.get("test", F.lit(M.PAST))).filter("n > 0")
+    return tests, cut_lineage(arms(spark, sf_dir).join(cut_lineage(held), "test_id", "left_semi"))
+
+
+def _baseline_scorer(pairs, table, names):
+    texts = pairs.select(F.explode(F.array("headline_a", "headline_b")).alias("headline"))
+    return lambda a: S.StrengthScorer("baseline", headline_strengths(texts.unionByName(a.select("headline")), _past_model(table, names)))
+
+
+def _text_scorer(spark, pairs, a):
+    """Strengths of all texts: those of arms without labelled pairs count as terms of no training pair."""
+    extra = a.select("headline").distinct().withColumn("other", F.col("headline"))
+    empty = extra.select(F.col("headline").alias("headline_a"), F.col("other").alias("headline_b"), F.lit(0).cast("long").alias("label"), F.lit(0).cast("long").alias("n"), F.array_repeat(F.lit(0).cast("long"), len(M.RUNS)).alias("test"))
+    space = X.text_space(pairs.unionByName(empty.withColumn("label", F.lit(0).cast(pairs.schema["label"].dataType))))
+    model = X.fit_text_model(spark, space, M.PAST)
+    return S.StrengthScorer("tfidf", X.text_strengths(spark, space, model, M.PAST)), space.sizes[M.PAST]
 
 
 def _holdout(spark, sf_dir):
     """The baseline, fitted on the past, measured on the newest tests."""
-    rows, names = training_rows(spark, sf_dir)
-    model = M.fit_baseline(rows.filter("not holdout"), names)
-    return _four_digits(M.metrics(M.predict_differences(rows.filter("holdout"), model), "baseline"))
+    pairs, table, names = training_tables(spark, sf_dir)
+    predicted = M.predict_differences(M.both_ways(table), _past_model(table, names)).withColumn("n", F.get("test", F.lit(M.PAST)))
+    return _four_digits(M.metrics(predicted.filter("n > 0"), "baseline", weight="n"))
+
+
+def _baseline_report(spark, sf_dir):
+    """The baseline on the newest tests: pairs, calibration, selection, lift, antisymmetry."""
+    pairs, table, names = training_tables(spark, sf_dir)
+    tests, held = _held_out(spark, sf_dir, pairs)
+    return _four_digits(S.holdout_report(_baseline_scorer(pairs, table, names)(held), tests, held))
 
 
 def _challenger(spark, sf_dir):
-    """The boosted trees at full size, with the largest violation of antisymmetry on the newest tests."""
-    rows, names = training_rows(spark, sf_dir)
-    test = rows.filter("holdout")
-    model = M.fit_trees(rows.filter("not holdout"))
-    lopsided = M.tree_antisymmetry(test.filter("sign = 1"), model)
-    # Two tables of one row each.
-    return _round_all(M.metrics(M.predict_trees(test, model), "trees").crossJoin(lopsided))
+    """The boosted trees at full size, with the full report on the newest tests."""
+    pairs, table, names = training_tables(spark, sf_dir)
+    tests, held = _held_out(spark, sf_dir, pairs)
+    model = M.fit_trees(M.both_ways(table), M.train_weight(M.PAST))
+    return _round_all(S.holdout_report(S.TreeScorer("trees", model, names), tests, held))
 
 
 def _tfidf_holdout(spark, sf_dir):
-    pairs = split_pairs(spark, sf_dir)
-    train, test = pairs.filter("not holdout"), pairs.filter("holdout")
-    predicted, size = M.fit_tfidf(train, test, [*_KEYS, "label"])
-    return _round_all(M.metrics(predicted, "tfidf").withColumn("n_features", F.lit(size).cast("long")))
+    pairs = training_tables(spark, sf_dir)[0]
+    tests, held = _held_out(spark, sf_dir, pairs)
+    scorer, size = _text_scorer(spark, pairs, held)
+    return _four_digits(S.holdout_report(scorer, tests, held).withColumn("n_features", F.lit(size).cast("long")))
 
 
 QUERIES = {
@@ -90,7 +145,10 @@ QUERIES = {
     "tfidf_diff": _tfidf_diff,
     "fit_baseline": _fit_baseline,
     "cross_validation": _cross_validation,
+    "text_cross_validation": _text_cross_validation,
+    "model_cross_validation": _model_cross_validation,
     "holdout_report": _holdout,
+    "baseline_report": _baseline_report,
     "challenger_report": _challenger,
     "tfidf_holdout": _tfidf_holdout,
 }
