@@ -163,7 +163,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     around = around.select("doc_id", "rid", "lines", "sizes", "ats").mapInArrow(surround, f"doc_id {kind}, rid string, at array<bigint>, windows array<binary>")
     wide = cut_lineage(around.select("doc_id", "rid", F.explode(F.arrays_zip("windows", "at")).alias("m")).select(
         F.col("m.windows").alias("window"), F.struct("doc_id", "rid", F.col("m.at").alias("at")).alias("here")))
-    hits = repeated.unionByName(wide.join(_first_of(wide, "window"), "window").select("here", "first"))
+    hits = repeated.unionByName(wide.join(cut_lineage(_first_of(wide, "window")), "window").select("here", "first"))
     pairs = cut_lineage(hits.filter(~F.col("here").eqNullSafe(F.col("first"))).groupBy(
         F.col("here.rid").alias("rid"), F.col("first.rid").alias("source"), (F.col("here.at") - F.col("first.at")).alias("shift"),
     ).agg(F.collect_set("here.at").alias("anchors")))
