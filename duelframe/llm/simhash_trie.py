@@ -304,10 +304,11 @@ def _units(sets: DataFrame) -> DataFrame:
     meet once and a large group a few times, not once for each key.
     """
     slim = cut_lineage(sets.select("sid", "size", F.explode("keys").alias("key")))
-    least = slim.groupBy("key").agg(F.min("sid").alias("unit"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Sums are stored before they are joined: only then a hot key can be split.
+    least = cut_lineage(slim.groupBy("key").agg(F.min("sid").alias("unit"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = cut_lineage(slim.join(least, "key").select("unit", "sid", "size").distinct())
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("size") * 8 / BLOCK_BYTES)).cast("int")
-    sizes = members.groupBy("unit").agg(blocks.alias("blocks"))
+    sizes = cut_lineage(members.groupBy("unit").agg(blocks.alias("blocks")))
     # At most one unit for each band.
     return members.join(sizes, "unit").groupBy("sid").agg(F.collect_list(F.struct("unit", "blocks")).alias("units"))
 
