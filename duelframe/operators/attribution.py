@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.features import EMOJI_FEATURES, FEATURE_NAMES, with_features
+from ..functions.features import EMOJI_FEATURES, with_features
 from ..functions.lexicons import DEFAULT_LEXICONS, Lexicons
 from ..functions.phrases import FALLBACK, NO_ATTRIBUTION, NOT_MEASURED, PHRASES
 from .ranking import SET, split_requests
@@ -100,56 +100,56 @@ def no_attribution(lines: DataFrame) -> DataFrame:
     )
 
 
-def phrase_coverage(spark: SparkSession, features: list[str] | None = None) -> DataFrame:
-    rows = [(f, f in PHRASES) for f in (features or FEATURE_NAMES)]
-    return spark.createDataFrame(rows, "feature string, has_phrase boolean")
-
-
-def excluded_features(kept: list[str]) -> list[str]:
-    return [f for f in FEATURE_NAMES if f not in set(kept)]
-
-
 # ---- fixed values: decoration skipped before the terminal mark ------------------
 _TRAILING = "[\\x{1F000}-\\x{10FFFF}\\x{2600}-\\x{27BF}\\x{2B00}-\\x{2BFF}\\x{FE0E}\\x{FE0F}\\x{200B}-\\x{200D}\\x{FEFF} ]+$"
 # ---- end of fixed values --------------------------------------------------------
 
 
-def mark_spans(spans: DataFrame, kinds: dict[str, str], lex: Lexicons = DEFAULT_LEXICONS) -> DataFrame:
+def note_kinds(noted: DataFrame) -> DataFrame:
+    """Adds ``kinds``: feature -> helps or hurts, of all notes of a line."""
+    said = F.filter("notes", lambda n: n["kind"].isin("helps", "hurts"))
+    return noted.withColumn("kinds", F.map_from_entries(F.transform(said, lambda n: F.struct(n["feature"], n["kind"]))))
+
+
+def mark_spans(spans: DataFrame, kinds: dict[str, str] | str, lex: Lexicons = DEFAULT_LEXICONS) -> DataFrame:
     """Non-overlapping marks on a line.
 
-    ``spans``: columns ``text`` and ``tokens`` (array of token, start, end in code
-    points).  ``kinds`` maps a feature that the notes mention to helps or hurts.
+    ``spans``: columns ``text`` and ``tokens`` (array of token, start, end in code points).  ``kinds`` maps a feature
+    that the notes mention to helps or hurts; a name is a column with such a map for each line. A terminal mark needs
+    the punctuation itself; of an opener two features may speak, the leading one first.
     """
     folded = lambda s: F.replace(F.lower(s["token"]), F.lit("’"), F.lit("'"))
-    mark = lambda start, end, label, feature: F.struct(
-        start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(label).alias("label"),
-        F.lit(feature).alias("feature"), F.lit(kinds[feature]).alias("kind"),
-    )
-    parts: list[Column] = []
-    if "second_person_count" in kinds:
-        hits = F.filter("tokens", lambda s: folded(s).isin(*lex.second))
-        parts.append(F.transform(hits, lambda s: mark(s["start"], s["end"], "second person", "second_person_count")))
-    opener = next((f for f in ("leading_demonstrative", "demonstrative_count") if f in kinds), None)
-    if opener:
-        hits = F.filter(F.slice("tokens", 1, 1), lambda s: folded(s).isin(*lex.demonstratives))
-        parts.append(F.transform(hits, lambda s: mark(s["start"], s["end"], "demonstrative", opener)))
+
+    def of(feature: str) -> Column:
+        if isinstance(kinds, str):
+            return F.try_element_at(F.col(kinds), F.lit(feature))
+        return F.lit(kinds.get(feature)).cast("string")
+
+    def mark(start: Column, end: Column, label: str, feature: Column, kind: Column) -> Column:
+        return F.struct(
+            start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(label).alias("label"),
+            feature.alias("feature"), kind.alias("kind"))
+
+    none = F.array().cast("array<struct<start:int,end:int,label:string,feature:string,kind:string>>")
+    second = F.when(of("second_person_count").isNotNull(), F.transform(
+        F.filter("tokens", lambda s: folded(s).isin(*lex.second)),
+        lambda s: mark(s["start"], s["end"], "second person", F.lit("second_person_count"), of("second_person_count"))))
+    leads = of("leading_demonstrative").isNotNull()
+    opener = F.when(leads, F.lit("leading_demonstrative")).otherwise(F.lit("demonstrative_count"))
+    opener_kind = F.when(leads, of("leading_demonstrative")).otherwise(of("demonstrative_count"))
+    first = F.when(opener_kind.isNotNull(), F.transform(
+        F.filter(F.slice("tokens", 1, 1), lambda s: folded(s).isin(*lex.demonstratives)),
+        lambda s: mark(s["start"], s["end"], "demonstrative", opener, opener_kind)))
     bare = F.regexp_replace("text", _TRAILING, "")
     size = F.char_length(bare)
-    ends = F.lit(None)
-    for feature, pattern in (
-        ("ends_question", "[?？]$"), ("ends_exclamation", "[!！]$"), ("ends_ellipsis", "(…|\\.\\.\\.)$"),
-    ):
-        if feature in kinds:
-            width = F.when(bare.endswith("..."), 3).otherwise(1)
-            found = F.when(bare.rlike(pattern), F.array(mark(size - width, size, "terminal punctuation", feature)))
-            ends = found if ends is None else F.coalesce(ends, found)
-    listed = [p for p in parts]
-    kind = "array<struct<start:int,end:int,label:string,feature:string,kind:string>>"
-    listed.append(F.coalesce(ends.cast(kind), F.array().cast(kind)))
-    ordered = F.array_sort(F.concat(*listed))
+    width = F.when(bare.endswith("..."), 3).otherwise(1)
+    ends = F.coalesce(*(
+        F.when(of(feature).isNotNull() & bare.rlike(pattern), F.array(mark(size - width, size, "terminal punctuation", F.lit(feature), of(feature))))
+        for feature, pattern in (("ends_question", "[?？]$"), ("ends_exclamation", "[!！]$"), ("ends_ellipsis", "(…|\\.\\.\\.)$"))
+    ))
+    ordered = F.array_sort(F.concat(*(F.coalesce(part, none) for part in (second, first, ends))))
     kept = F.aggregate(
-        ordered,
-        F.array().cast(kind),
+        ordered, none,
         lambda acc, m: F.when(
             (F.size(acc) == 0) | (m["start"] >= F.element_at(acc, -1)["end"]),
             F.concat(acc, F.array(m)),

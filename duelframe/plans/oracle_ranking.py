@@ -57,6 +57,39 @@ notes as (select ranking_id, position,
             round(contribution, 6) + 0.0 as contribution, round(mine, 6) + 0.0 as mine, round(theirs, 6) + 0.0 as theirs, text
           from gains where abs(delta) >= 1e-12 and abs(contribution) >= 1e-9)"""
 
+# Words, coefficients and scales of the marked features, written out.
+_MARKED = "second_person_count, leading_demonstrative, demonstrative_count, ends_question, ends_exclamation, ends_ellipsis"
+MARKS = SETS + f""",
+long as (unpivot (select ranking_id, position, {_MARKED} from f) on {_MARKED} into name feature value mine),
+sums as (select ranking_id, feature, sum(mine) as total, count(*) as n from long group by all),
+said as (select ranking_id, position, l.feature, coef * (mine - (total - mine) / (n - 1)) / scale as gain
+  from long l join sums using (ranking_id, feature) join (values ('second_person_count', 0.3, 0.5), ('leading_demonstrative', 0.2, 0.3),
+    ('demonstrative_count', 0.1, 0.8), ('ends_question', 0.25, 0.4), ('ends_exclamation', -0.2, 0.3), ('ends_ellipsis', -0.1, 0.2)) w(feature, coef, scale)
+    on w.feature = l.feature where abs(mine - (total - mine) / (n - 1)) >= 1e-12),
+kinds as (select ranking_id, position, feature, case when gain > 0 then 'helps' else 'hurts' end as kind from said where abs(gain) >= 1e-9),
+pieces as (select ranking_id, position, unnest(p) as piece, unnest(range(len(p))) as n
+  from (select ranking_id, position, regexp_extract_all(text, '[\\p{{L}}\\p{{Nd}}''’]+|[^\\p{{L}}\\p{{Nd}}''’]+') as p from accepted)),
+placed_ as (select *, coalesce(sum(length(piece)) over (partition by ranking_id, position order by n rows between unbounded preceding and 1 preceding), 0)::BIGINT as pos from pieces),
+tokens as (select ranking_id, position, pos + length(piece) - length(ltrim(piece, '''’')) as start, trim(piece, '''’') as token,
+    row_number() over (partition by ranking_id, position order by n) as number_
+  from placed_ where regexp_matches(piece, '^[\\p{{L}}\\p{{Nd}}''’]') and trim(piece, '''’') <> ''),
+folded as (select *, replace(lower(token), '’', '''') as low from tokens),
+tails as (select ranking_id, position, regexp_replace(text, '[\\x{{1F000}}-\\x{{10FFFF}}\\x{{2600}}-\\x{{27BF}}\\x{{2B00}}-\\x{{2BFF}}\\x{{FE0E}}\\x{{FE0F}}\\x{{200B}}-\\x{{200D}}\\x{{FEFF}} ]+$', '') as bare from accepted),
+marks as (
+  select ranking_id, position, start, start + length(token) as stop, 'second person' as label, feature, kind
+  from folded join kinds using (ranking_id, position) where feature = 'second_person_count'
+    and low in ('you', 'your', 'yours', 'yourself', 'yourselves', 'you''re', 'you''ll', 'you''ve', 'you''d')
+  union all
+  select ranking_id, position, start, start + length(token), 'demonstrative', feature, kind from folded join (
+      select * from kinds where feature in ('leading_demonstrative', 'demonstrative_count')
+      qualify row_number() over (partition by ranking_id, position order by feature desc) = 1) using (ranking_id, position)
+  where number_ = 1 and low in ('this', 'that', 'these', 'those')
+  union all
+  select ranking_id, position, length(bare) - case when ends_with(bare, '...') then 3 else 1 end, length(bare), 'terminal punctuation', feature, kind
+  from tails join kinds using (ranking_id, position)
+  where (feature = 'ends_question' and regexp_matches(bare, '[?？]$')) or (feature = 'ends_exclamation' and regexp_matches(bare, '[!！]$'))
+    or (feature = 'ends_ellipsis' and regexp_matches(bare, '(…|\\.\\.\\.)$')))"""
+
 _HYPE = "shocking|unbelievable|insane|amazing|epic|mind-blowing|incredible|crazy"
 RULES = LINES + f""",
 rule_lines as (select ranking_id, position, text,
@@ -109,6 +142,9 @@ select ranking_id, position, text, n_lines, rank, round(score, 6) as score, roun
        lo, hi, place_label, too_close, overlaps_next from flagged""",
     "attribution": f"with {NOTES} select * from notes",
     "top_reasons": f"with {NOTES} select * from notes where place <= 3",
+    "mark_spans": f"with {MARKS} select ranking_id, position, start, stop as \"end\", label, feature, kind from marks",
+    "no_attribution": f"with {SETS} select ranking_id, position, '__no_attribution__' as feature, 'no-effect' as kind, 0.0::DOUBLE as contribution, "
+    "'The scorer has no weights per feature, so its choice is not explained.' as text from accepted",
     "order_invariance": f"with {SCORES} select ranking_id, position as line, 2 * n_lines as n_orders, 0.0::DOUBLE as score_drift, false as order_changed from scores",
     "scorer_agreement": f"with {SCORES} select ranking_id, count(*) as n_lines, 0::BIGINT as n_unmatched, 0::BIGINT as n_rank_changes, 0.0::DOUBLE as max_delta, true as agrees from scores group by 1",
     "rule_score": f"with {RULES} select ranking_id, position, round(rule_score, 6) + 0.0 as rule_score from rules",

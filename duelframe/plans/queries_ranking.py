@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.rules import rule_pair_probability, rule_score
+from ..functions.spans import with_spans
 from ..functions.stats import rounded
 from ..operators import attribution as A
 from ..operators import ranking as R
-from ..operators.scoring import predict_pairs
+from ..operators.scoring import LinearModel, predict_pairs
 from ..session import cut_lineage
 from ..sources import tables
 from .queries_pairs import labelled_pairs
@@ -55,6 +56,25 @@ def _noted(noted):
     return noted.withColumns({c: rounded(F.col(c)) for c in ("contribution", "mine", "theirs")})
 
 
+#: A model of the features that can be marked in a text.
+MARK_MODEL = LinearModel(
+    version="marks-1",
+    features=("second_person_count", "leading_demonstrative", "demonstrative_count", "ends_question", "ends_exclamation", "ends_ellipsis"),
+    coef=(0.3, 0.2, 0.1, 0.25, -0.2, -0.1), scale=(0.5, 0.3, 0.8, 0.4, 0.3, 0.2),
+)
+
+
+def _mark_spans(spark, sf_dir):
+    noted = A.note_kinds(A.notes(_lines(spark, sf_dir), MARK_MODEL)).select(R.SET, "position", "text", "kinds")
+    marked = A.mark_spans(with_spans(noted), "kinds")
+    return marked.select(R.SET, "position", F.inline("marks")).withColumns({c: F.col(c).cast("long") for c in ("start", "end")})
+
+
+def _no_attribution(spark, sf_dir):
+    """The notes of a model without coefficients."""
+    return A.no_attribution(R.split_requests(_lines(spark, sf_dir))).withColumn("position", F.col("position").cast("long"))
+
+
 def _order_invariance(spark, sf_dir):
     return R.order_invariance(_lines(spark, sf_dir)).withColumn("score_drift", rounded(F.col("score_drift")))
 
@@ -121,6 +141,8 @@ QUERIES = {
     "rank_line_sets": rank_line_sets,
     "attribution": lambda s, d: _noted(A.attribution(A.notes(_lines(s, d)))),
     "top_reasons": lambda s, d: _noted(A.top_reasons(A.notes(_lines(s, d)))),
+    "mark_spans": _mark_spans,
+    "no_attribution": _no_attribution,
     "order_invariance": _order_invariance,
     "scorer_agreement": _scorer_agreement,
     "rule_score": lambda s, d: _ruled(s, d).drop("text"),
