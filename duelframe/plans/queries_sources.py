@@ -13,18 +13,18 @@ from .queries_pairs import _rounded_rates
 _HALVES = {"confirmatory": "F", "exploratory": "O"}
 
 
-def _written_archive(spark, sf_dir) -> dict[str, str]:
-    """The packages as one CSV file per subset, timestamps as text in two shapes; files by subset."""
+def _written_archive(spark, sf_dir) -> dict[str, list[str]]:
+    """The packages as CSV parts per subset, headlines of every seventh test with a line break, timestamps as text in two shapes."""
     stamp = F.when(F.col("test_id") % 2 == 0, F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")).otherwise(
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
     raw = tables.packages(spark, sf_dir).withColumn("created_at", stamp)
-    raw = raw.withColumnsRenamed({new: old for old, new in archive.RENAMED.items()})
+    broken = F.when(F.col("test_id") % 7 == 0, F.concat(F.lit('<\n"'), "headline", F.lit('"\n>'))).otherwise(F.col("headline"))
+    raw = raw.withColumn("headline", broken).withColumnsRenamed({new: old for old, new in archive.RENAMED.items()})
     folder, files = shared_folder(spark, "archive"), {}
     for subset, half in _HALVES.items():
         rows = raw.filter(F.col("subset") == half).drop("subset")
-        # The archive has one file per subset.
-        rows.coalesce(1).write.csv(f"{folder}/{subset}", header=True, quote='"', escape='"')
-        files |= archive.discover_files(spark, f"{folder}/{subset}", {subset: "part-*.csv"})
+        rows.write.option("maxRecordsPerFile", 20000).csv(f"{folder}/{subset}", header=True, quote='"', escape='"')
+        files |= archive.discover_files(spark, f"{folder}/{subset}", {subset: "part-*.csv"}, parts=True)
     return files
 
 
@@ -32,14 +32,17 @@ def _archive_arms(spark, sf_dir):
     counts = {r["subset"]: (r["tests"], r["packages"]) for r in tables.packages(spark, sf_dir).groupBy("subset").agg(
         F.countDistinct("test_id").alias("tests"), F.count(F.lit(1)).alias("packages")).collect()}
     expected = {subset: counts.get(half, (0, 0)) for subset, half in _HALVES.items()}
-    arms = clean.build_arms(archive.load_all(spark, _written_archive(spark, sf_dir), expected))
+    loaded = archive.load_all(spark, _written_archive(spark, sf_dir), expected)
+    # The line breaks and quotation marks that were put around headlines, taken off again.
+    bare = F.regexp_replace("headline", r'(?s)^<\n"(.*)"\n>$', "$1")
+    arms = clean.build_arms(loaded.withColumn("headline", bare))
     return _rounded_rates(arms.withColumn("created_at", F.col("created_at").cast("timestamp_ntz")))
 
 
 def _archive_manifest(spark, sf_dir):
     expected = {"confirmatory": (0, tables.packages(spark, sf_dir).filter("subset = 'F'").count()), "exploratory": (0, -1)}
     found = archive.manifest(spark, _written_archive(spark, sf_dir), expected)
-    return found.select("subset", "data_rows", "expected_packages", "rows_match", (F.length("sha256") == 64).alias("hashed"))
+    return found.select("subset", "data_rows", "expected_packages", "rows_match", (F.length("digest") == 64).alias("hashed"))
 
 
 def _saved_rankings(spark, sf_dir):

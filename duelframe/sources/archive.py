@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.clean import DataError, count_check
+from ..session import cut_lineage
 
 # ---- fixed values: columns of the archive, expected counts per subset -----------
 RENAMED = {"clickability_test_id": "test_id", "eyecatcher_id": "image_id"}
@@ -17,28 +24,106 @@ PUBLISHED = {
 # ---- end of fixed values ---------------------------------------------------------
 
 
-def discover_files(spark: SparkSession, folder: str, patterns: dict[str, str]) -> dict[str, str]:
-    """The one file of each subset that is present; two matches are an error."""
+#: Bytes of a stretch whose lines share a digest.
+CHUNK = 1 << 20
+
+
+def discover_files(spark: SparkSession, folder: str, patterns: dict[str, str], parts: bool = False) -> dict[str, list[str]]:
+    """The files of each subset that is present. Several matches are an error unless the archive comes in ``parts``."""
     found = {}
     for subset, pattern in patterns.items():
-        listing = (
-            spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
-        )
-        paths = sorted(r["path"] for r in listing.limit(2).collect())
-        if len(paths) > 1:
-            raise DataError(f"more than one file matches {pattern!r}: {paths}")
+        listing = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
+        paths = sorted(r["path"] for r in listing.collect())
+        if len(paths) > 1 and not parts:
+            raise DataError(f"more than one file matches {pattern!r}: {paths[:2]}")
         if paths:
-            found[subset] = paths[0]
+            found[subset] = paths
     return found
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text: quoted line breaks and quotes kept, types decided later."""
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+def physical_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, size, block, offset, quoted, value): every line of the files, split by Spark into byte ranges.
+
+    ``offset``: where the line begins in its file; ``quoted``: it begins inside a quoted field. A first pass adds up bytes
+    and quotation marks per range; with the sums of the ranges before, a second one tells both for each line. Only
+    one row for each range is summed up over a file.
+    """
+    lines = spark.read.option("lineSep", "\n").text(list(paths)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("block"), "value",
+    )
+    marks = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    sums = lines.groupBy("file", "block").agg(F.sum(F.octet_length("value") + 1).alias("bytes"), F.sum(marks).alias("marks"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sums.select(
+        "file", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("start"),
+        (F.coalesce(F.sum("marks").over(before), F.lit(0)) % 2 == 1).alias("open"),
+    )
+    # The tasks below need the lines of a range in their order, so the sums come along as one value: a few bytes for each range.
+    known = {(r["file"], r["block"]): (r["start"], r["open"]) for r in ranges.collect()}
+
+    def placed(batches):
+        at, open_, last = 0, False, None
+        for batch in batches:
+            values = batch.column("value")
+            sizes = np.asarray(pc.binary_length(values)) + 1
+            odd = np.asarray(pc.count_substring(values, '"')) % 2
+            offsets, quoted = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool)
+            names = list(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist()))
+            cuts = [k for k in range(len(names)) if k == 0 or names[k] != names[k - 1]] + [len(names)]
+            for i, j in zip(cuts, cuts[1:]):
+                if names[i] != last:
+                    (at, open_), last = known[names[i]], names[i]
+                offsets[i:j] = at + np.cumsum(sizes[i:j]) - sizes[i:j]
+                turned = np.cumsum(odd[i:j])
+                quoted[i:j] = (turned - odd[i:j] + open_) % 2 == 1
+                at, open_ = at + int(sizes[i:j].sum()), bool((turned[-1] + open_) % 2)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("file"), batch.column("size"), batch.column("block"), pa.array(offsets), pa.array(quoted), values,
+            ], ["file", "size", "block", "offset", "quoted", "value"])
+
+    return lines.mapInArrow(placed, "file string, size bigint, block bigint, offset bigint, quoted boolean, value string")
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """(file, offset, record) of physical lines: quoted line breaks stay inside their record.
+
+    A line that neither begins nor ends inside a quoted field is a record where it lies; only the lines of records with
+    line breaks are brought together, by the number of record beginnings before them.
+    """
+    odd = (F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    marked = lines.withColumn("odd", odd)
+    whole = marked.filter(~F.col("quoted") & ~F.col("odd")).select("file", "offset", F.col("value").alias("record"))
+    parts = marked.filter(F.col("quoted") | F.col("odd"))
+    # Sums of beginnings per range first, then inside ranges: no window holds a whole file.
+    begins = (~F.col("quoted")).cast("int")
+    totals = parts.groupBy("file", "block").agg(F.sum(begins).alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    inside = Window.partitionBy("file", "block").orderBy("offset")
+    numbered = parts.withColumn("k", F.sum(begins).over(inside)).join(totals, ["file", "block"])
+    joined = numbered.groupBy("file", (F.col("k") + F.col("earlier")).alias("k")).agg(
+        F.min("offset").alias("offset"), F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda v: v["value"]), "\n")
+    return whole.unionByName(joined.select("file", "offset", text.alias("record")))
+
+
+def read_csv(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """All columns as text: quoted line breaks and quotes kept, types decided later. Files of any size are read by many tasks."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    # Stored once: the header, the counts and the rows all read it.
+    found = cut_lineage(records(physical_lines(spark, paths)).withColumn("record", F.regexp_replace("record", "\r$", "")))
+    heads = found.filter("offset = 0").select("record").distinct().limit(2).collect()
+    if len(heads) != 1:
+        raise DataError(f"{paths[0]} and the other parts have {'no header' if not heads else 'different headers'}")
+    names = next(csv.reader([heads[0]["record"]]))
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    rows = found.filter((F.col("offset") > 0) & (F.col("record") != ""))
+    return rows.select(F.from_csv("record", schema.toDDL(), {"quote": '"', "escape": '"'}).alias("r")).select("r.*")
 
 
 def load_subset(
-    spark: SparkSession, path: str, subset: str, expected: dict[str, tuple[int, int]] | None = None
+    spark: SparkSession, path: list[str] | str, subset: str, expected: dict[str, tuple[int, int]] | None = None
 ) -> DataFrame:
     """One subset with checked columns and, where given, checked counts (tests, packages)."""
     raw = read_csv(spark, path)
@@ -59,7 +144,7 @@ def load_subset(
 
 
 def load_all(
-    spark: SparkSession, files: dict[str, str], expected: dict[str, tuple[int, int]] | None = None
+    spark: SparkSession, files: dict[str, list[str]], expected: dict[str, tuple[int, int]] | None = None
 ) -> DataFrame:
     if not files:
         raise DataError("no archive file found")
@@ -70,16 +155,35 @@ def load_all(
     return out
 
 
-def manifest(spark: SparkSession, files: dict[str, str], expected: dict[str, tuple[int, int]] = PUBLISHED) -> DataFrame:
-    """Hash, size and record count per file, against the expected packages."""
+def file_digests(lines: DataFrame) -> DataFrame:
+    """(file, bytes, digest): a digest tree over the lines of each file, whatever ranges they were read in.
+
+    SHA-256 of each line, of the lines' digests of each stretch of CHUNK bytes, and of those in order after the file's
+    size. A line belongs to the stretch in which it begins.
+    """
+    def joined(column: str, order: str) -> Column:
+        listed = F.array_sort(F.collect_list(F.struct(order, column)))
+        return F.sha2(F.array_join(F.transform(listed, lambda v: v[column]), "").cast("binary"), 256)
+
+    hashed = lines.select("file", "size", "offset", F.sha2(F.col("value").cast("binary"), 256).alias("line"))
+    chunks = hashed.groupBy("file", "size", F.floor(F.col("offset") / CHUNK).alias("chunk")).agg(joined("line", "offset").alias("part"))
+    files = chunks.groupBy("file", "size").agg(joined("part", "chunk").alias("all"))
+    return files.select("file", F.col("size").alias("bytes"), F.sha2(F.concat(F.col("size").cast("string"), F.lit(":"), "all").cast("binary"), 256).alias("digest"))
+
+
+def manifest(spark: SparkSession, files: dict[str, list[str]], expected: dict[str, tuple[int, int]] = PUBLISHED) -> DataFrame:
+    """Per subset: files, bytes, a digest over its files in order of their names, and records against the expected packages."""
     parts = None
-    for subset, path in sorted(files.items()):
-        content = spark.read.format("binaryFile").load(path).select(
-            F.lit(subset).alias("subset"), "path", F.col("length").alias("bytes"),
-            F.sha2("content", 256).alias("sha256"),
-        )
-        rows = read_csv(spark, path).agg(F.count(F.lit(1)).alias("data_rows")).withColumn("subset", F.lit(subset))
+    for subset, paths in sorted(files.items()):
+        lines = cut_lineage(physical_lines(spark, [paths] if isinstance(paths, str) else paths))
+        digests = file_digests(lines)
+        listed = F.array_sort(F.collect_list(F.struct("file", "digest")))
+        content = digests.agg(
+            F.count(F.lit(1)).alias("n_files"), F.sum("bytes").cast("long").alias("bytes"),
+            F.sha2(F.array_join(F.transform(listed, lambda v: v["digest"]), "").cast("binary"), 256).alias("digest"))
+        rows = records(lines).filter((F.col("offset") > 0) & (F.regexp_replace("record", "\r$", "") != "")).agg(F.count(F.lit(1)).alias("data_rows"))
         wanted = F.lit(expected.get(subset, (None, None))[1]).cast("long")
-        part = content.join(rows, "subset").withColumn("expected_packages", wanted)
+        tag = lambda df: df.withColumn("subset", F.lit(subset))
+        part = tag(content).join(tag(rows), "subset").withColumn("expected_packages", wanted)
         parts = part if parts is None else parts.unionByName(part)
     return parts.withColumn("rows_match", F.col("data_rows") == F.col("expected_packages"))

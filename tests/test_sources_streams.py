@@ -1,6 +1,9 @@
 """Files in and out, and real streams against their batch twins."""
 
+import csv
+import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,7 +37,7 @@ def test_archive(spark, tmp_path):
     assert sorted(r["headline"] for r in df.collect()) == ['Say "hi", reader 0', 'Say "hi", reader 1']
     assert build_arms(df).count() == 2
     found = archive.manifest(spark, files, {"exploratory": (2, 2)}).first()
-    assert found["data_rows"] == 2 and found["rows_match"] and len(found["sha256"]) == 64
+    assert found["data_rows"] == 2 and found["rows_match"] and len(found["digest"]) == 64 and found["n_files"] == 1
     with pytest.raises(DataError):
         archive.load_subset(spark, path, "exploratory", {"exploratory": (3, 2)})
     _csv(tmp_path, "a-exploratory-2.csv")
@@ -46,6 +49,60 @@ def test_archive(spark, tmp_path):
         archive.load_all(spark, {})
 
 
+@pytest.fixture
+def small_ranges(spark):
+    """Files are read in ranges of a few bytes, so that records and quoted line breaks lie across them."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_in_ranges_equals_csv_module(spark, tmp_path, small_ranges, end):
+    rng, parts = random.Random(len(end)), []
+    pieces = ["a", "é漢", '"', ",", "\n", " ", "word word", "\n\n", '""']
+    for k in range(3):
+        rows = [["".join(rng.choice(pieces) for _ in range(rng.randint(0, 8))) for _ in range(3)] for _ in range(25)]
+        path = tmp_path / f"part-{k}.csv"
+        with open(path, "w", newline="", encoding="utf-8") as out:
+            writer = csv.writer(out, lineterminator=end)
+            writer.writerow(["x", "y", "z"])
+            # A filled last field: a row of empty fields is a blank record.
+            writer.writerows([r[:2] + [f"{i}{r[2]}"] for i, r in enumerate(rows)])
+        with open(path, newline="", encoding="utf-8") as given:
+            parts += list(csv.reader(given))[1:]
+    paths = [str(tmp_path / f"part-{k}.csv") for k in range(3)]
+    lines = archive.physical_lines(spark, paths)
+    assert lines.select("block").distinct().count() > 10
+    got = sorted([v or "" for v in r] for r in archive.read_csv(spark, paths).collect())
+    assert got == sorted(parts)
+
+
+def test_digest_is_that_of_the_bytes_not_of_the_ranges(spark, tmp_path, small_ranges):
+    path = _csv(tmp_path, "one.csv", 30)
+    few = archive.file_digests(archive.physical_lines(spark, [path])).first()["digest"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    assert archive.file_digests(archive.physical_lines(spark, [path])).first()["digest"] == few
+    lines = open(path, "rb").read().split(b"\n")[:-1]
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    part = sha("".join(map(sha, lines)).encode())
+    size = sum(map(len, lines)) + len(lines)
+    assert few == sha(f"{size}:{sha(part.encode())}".encode())
+    data = bytearray(open(path, "rb").read())
+    data[-2] ^= 1
+    open(path, "wb").write(data)
+    assert archive.file_digests(archive.physical_lines(spark, [path])).first()["digest"] != few
+
+
+def test_parts_must_have_one_header(spark, tmp_path):
+    paths = [_csv(tmp_path, "a.csv"), _csv(tmp_path, "b.csv", 2, HEADER.replace("lede", "other"))]
+    with pytest.raises(DataError):
+        archive.read_csv(spark, paths)
+
+
 def test_resources(spark, tmp_path):
     assert resources.load_lexicons(resources.lexicon_frame(spark, DEFAULT_LEXICONS)) == DEFAULT_LEXICONS
     resources.write_model(spark, HAND_MODEL, str(tmp_path / "m"))
