@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
 
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import cut_lineage
 
 # ---- fixed values ------------------------------------------------------------
 EVENT_NAMES = (
@@ -58,6 +64,58 @@ def rate_windows(
     return kept.withColumn("allowed", F.col("n_recent") <= limit).drop("_us", "_slice")
 
 
+def exact_limit(
+    events: DataFrame, keys: Sequence[str] = ("user_id",), seconds: int = RATE_SECONDS,
+    limit: int = RATE_MAX, slice_seconds: int = 3600, order: str = "event_id",
+) -> DataFrame:
+    """Per event ``allowed``: fewer than ``limit`` accepted events of its user in the last seconds. Refused ones do not count.
+
+    Events are decided by (ts, ``order``). One with at most ``limit`` events in its window is accepted whatever came before,
+    so most are decided by a count over time slices. What remains are bursts: events over the limit and those that
+    lie in their windows. A burst is replayed in order by one task that holds the accepted times of one window, never
+    the burst; bursts are a window apart, so they do not depend on each other and spread over tasks.
+    """
+    keys = list(keys)
+    counted = cut_lineage(rate_windows(events, keys, seconds, limit, slice_seconds).withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))))
+    width, span = slice_seconds * 1000000, seconds * 1000000
+    over = F.col("n_recent") > limit
+    # Whether an event over the limit follows within the window: again by slices, with the head of the next one repeated.
+    own, back = F.floor(F.col("_us") / width), F.floor((F.col("_us") - span) / width)
+    sliced = counted.withColumn("_slice", F.explode(F.array_distinct(F.array(own, back))))
+    ahead = Window.partitionBy(*keys, "_slice").orderBy("_us").rangeBetween(0, span - 1)
+    marked = cut_lineage(
+        sliced.withColumn("_burst", F.count_if(over).over(ahead) > 0).filter(F.col("_slice") == own).drop("_slice"))
+    plain = marked.filter(~F.col("_burst")).withColumn("allowed", F.lit(True))
+    gap = F.col("_us") - F.lag("_us").over(Window.partitionBy(*keys).orderBy("_us", order))
+    starts = (F.coalesce(gap, F.lit(span)) >= span).cast("int")
+    bursts = marked.filter("_burst").drop("allowed").withColumn("_starts", starts)
+    number = F.sum("_starts").over(Window.partitionBy(*keys).orderBy("_us", order).rowsBetween(Window.unboundedPreceding, 0))
+    bursts = bursts.withColumn("_number", number)
+    names = [c for c in bursts.columns]
+    at = [names.index(k) for k in (*keys, "_number")]
+
+    def replay(batches):
+        accepted, last = deque(), None
+        for batch in batches:
+            groups = zip(*(batch.column(i).to_pylist() for i in at))
+            allowed = []
+            for group, us in zip(groups, batch.column(names.index("_us")).to_pylist()):
+                if group != last:
+                    accepted.clear()
+                    last = group
+                while accepted and us - accepted[0] >= span:
+                    accepted.popleft()
+                allowed.append(len(accepted) < limit)
+                if allowed[-1]:
+                    accepted.append(us)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_())], [*names, "allowed"])
+
+    ordered = bursts.repartition(*keys, "_number").sortWithinPartitions(*keys, "_number", "_us", order)
+    replayed = ordered.mapInArrow(replay, T.StructType([*bursts.schema, T.StructField("allowed", T.BooleanType())]))
+    columns = [*events.columns, "n_recent", "allowed"]
+    return plain.select(*columns).unionByName(replayed.select(*columns))
+
+
 def user_sessions(events: DataFrame) -> DataFrame:
     """First and last seen; upgraded once an account was created."""
     upgraded = F.min(F.when(F.col("name") == "account_created", F.col("ts")))

@@ -93,6 +93,14 @@ select day, n_live, round(psi, 6) + 0.0 as psi, case when psi < 0.1 then 'stable
     "rate_limit_daily": f"""with {ACTIVITY}, n as (select event_id, user_id, count(*) over (partition by user_id order by ts
   range between interval '86399.999999 seconds' preceding and current row) as n_recent from activity)
 select *, n_recent <= 3 as allowed from n""",
+    "rate_limit_exact": f"""with recursive {ACTIVITY},
+o as (select event_id, user_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as rn from activity),
+r as (
+  select user_id, rn, event_id, true as allowed, [us] as accepted from o where rn = 1
+  union all
+  select user_id, rn, event_id, len(recent) < 3, case when len(recent) < 3 then list_append(recent, us) else recent end
+  from (select o.*, list_filter(r.accepted, lambda t: o.us - t < 86400000000) as recent from r join o on o.user_id = r.user_id and o.rn = r.rn + 1))
+select event_id, user_id, allowed from r""",
     "user_sessions": f"""with {ACTIVITY} select user_id, min(ts) as first_seen, max(ts) as last_seen,
   count(*) filter (where name = 'account_created') = 0 as is_anonymous, min(ts) filter (where name = 'account_created') as upgraded_at, count(*) as n_events
 from activity group by 1""",

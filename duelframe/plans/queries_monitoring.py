@@ -131,6 +131,9 @@ QUERIES = {
     "rate_limit_daily": lambda s, d: A.rate_windows(tables.activity(s, d), seconds=86400, limit=3, slice_seconds=604800).select(
         "event_id", "user_id", "n_recent", "allowed"
     ),
+    "rate_limit_exact": lambda s, d: A.exact_limit(tables.activity(s, d), seconds=86400, limit=3, slice_seconds=604800).select(
+        "event_id", "user_id", "allowed"
+    ),
     "user_sessions": lambda s, d: A.user_sessions(tables.activity(s, d)),
     "activity_sessions": _activity_sessions,
     "recent_samples": _recent_samples,

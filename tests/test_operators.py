@@ -333,3 +333,29 @@ def test_verdict_without_champion_or_accuracy(spark):
     assert of([champion, good, unknown]) == {"a": "PROMOTE", "b": "HELD: accuracy missing"}
     assert of([good]) == {"a": "HELD: no champion"}
     assert of([champion, ("d", *champion[1:]), good]) == {"a": "HELD: several champions"}
+
+
+def test_exact_limit_equals_replay(spark):
+    """Bursts, polite users, equal times, and events at the very edge of the window."""
+    import random
+
+    rng, rows = random.Random(4), []
+    for user in range(6):
+        at = 0
+        for _ in range(200):
+            at += rng.choice([0, 1, 2, 5, 10, 10, 59, 60, 61] if user % 2 else [30, 61, 200])
+            rows.append((len(rows), user, at))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "event_id long, user_id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    want = {}
+    for user in range(6):
+        accepted = []
+        for at, event in sorted((s, e) for e, u, s in rows if u == user):
+            accepted = [t for t in accepted if at - t < 60]
+            want[event] = len(accepted) < 4
+            if want[event]:
+                accepted.append(at)
+    assert 0 < sum(want.values()) < len(want)
+    for width in (60, 3600):
+        got = {r["event_id"]: r["allowed"] for r in activity.exact_limit(df, seconds=60, limit=4, slice_seconds=width).collect()}
+        assert got == want
