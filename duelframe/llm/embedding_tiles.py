@@ -19,8 +19,13 @@ _PAIRS = 1 << 15
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of lists of one length as a matrix of doubles."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    """Rows of lists of one length as a matrix of doubles, each times a power of two that brings its largest magnitude near 1.
+
+    Cosines stay as they are, and squares neither overflow nor vanish.
+    """
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    _, exponents = np.frexp(np.abs(rows).max(axis=1, initial=0.0))
+    return np.ldexp(rows, -exponents[:, None])
 
 
 def principal_axes(vectors: DataFrame) -> tuple[int, np.ndarray]:

@@ -217,3 +217,14 @@ def test_memory_starts_anew(monkeypatch):
     texts = ["one two three four", "five one", "six", "one seven"]
     once = [memory.encode([t]).to_pylist()[0] for t in texts]
     assert once == _Memory(read_vocabulary(PATH)).encode(texts).to_pylist()
+
+
+# -- embeddings of any magnitude -----------------------------------------------------------------------------
+
+def test_embeddings_of_extreme_magnitudes(spark):
+    from duelframe.llm.embedding_tiles import link_embeddings
+
+    base = [[1.0, 2.0, 3.0], [1.0, 2.0, 3.01], [-3.0, 0.5, 1.0]]
+    rows = [(i, [v * scale for v in base[i % 3]], 1) for i, scale in enumerate([1.0, 1.0, 1.0, 1e200, 1e-200, 1e300, 1e-300, 1e308 / 4, 1e-160])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {i: (2, 2) if i % 3 == 2 else (5, 0) for i in range(9)}
