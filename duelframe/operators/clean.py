@@ -120,8 +120,12 @@ def _stacked(wide: DataFrame, names: Sequence[str], first_seq: int) -> DataFrame
     return wide.select(F.inline(F.array(*rows)))
 
 
-def filter_ledger(packages: DataFrame, pairs: DataFrame, alpha: float = 0.10) -> DataFrame:
-    """What every filter cost, from packages to labelled pairs."""
+def filter_ledger(packages: DataFrame, pairs: DataFrame, census: DataFrame, alpha: float = 0.10, cap: int = 40) -> DataFrame:
+    """What every filter cost, from packages to labelled pairs, with notes.
+
+    ``census``: one row of group counts (``pairs.group_census``). Pairs lost to the cap are a stage of their own; where the
+    unit changes, from arms to pairs, nothing counts as removed.
+    """
     first = package_ledger(packages)
     n_first = 1 + len(stage_flags(packages))
     arms = all_arms(packages).agg(
@@ -136,15 +140,23 @@ def filter_ledger(packages: DataFrame, pairs: DataFrame, alpha: float = 0.10) ->
         F.count_if(distinct & ~tied).alias("non-tied rate"),
         F.count_if(distinct & ~tied & (F.col("p_value") < alpha)).alias("distinguishable"),
     )
+    possible = census.select(F.col("possible_pairs").alias("possible pairs"))
+    noted = census.select(F.inline(F.array(
+        F.struct(F.lit("possible pairs").alias("stage"), F.concat_ws(" ", F.col("n_singletons").cast("string"), F.lit("of"), F.col("n_groups").cast("string"), F.lit("groups have a single arm")).alias("note")),
+        F.struct(F.lit("candidate pairs").alias("stage"), F.concat_ws(" ", F.col("n_capped").cast("string"), F.lit(f"groups are cut to {cap} pairs")).alias("note")),
+        F.struct(F.lit("arm impressions >= threshold").alias("stage"), F.lit(f"at least {MIN_IMPRESSIONS} after aggregation").alias("note")),
+        F.struct(F.lit("distinguishable").alias("stage"), F.lit(f"two-sided test below {alpha}").alias("note")),
+    )))
     stages = (
         first
         .unionByName(_stacked(arms, arms.columns, n_first + 1))
-        .unionByName(_stacked(tested, tested.columns, n_first + 3))
+        .unionByName(_stacked(possible, possible.columns, n_first + 3))
+        .unionByName(_stacked(tested, tested.columns, n_first + 4))
     )
     # A dozen rows: one per stage of the run.
-    return stages.withColumn(
-        "removed", F.lag("remaining").over(Window.orderBy("seq")) - F.col("remaining")
-    )
+    removed = F.lag("remaining").over(Window.orderBy("seq")) - F.col("remaining")
+    return stages.join(noted, "stage", "left").select(
+        "seq", "stage", "remaining", F.when(F.col("stage") != "possible pairs", removed).alias("removed"), F.coalesce("note", F.lit("")).alias("note"))
 
 
 def count_check(packages: DataFrame, expected: DataFrame) -> DataFrame:

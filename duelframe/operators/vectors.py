@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import FEATURE_NAMES, feature_vector, long_features, with_features
+from ..session import cut_lineage
 
 MIN_SUPPORT = 0.001
 
@@ -54,14 +55,18 @@ def mirrored(diffs: DataFrame) -> DataFrame:
     )
 
 
-def table_diff(first: DataFrame, second: DataFrame, keys: Sequence[str], names: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
-    """Cells of two feature tables that disagree, per feature, worst first, with the key of the largest difference.
+def table_diff(
+    first: DataFrame, second: DataFrame, keys: Sequence[str], names: Sequence[str], tolerance: float = 1e-9, examples: int = 3,
+) -> DataFrame:
+    """Cells of two feature tables that disagree, per feature, worst first, with the key of the largest difference and ``examples``.
 
     The tables meet wide, all features are summed up in one pass, and only that one row is turned.  A row that
-    one table lacks differs infinitely.
+    one table lacks differs infinitely. Examples are the keys of the largest differences, ties by key: each task keeps
+    the first few of a feature before they meet.
     """
     side = lambda df, s: df.select(*keys, F.struct(*names).alias(s))
-    both = side(first, "_a").join(side(second, "_b"), list(keys), "full")
+    # Stored once: the sums and the examples both read it.
+    both = cut_lineage(side(first, "_a").join(side(second, "_b"), list(keys), "full"))
 
     def summed(name: str):
         delta = F.coalesce(F.abs(F.col(f"_a.{name}") - F.col(f"_b.{name}")), F.lit(float("inf")))
@@ -74,4 +79,11 @@ def table_diff(first: DataFrame, second: DataFrame, keys: Sequence[str], names:
 
     rows = both.agg(*[summed(n).alias(f"_{n}") for n in names])
     turned = rows.select(F.inline(F.array(*[F.col(f"_{n}") for n in names])))
-    return turned.filter("n_cells > 0").orderBy(F.desc("n_divergent"), F.desc("max_delta"), "pos").drop("pos")
+    cells = both.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(n).alias("feature"), F.coalesce(F.abs(F.col(f"_a.{n}") - F.col(f"_b.{n}")), F.lit(float("inf"))).alias("delta")) for n in names
+    ]))).filter(F.col("delta") > tolerance)
+    place = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("delta"), *keys))
+    shown = cells.withColumn("place", place).filter(F.col("place") <= examples).groupBy("feature").agg(
+        F.array_sort(F.collect_list(F.struct("place", *keys, "delta"))).alias("examples"))
+    turned = turned.filter("n_cells > 0").join(shown, "feature", "left")
+    return turned.orderBy(F.desc("n_divergent"), F.desc("max_delta"), "pos").drop("pos")

@@ -157,12 +157,18 @@ stages as (
   union all select 5, 'image id present', count(*) filter (where f1 and f2 and f3 and f4) from flags
   union all select 6, 'arms after aggregation', count(*) from all_arms
   union all select 7, 'arm impressions >= threshold', count(*) from arms
-  union all select 8, 'candidate pairs', count(*) from pairs
-  union all select 9, 'distinct headlines', count(*) filter (where headline_a <> headline_b) from pairs
-  union all select 10, 'non-tied rate', count(*) filter (where not tied) from tested
-  union all select 11, 'distinguishable', count(*) from labelled)
-select seq::BIGINT as seq, stage, remaining, lag(remaining) over (order by seq) - remaining as removed
-from stages""",
+  union all select 8, 'possible pairs', sum(total)::BIGINT from groups
+  union all select 9, 'candidate pairs', count(*) from pairs
+  union all select 10, 'distinct headlines', count(*) filter (where headline_a <> headline_b) from pairs
+  union all select 11, 'non-tied rate', count(*) filter (where not tied) from tested
+  union all select 12, 'distinguishable', count(*) from labelled),
+notes as (
+  select 'possible pairs' as stage, count(*) filter (where n < 2) || ' of ' || count(*) || ' groups have a single arm' as note from groups
+  union all select 'candidate pairs', count(*) filter (where total > 40) || ' groups are cut to 40 pairs' from groups
+  union all values ('arm impressions >= threshold', 'at least 100 after aggregation'), ('distinguishable', 'two-sided test below 0.1'))
+select seq::BIGINT as seq, stage, remaining,
+  case when stage <> 'possible pairs' then lag(remaining) over (order by seq) - remaining end as removed, coalesce(note, '') as note
+from stages left join notes using (stage)""",
     "temporal_split": f"""
 with {SPLIT}
 select s.test_id, s.first_at, s.holdout, count(*) as n_pairs

@@ -171,9 +171,11 @@ select kind, term, count(*) as df from terms group by all having count(*) >= 3""
     "feature_diff": "with bare as (select doc_id, lang, regexp_replace(text, '[.!?]+$', '') as text from documents), "
     + features_ctes("documents", "doc_id", "fa") + "," + features_ctes("bare", "doc_id", "fb")
     + f""", a as (unpivot fa on {_NAMES} into name feature value v), b as (unpivot fb on {_NAMES} into name feature value v),
-d as (select feature, doc_id, abs(a.v - b.v) as delta from a join b using (feature, doc_id))
-select feature, count(*) as n_cells, count(*) filter (where delta > 1e-5) as n_divergent, round(max(delta), 6) + 0.0 as max_delta,
-  case when max(delta) > 1e-5 then arg_min(doc_id, {{'a': -delta, 'b': doc_id}}) end as worst_doc from d group by 1""",
+d as (select feature, doc_id, abs(a.v - b.v) as delta from a join b using (feature, doc_id)),
+shown as (select feature, string_agg(doc_id::VARCHAR, ',' order by place) as example_docs
+  from (select feature, doc_id, row_number() over (partition by feature order by delta desc, doc_id) as place from d where delta > 1e-5) where place <= 3 group by 1)
+select feature, any_value(example_docs) as example_docs, count(*) as n_cells, count(*) filter (where delta > 1e-5) as n_divergent, round(max(delta), 6) + 0.0 as max_delta,
+  case when max(delta) > 1e-5 then arg_min(doc_id, {{'a': -delta, 'b': doc_id}}) end as worst_doc from d left join shown using (feature) group by 1""",
     "url_hosts": """
 select regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as host, count(*) as n_pages from pages group by 1""",
 }

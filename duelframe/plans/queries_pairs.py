@@ -63,7 +63,8 @@ def _z_test(spark, sf_dir):
 
 def _filter_ledger(spark, sf_dir):
     raw = tables.packages(spark, sf_dir)
-    return clean.filter_ledger(raw, pairs.with_z(pairs.build_pairs(clean.build_arms(raw))))
+    a = cut_lineage(clean.build_arms(raw))
+    return clean.filter_ledger(raw, pairs.with_z(pairs.build_pairs(a)), pairs.group_census(a))
 
 
 def _temporal_split(spark, sf_dir):

@@ -81,7 +81,9 @@ def _feature_diff(spark, sf_dir):
     bare = docs.withColumn("text", F.regexp_replace("text", "[.!?]+$", ""))
     first, second = (_rounded(with_features(df, "text", ["doc_id"])) for df in (docs, bare))
     found = vectors.table_diff(first, second, ["doc_id"], FEATURE_NAMES, 1e-5)
-    return found.select("feature", "n_cells", "n_divergent", rounded(F.col("max_delta")).alias("max_delta"), F.col("worst.doc_id").alias("worst_doc"))
+    shown = F.array_join(F.transform("examples", lambda e: e["doc_id"].cast("string")), ",")
+    return found.select(
+        "feature", "n_cells", "n_divergent", rounded(F.col("max_delta")).alias("max_delta"), F.col("worst.doc_id").alias("worst_doc"), shown.alias("example_docs"))
 
 
 def _url_hosts(spark, sf_dir):
