@@ -64,7 +64,7 @@ both_ as (select run, round(p0, 12) as p, label as y from each_ union all select
 
 # The text model by accelerated gradient descent. Its solution is a sum of headline vectors, so a step moves one number for
 # each headline; K holds their products. eta is one over a bound of the curvature, run -1 learns from the past.
-TEXT_STEPS = 1500
+TEXT_STEPS = 800
 TEXT = "with recursive " + SPLIT + f""",
 parts_ as (select l.headline_a, l.headline_b, l.label, s.holdout, {hash_sql('test_id')} % 5 as fold, count(*) as n
   from labelled l join split s using (test_id) group by all),
