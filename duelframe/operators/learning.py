@@ -194,7 +194,7 @@ def fit_trees(rows: DataFrame, weight: Column | None = None, trees: int = TREES,
         raise ValueError(f"only {int(total) // 2} labelled pairs, too few to train on")
     chosen = dict(
         maxIter=trees, stepSize=STEP, maxDepth=DEPTH, subsamplingRate=ROW_SHARE, featureSubsetStrategy=COLUMN_SHARE,
-        minWeightFractionPerNode=min(MIN_LEAF / total, 0.49), seed=seed, weightCol="weight", checkpointInterval=-1,
+        minWeightFractionPerNode=min(MIN_LEAF / total, 0.49), seed=seed, weightCol="weight",
     ) | settings
     return GBTClassifier(**chosen).fit(table)
 
