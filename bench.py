@@ -17,7 +17,7 @@ HEADLINE = (
     "arms labelled_pairs alpha_sweep filter_ledger temporal_split feature_support text_features "
     "rank_line_sets top_reasons pairwise_metrics top1_selection ctr_lift calibration drift_report "
     "rate_limit activity_sessions latency_summary vocabulary fit_baseline cross_validation holdout_report "
-    "baseline_report text_cross_validation tfidf_holdout challenger_report"
+    "baseline_report text_cross_validation tfidf_holdout"
 ).split()
 
 
