@@ -49,7 +49,7 @@ def _saved_rankings(spark, sf_dir):
     folder = shared_folder(spark, "saved")
     ranked = ranking.rank_line_sets(tables.lines(spark, sf_dir).drop("doc_id"))
     ranked = ranked.select("ranking_id", "position", "text", "rank", "score")
-    sinks.save_rankings(sinks.with_feature_maps(ranked), folder, "hand-1", 1)
+    sinks.save_rankings(ranked, folder, "hand-1", 1, widen=sinks.with_feature_maps)
     items = spark.read.parquet(f"{folder}/ranking_items").groupBy("ranking_id").agg(
         F.count(F.lit(1)).alias("n_items"), F.round(F.sum(F.col("features")["char_count"])).cast("long").alias("n_chars"))
     saved = spark.read.parquet(f"{folder}/rankings").select("ranking_id", "model_version", "n_lines")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +17,18 @@ def with_feature_maps(ranked: DataFrame) -> DataFrame:
     return with_features(ranked, "text", kept).select(*kept, feature_map(FEATURE_NAMES).alias("features"))
 
 
-def save_rankings(ranked: DataFrame, folder: str, model_version: str, spec_version: int, mode: str = "append") -> None:
+def save_rankings(
+    ranked: DataFrame, folder: str, model_version: str, spec_version: int, mode: str = "append",
+    widen: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
     """One row per ranking and one per line, from one stored result.
 
-    Lines are written first: a failed run leaves lines without a ranking, which
+    ``widen``: adds columns that follow from a line alone (``with_feature_maps``) as the lines are written, so that
+    the stored result stays narrow. Lines are written first: a failed run leaves lines without a ranking, which
     ``orphaned`` finds, and never a ranking without lines.
     """
     stored = cut_lineage(ranked.withColumn("created_at", F.current_timestamp()))
-    stored.write.mode(mode).parquet(f"{folder}/ranking_items")
+    (stored if widen is None else widen(stored)).write.mode(mode).parquet(f"{folder}/ranking_items")
     rankings = stored.groupBy("ranking_id").agg(
         F.count(F.lit(1)).alias("n_lines"), F.min("created_at").alias("created_at")
     )

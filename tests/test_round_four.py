@@ -4,9 +4,14 @@ import itertools
 
 from pyspark.sql import functions as F
 
+from duelframe.functions import text as T
 from duelframe.operators import ranking as R
+from duelframe.operators import tfidf
+from duelframe.session import cut_lineage
+from duelframe.sources import sinks
 
 STRENGTHS = (3.4790476190476185, 5.357380952380951, 3.4790476190476185, 5.574047619047619, 3.9623809523809514)
+LINES = [(1, 0, "This is one line"), (1, 1, "Why not two?"), (1, 2, "Three apples, 3 pears"), (1, 3, "This is one line")]
 
 
 def test_equal_lines_have_equal_scores_wherever_they_stand(spark):
@@ -17,3 +22,15 @@ def test_equal_lines_have_equal_scores_wherever_they_stand(spark):
     long = R.borda_scores(R.pairwise_matrix(scored)).withColumnRenamed("i", "position")
     both = scored.select("ranking_id", "position", "score").exceptAll(long.select("ranking_id", "position", "score"))
     assert both.count() == 0
+
+
+def test_rankings_are_stored_without_their_feature_maps(spark, tmp_path, monkeypatch):
+    stored = []
+    monkeypatch.setattr(sinks, "cut_lineage", lambda df: stored.append(df.columns) or cut_lineage(df))
+    ranked = R.rank_line_sets(spark.createDataFrame(LINES, "ranking_id long, position long, text string"))
+    ranked = ranked.select("ranking_id", "position", "text", "rank", "score")
+    sinks.save_rankings(ranked, str(tmp_path), "hand-1", 1, widen=sinks.with_feature_maps)
+    items, saved = (spark.read.parquet(str(tmp_path / t)) for t in ("ranking_items", "rankings"))
+    assert stored == [[*ranked.columns, "created_at"]]
+    assert saved.agg(F.sum("n_lines")).first()[0] == items.count() == len(LINES)
+    assert {r["position"]: r["features"]["char_count"] for r in items.collect()} == {i: float(len(t)) for _, i, t in LINES}
