@@ -34,3 +34,14 @@ def test_rankings_are_stored_without_their_feature_maps(spark, tmp_path, monkeyp
     assert stored == [[*ranked.columns, "created_at"]]
     assert saved.agg(F.sum("n_lines")).first()[0] == items.count() == len(LINES)
     assert {r["position"]: r["features"]["char_count"] for r in items.collect()} == {i: float(len(t)) for _, i, t in LINES}
+
+
+def test_syllables_are_marked_in_one_pass(spark):
+    words = {"the": 1, "table": 2, "tree": 1, "made": 1, "area": 2, "e": 1, "le": 1, "123": 1, "rhythm": 1, "idea": 2, "voie": 1, "hmm": 1, "ae": 1}
+    df = spark.createDataFrame([(" ".join(words),), ("",), *((w,) for w in words)], "text string")
+    marks = T.syllable_string(F.col("text"))
+    got = [tuple(r) for r in df.select(T.syllable_total(marks), T.long_word_total(marks)).collect()]
+    assert got == [(sum(words.values()), 0), (0, 0), *((n, 0) for n in words.values())]
+    assert [r[0] for r in spark.sql("select explode(array('banana it', 'tomato potato', 'ab ab ab')) as t").select(T.long_word_total(T.syllable_string(F.col("t")))).collect()] == [1, 2, 0]
+    plan = df.select(marks.alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 2
