@@ -45,3 +45,12 @@ def test_syllables_are_marked_in_one_pass(spark):
     assert [r[0] for r in spark.sql("select explode(array('banana it', 'tomato potato', 'ab ab ab')) as t").select(T.long_word_total(T.syllable_string(F.col("t")))).collect()] == [1, 2, 0]
     plan = df.select(marks.alias("m"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 2
+
+
+def test_orders_are_compared_without_a_row_for_each(spark):
+    lines = spark.createDataFrame(LINES, "ranking_id long, position long, text string")
+    got = R.order_invariance(lines)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r["line"]: r for r in got.collect()}
+    assert len(rows) == len(LINES) and {r["n_orders"] for r in rows.values()} == {2 * len(LINES)}
+    assert all(r["score_drift"] < 1e-12 and not r["order_changed"] for r in rows.values())
