@@ -113,3 +113,14 @@ def difference_terms(pairs: DataFrame, weights: DataFrame, keys: Sequence[str])
         .groupBy(*keys, "kind", "term").agg(F.sum(F.col("sign") * F.col("weight")).alias("d"))
         .filter(F.abs("d") > 0)
     )
+
+
+def difference_sizes(pairs: DataFrame, weights: DataFrame, keys: Sequence[str], least: float = 1e-9) -> DataFrame:
+    """(keys, kind, n_terms, sq_norm): terms that differ by more than ``least`` and their squared length.
+
+    Terms are compared once per distinct pair of texts; only the sizes meet the pairs.  ``keys`` name a pair.
+    """
+    texts = ["headline_a", "headline_b"]
+    terms = difference_terms(pairs.select(*texts).distinct(), weights, texts).filter(F.abs("d") > least)
+    sizes = terms.groupBy(*texts, "kind").agg(F.count(F.lit(1)).alias("n_terms"), F.sum(F.col("d") * F.col("d")).alias("sq_norm"))
+    return pairs.join(sizes, texts).select(*keys, "kind", "n_terms", "sq_norm")

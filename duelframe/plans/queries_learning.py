@@ -33,10 +33,8 @@ def _tfidf_weights(spark, sf_dir):
 
 def _tfidf_diff(spark, sf_dir):
     pairs = cut_lineage(labelled_pairs(spark, sf_dir))
-    diffs = tfidf.difference_terms(pairs, _weights(pairs), _KEYS)
-    return diffs.filter(F.abs("d") > 1e-9).groupBy(*_KEYS, "kind").agg(
-        F.count(F.lit(1)).alias("n_terms"), rounded(F.sum(F.col("d") * F.col("d"))).alias("sq_norm"),
-    )
+    sizes = tfidf.difference_sizes(pairs, _weights(pairs), _KEYS)
+    return sizes.withColumn("sq_norm", rounded(F.col("sq_norm")))
 
 
 def training_tables(spark, sf_dir):

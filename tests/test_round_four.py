@@ -54,3 +54,15 @@ def test_orders_are_compared_without_a_row_for_each(spark):
     rows = {r["line"]: r for r in got.collect()}
     assert len(rows) == len(LINES) and {r["n_orders"] for r in rows.values()} == {2 * len(LINES)}
     assert all(r["score_drift"] < 1e-12 and not r["order_changed"] for r in rows.values())
+
+
+def test_texts_of_repeated_pairs_are_compared_once(spark, monkeypatch):
+    rows = [(k, a, b) for k in range(5) for a, b in (("red apple pie", "green apple tart"), ("blue sky", "red apple pie"))]
+    pairs = spark.createDataFrame(rows, "test_id long, headline_a string, headline_b string")
+    weights = tfidf.headline_weights(tfidf.pair_sides(pairs), tfidf.fit_idf(pairs))
+    keys, seen, long = ["test_id", "headline_a", "headline_b"], [], tfidf.difference_terms
+    monkeypatch.setattr(tfidf, "difference_terms", lambda p, w, k: seen.append(p.count()) or long(p, w, k))
+    got = tfidf.difference_sizes(pairs, weights, keys)
+    want = long(pairs, weights, keys).filter("abs(d) > 1e-9").groupBy(*keys, "kind").agg(F.count("*").alias("n_terms"), F.sum(F.expr("d * d")).alias("sq_norm"))
+    rounded = lambda df: {(*r[:5], round(r[5], 9)) for r in df.collect()}
+    assert rounded(got) == rounded(want) and got.count() == want.count() == 20 and seen == [2]
