@@ -19,9 +19,10 @@ def word_terms(text: Column) -> Column:
     return F.concat(words, F.filter(two, lambda t: t.isNotNull()))
 
 
-def char_terms(text: Column) -> Column:
-    """Character 3-5-grams inside space-padded words; a short word counts once."""
+def char_terms(text: Column, distinct: bool = False) -> Column:
+    """Character 3-5-grams inside space-padded words; a short word counts once.  ``distinct``: of each different word once."""
     words = F.filter(F.split(F.lower(text), f"[{WHITESPACE_CLASS}]+"), lambda w: w != "")
+    words = F.array_distinct(words) if distinct else words
 
     def grams(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
@@ -54,10 +55,13 @@ def term_counts(texts: DataFrame, keys: Sequence[str], text: str, kinds: Sequenc
 
 
 def vocabulary(texts: DataFrame, text: str, min_df: int = MIN_DF) -> DataFrame:
-    """Document frequency per word and character term: distinct inside the row, one shuffle."""
+    """Document frequency per word and character term: distinct inside the row, one shuffle.
+
+    A word that comes again in a text adds no character term, so each is cut once.
+    """
     found = F.array(*(
         F.struct(F.lit(kind).alias("kind"), F.array_distinct(terms(F.col(text))).alias("terms"))
-        for kind, terms in (("word", word_terms), ("char", char_terms))
+        for kind, terms in (("word", word_terms), ("char", lambda t: char_terms(t, distinct=True)))
     ))
     rows = texts.select(F.inline(found)).select("kind", F.explode("terms").alias("term"))
     return rows.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)

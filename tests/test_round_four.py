@@ -66,3 +66,11 @@ def test_texts_of_repeated_pairs_are_compared_once(spark, monkeypatch):
     want = long(pairs, weights, keys).filter("abs(d) > 1e-9").groupBy(*keys, "kind").agg(F.count("*").alias("n_terms"), F.sum(F.expr("d * d")).alias("sq_norm"))
     rounded = lambda df: {(*r[:5], round(r[5], 9)) for r in df.collect()}
     assert rounded(got) == rounded(want) and got.count() == want.count() == 20 and seen == [2]
+
+
+def test_a_word_is_cut_into_character_terms_once(spark):
+    df = spark.createDataFrame([("the cat The cat the",), ("",), ("a a",)], "text string")
+    terms = df.select(tfidf.char_terms(F.col("text"), True).alias("once"), tfidf.char_terms(F.col("text")).alias("each")).collect()
+    assert [(set(r["once"]) == set(r["each"]), len(r["once"]) == len(set(r["each"]))) for r in terms] == [(True, True)] * 3
+    assert [len(r["each"]) for r in terms] == [30, 0, 2]
+    assert {(r["kind"], r["term"]): r["df"] for r in tfidf.vocabulary(df, "text", 1).collect()}[("char", " th")] == 1
