@@ -20,12 +20,13 @@ def _written_archive(spark, sf_dir) -> dict[str, list[str]]:
     raw = tables.packages(spark, sf_dir).withColumn("created_at", stamp)
     broken = F.when(F.col("test_id") % 7 == 0, F.concat(F.lit('<\n"'), "headline", F.lit('"\n>'))).otherwise(F.col("headline"))
     raw = raw.withColumn("headline", broken).withColumnsRenamed({new: old for old, new in archive.RENAMED.items()})
-    folder, files = shared_folder(spark, "archive"), {}
-    for subset, half in _HALVES.items():
-        rows = raw.filter(F.col("subset") == half).drop("subset")
-        rows.write.option("maxRecordsPerFile", 20000).csv(f"{folder}/{subset}", header=True, quote='"', escape='"')
-        files |= archive.discover_files(spark, f"{folder}/{subset}", {subset: "part-*.csv"}, parts=True)
-    return files
+    folder = shared_folder(spark, "archive")
+    # Both subsets in one pass over the packages, each in a folder of its own.
+    rows = raw.filter(F.col("subset").isin(*_HALVES.values()))
+    rows.write.option("maxRecordsPerFile", 20000).partitionBy("subset").csv(folder, header=True, quote='"', escape='"')
+    written = archive.discover_files(spark, folder, {"all": "part-*.csv"}, parts=True).get("all", [])
+    files = {subset: [p for p in written if f"/subset={half}/" in p] for subset, half in _HALVES.items()}
+    return {subset: paths for subset, paths in files.items() if paths}
 
 
 def _archive_arms(spark, sf_dir):

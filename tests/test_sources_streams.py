@@ -81,6 +81,27 @@ def test_csv_in_ranges_equals_csv_module(spark, tmp_path, small_ranges, end):
     assert got == sorted(parts)
 
 
+def test_records_are_joined_in_the_tasks_that_read_them(spark, tmp_path, small_ranges):
+    path = tmp_path / "part-0.csv"
+    path.write_text('x,y\n1,"a\n' + "long line\n" * 30 + 'end"\n2,"b\n\nc"\n3,d\n4,"open\nto the end\n')
+    lines = archive.physical_lines(spark, [str(path)])
+    as_rows = lambda df: sorted((r["offset"], r["record"]) for r in df.collect())
+    met = archive.whole_records(spark, [str(path)])
+    assert as_rows(met) == as_rows(archive.records(lines)) and met.count() == 5
+
+
+def test_a_record_is_parsed_once_and_without_quotes_only_divided(spark, tmp_path):
+    names, texts = ["x", "y", "z"], ["1,2,3", ",,", " a , ,b ", "1", "1,2,3,4,5", "a\rb,c", "#1,2,3", "é,漢,", '"a,b",2,3', 'a"b,2,3', '"a\n""b""",,""']
+    rows = spark.createDataFrame([(t,) for t in texts], "record string")
+    plain = F.from_csv("record", "x string, y string, z string", {"quote": '"', "escape": '"'})
+    got = rows.select(archive.fields("record", names).alias("a"), plain.alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got]
+    df = archive.load_subset(spark, _csv(tmp_path, "a.csv"), "exploratory")
+    plan = build_arms(df)._jdf.queryExecution().optimizedPlan().toString()
+    # Whole records and those put together from pieces: one parse each.
+    assert plan.count("from_csv") <= 2
+
+
 def test_digest_is_that_of_the_bytes_not_of_the_ranges(spark, tmp_path, small_ranges):
     path = _csv(tmp_path, "one.csv", 30)
     few = archive.file_digests(archive.physical_lines(spark, [path])).first()["digest"]
