@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stats import bind
 from .text import FULL
 
 SPAN_TYPE = "array<struct<token:string,start:int,end:int>>"
@@ -54,6 +55,31 @@ def spans(text: Column) -> Column:
     return F.filter(found, lambda s: s["token"] != "")
 
 
+def folded(word: Column) -> Column:
+    return F.replace(F.lower(word), F.lit("’"), F.lit("'"))
+
+
+def spans_of(text: Column, words: Sequence[str]) -> Column:
+    """Of the tokens of ``spans``, the first one and those that fold to one of ``words``.
+
+    Offsets are added up for these alone, so a text without such words costs one search.
+    """
+    def found(pieces: Column) -> Column:
+        placed = F.transform(pieces, lambda p, i: F.struct(
+            F.when(p.rlike(f"^[{FULL['token']}]"), F.trim(p, F.lit(_APOSTROPHES))).otherwise("").alias("token"), i.alias("i")))
+        kept = F.filter(F.filter(placed, lambda t: t["token"] != ""), lambda t, k: (k == 0) | folded(t["token"]).isin(*words))
+
+        def located(t: Column) -> Column:
+            bare = F.ltrim(F.get(pieces, t["i"]), F.lit(_APOSTROPHES))
+            before = F.array_join(F.slice(pieces, F.lit(1), t["i"] + 1), "")
+            start = F.char_length(before) - F.char_length(bare)
+            return F.struct(t["token"].alias("token"), start.cast("int").alias("start"), (start + F.char_length(t["token"])).cast("int").alias("end"))
+
+        return F.transform(kept, located)
+
+    return bind(F.regexp_extract_all(text, F.lit(f"[{FULL['token']}]+|[^{FULL['token']}]+"), F.lit(0)), found)
+
+
 def with_spans(df: DataFrame, text: str = "text", name: str = "tokens") -> DataFrame:
     return df.withColumn(name, spans(F.col(text)))
 

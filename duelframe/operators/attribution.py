@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.features import EMOJI_FEATURES, with_features
 from ..functions.lexicons import DEFAULT_LEXICONS, Lexicons
 from ..functions.phrases import FALLBACK, NO_ATTRIBUTION, NOT_MEASURED, PHRASES
+from ..functions.spans import folded, spans_of
 from .ranking import SET, split_requests
 from .scoring import HAND_MODEL, LinearModel
 
@@ -111,6 +112,21 @@ def note_kinds(noted: DataFrame) -> DataFrame:
     return noted.withColumn("kinds", F.map_from_entries(F.transform(said, lambda n: F.struct(n["feature"], n["kind"]))))
 
 
+def marked_lines(noted: DataFrame, lex: Lexicons = DEFAULT_LEXICONS) -> DataFrame:
+    """``mark_spans`` of lines with ``text`` and ``kinds``, one row per mark: set, position and the mark's fields.
+
+    Tokens are looked for only in lines of which a note speaks of words and which hold such a word. The outer form keeps Spark
+    from testing the size of ``marks`` before the explode, which would work out notes and marks once more for each time
+    that the test names them.
+    """
+    words = sorted({*lex.second, *lex.demonstratives})
+    spoken = F.arrays_overlap(F.map_keys("kinds"), F.lit(["second_person_count", "leading_demonstrative", "demonstrative_count"]))
+    held = folded(F.col("text")).rlike("|".join(rf"\Q{w}\E" for w in words))
+    spans = noted.withColumn("tokens", F.when(spoken & held, spans_of(F.col("text"), words)))
+    rows = mark_spans(spans, "kinds", lex).select(SET, "position", F.inline_outer("marks"))
+    return rows.filter(F.col("label").isNotNull())
+
+
 def mark_spans(spans: DataFrame, kinds: dict[str, str] | str, lex: Lexicons = DEFAULT_LEXICONS) -> DataFrame:
     """Non-overlapping marks on a line.
 
@@ -118,8 +134,6 @@ def mark_spans(spans: DataFrame, kinds: dict[str, str] | str, lex: Lexicons = DE
     that the notes mention to helps or hurts; a name is a column with such a map for each line. A terminal mark needs
     the punctuation itself; of an opener two features may speak, the leading one first.
     """
-    folded = lambda s: F.replace(F.lower(s["token"]), F.lit("’"), F.lit("'"))
-
     def of(feature: str) -> Column:
         if isinstance(kinds, str):
             return F.try_element_at(F.col(kinds), F.lit(feature))
@@ -132,13 +146,13 @@ def mark_spans(spans: DataFrame, kinds: dict[str, str] | str, lex: Lexicons = DE
 
     none = F.array().cast("array<struct<start:int,end:int,label:string,feature:string,kind:string>>")
     second = F.when(of("second_person_count").isNotNull(), F.transform(
-        F.filter("tokens", lambda s: folded(s).isin(*lex.second)),
+        F.filter("tokens", lambda s: folded(s["token"]).isin(*lex.second)),
         lambda s: mark(s["start"], s["end"], "second person", F.lit("second_person_count"), of("second_person_count"))))
     leads = of("leading_demonstrative").isNotNull()
     opener = F.when(leads, F.lit("leading_demonstrative")).otherwise(F.lit("demonstrative_count"))
     opener_kind = F.when(leads, of("leading_demonstrative")).otherwise(of("demonstrative_count"))
     first = F.when(opener_kind.isNotNull(), F.transform(
-        F.filter(F.slice("tokens", 1, 1), lambda s: folded(s).isin(*lex.demonstratives)),
+        F.filter(F.slice("tokens", 1, 1), lambda s: folded(s["token"]).isin(*lex.demonstratives)),
         lambda s: mark(s["start"], s["end"], "demonstrative", opener, opener_kind)))
     bare = F.regexp_replace("text", _TRAILING, "")
     size = F.char_length(bare)

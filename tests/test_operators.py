@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from duelframe.functions.stats import two_proportion_z, two_sided_p
 from duelframe.operators import activity, clean, drift, evaluate, lifecycle, ordered, pairs, ranking, splits
-from duelframe.operators.attribution import mark_spans, notes, top_reasons
+from duelframe.operators.attribution import mark_spans, marked_lines, note_kinds, notes, top_reasons
 from duelframe.operators.scoring import HAND_MODEL, LinearModel, model_from_frame
-from duelframe.functions.spans import with_spans
+from duelframe.functions.spans import spans_of, with_spans
+from duelframe.plans.queries_ranking import MARK_MODEL
 from duelframe.session import cut_lineage
 
 
@@ -158,6 +159,27 @@ def test_marks_do_not_overlap(spark):
     assert rows[1]["marks"] == []
 
 
+def test_spans_of_words_are_those_of_all_tokens(spark):
+    texts = ["This is your youth, isn’t it", "''", "", "'' YOU’RE, ’you’ and 'yours'\U0001F389 you", "no word", "漢字 you é you", " that"]
+    words = ["you", "your", "yours", "you're", "that"]
+    df = with_spans(spark.createDataFrame([(t,) for t in texts], "text string")).withColumn("few", spans_of(F.col("text"), words))
+    for r in df.collect():
+        fold = lambda t: t["token"].lower().replace("’", "'")
+        assert r["few"] == [t for k, t in enumerate(r["tokens"]) if k == 0 or fold(t) in words], r["text"]
+
+
+def test_marked_lines(spark):
+    lines = [(1, 0, "This is your youth, isn't it?"), (1, 1, "Plain words here"), (1, 2, "That’s it..."), (2, 0, "One line"), (2, 1, "Same line")]
+    df = spark.createDataFrame(lines, "ranking_id long, position long, text string")
+    noted = note_kinds(notes(df, MARK_MODEL)).select("ranking_id", "position", "text", "kinds")
+    every = mark_spans(with_spans(noted), "kinds").select("ranking_id", "position", F.inline("marks"))
+    got = marked_lines(noted)
+    assert sorted(got.collect()) == sorted(every.collect()) and got.count() >= 4
+    # Marks are worked out once, not again in a filter on their number.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("terminal punctuation") <= every._jdf.queryExecution().optimizedPlan().toString().count("terminal punctuation") / 2
+
+
 def _sides(spark, train, live):
     rows = [("f", float(v), "train") for v in train] + [("f", float(v), "live") for v in live]
     return spark.createDataFrame(rows, "feature string, value double, side string")
