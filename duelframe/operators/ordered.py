@@ -17,6 +17,35 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 N_RANGES = 64
+#: Share of the rows on either side of a wanted quantile that ``exact_quantiles`` looks at.
+NEAR = 1 / 1024
+#: Distinct values of a range of ``prefix_sums``, and the most ranges of a key; the sketch tells some thousands apart.
+RANGE_VALUES, MOST_RANGES = 200_000, 4096
+#: Keys up to which a table with a few ranges for each is sent to the rows, so that the rows of a key stay where they are.
+FEW_KEYS = 1000
+
+
+def _sent(small: DataFrame) -> DataFrame:
+    return F.broadcast(small) if small.limit(FEW_KEYS + 1).count() <= FEW_KEYS else small
+
+
+def _with_range(df: DataFrame, keys: Sequence[str], at: Column, cuts: Sequence[float]) -> DataFrame:
+    """Adds ``_range``, which rises with ``at``: even numbers between the key's edges, odd ones on an edge.
+
+    Edges are values cut by a sketch of ``at`` at these shares. A value that comes often is an edge and a range of its own.
+    """
+    edges = cut_lineage(df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(at, cuts, 10000)).alias("_edges")))
+    if len(cuts) <= 16:
+        below = F.lit(0)
+        for i in range(len(cuts)):
+            below = below + F.when(F.get("_edges", F.lit(i)) < at, 1).otherwise(0)
+    else:
+        steps = F.lit([1 << k for k in reversed(range(len(cuts).bit_length()))])
+        below = F.coalesce(F.aggregate(
+            steps, F.lit(0), lambda found, step: found + F.when(F.get("_edges", found + step - 1) < at, step).otherwise(0)), F.lit(0))
+    placed = df.join(_sent(edges), list(keys)).withColumn("_below", below)
+    on_edge = F.when(F.get("_edges", F.col("_below")) == at, 1).otherwise(0)
+    return placed.withColumn("_range", F.col("_below") * 2 + on_edge).drop("_edges", "_below")
 
 
 def prefix_sums(
@@ -39,16 +68,9 @@ def prefix_sums(
     per_value = cut_lineage(
         df.groupBy(*keys, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     )
-    cuts = [i / n_ranges for i in range(1, n_ranges)]
-    edges = per_value.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(at, cuts, 10000)).alias("_edges")
-    )
-    ranged = per_value.join(edges, keys).select(
-        *keys,
-        value,
-        *names,
-        F.size(F.filter("_edges", lambda e: e < at)).alias("_range"),
-    )
+    # More values, more ranges: what one task sorts does not grow with the input.
+    n_ranges = max(n_ranges, min(per_value.count() // RANGE_VALUES, MOST_RANGES))
+    ranged = _with_range(per_value, keys, at, [i / n_ranges for i in range(1, n_ranges)]).select(*keys, value, *names, "_range")
     inside = (
         Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -114,7 +136,32 @@ def exact_quantiles(
     steps: Sequence[int],
     parts: int = 100,
 ) -> DataFrame:
-    sums = prefix_sums(df, keys, value, {"n": F.lit(1)})
+    """``quantiles_of`` without sums over all values.
+
+    Each wanted quantile has a narrow range around it. Rows are counted per range, and only ranges with a wanted rank are
+    sorted: narrow ones, or, where the sketch missed a rank, the one beside.
+    """
+    keys = list(keys)
+    cuts = sorted({min(max(s / parts + way * NEAR, 0.0), 1.0) for s in steps for way in (-1, 1)})
+    ranged = _with_range(df.select(*keys, value), keys, F.col(value), cuts)
+    totals = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    every = Window.partitionBy(*keys)
+    earlier = every.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(
+        *keys, "_range", "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"), F.sum("_n").over(every).alias("n_total"))
+    inside = lambda rank: (rank >= F.col("_off")) & (rank < F.col("_off") + F.col("_n"))
+    # Whole numbers: a rank is never rounded to its neighbour.
+    ranks = [r for s in steps for r in (
+        F.expr(f"((n_total - 1) * {int(s)}L) div {parts}"), F.expr(f"((n_total - 1) * {int(s)}L + {parts - 1}) div {parts}"))]
+    held = F.lit(False)
+    for rank in ranks:
+        held = held | inside(rank)
+    wanted = cut_lineage(totals.filter(held).drop("_n"))
+    kept = ranged.join(_sent(wanted), [*keys, "_range"])
+    kept = kept.groupBy(*keys, "_range", value).agg(
+        F.count(F.lit(1)).alias("n"), F.max("_off").alias("_off"), F.max("n_total").alias("n_total"))
+    before = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    sums = kept.withColumn("n_before", F.coalesce(F.sum("n").over(before), F.lit(0)) + F.col("_off"))
     return quantiles_of(sums, keys, value, steps, parts)
 
 

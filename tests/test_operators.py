@@ -159,6 +159,37 @@ def test_marks_do_not_overlap(spark):
     assert rows[1]["marks"] == []
 
 
+def test_quantiles_sort_only_the_rows_near_them(spark):
+    rng = np.random.default_rng(11)
+    cases = {"ties": np.repeat([0.5, 0.25], [9000, 11]), "mixed": np.r_[rng.normal(size=4000), np.zeros(4000)], "one": np.array([3.0]),
+             "two": np.array([1.0, 2.0]), "far": np.r_[np.full(50, -1e300), rng.uniform(size=3000), 1e300]}
+    rows = [(k, float(v)) for k, values in cases.items() for v in values]
+    df = spark.createDataFrame(rows, "m string, p double").repartition(8)
+    steps = [0, 1, 10, 19, 20]
+    found = ordered.exact_quantiles(df, ["m"], "p", steps, 20)
+    got = {(r["m"], r["step"]): r["quantile"] for r in found.collect()}
+    for name, values in cases.items():
+        ranked = np.sort(values)
+        for s in steps:
+            lo, rest = divmod((len(values) - 1) * s, 20)
+            expected = ranked[lo] + (ranked[lo + (rest > 0)] - ranked[lo]) * (rest / 20)
+            assert got[name, s] == pytest.approx(expected, rel=1e-12, abs=1e-12), (name, s)
+    # The rows of a key stay in their tasks; only what lies near a wanted rank goes to the task of its range.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 2
+
+
+def test_ranges_follow_the_number_of_values(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGE_VALUES", 10)
+    df = spark.range(5000).select(F.lit("a").alias("m"), (F.col("id") % 3000).alias("v"))
+    rows = ordered.prefix_sums(df, ["m"], "v", {"n": F.lit(1)})
+    before = 0
+    for r in sorted(rows.collect(), key=lambda r: r["v"]):
+        assert (r["n"], r["n_before"], r["n_total"]) == (2 if r["v"] < 2000 else 1, before, 5000)
+        before += r["n"]
+    assert before == 5000
+
+
 def test_spans_of_words_are_those_of_all_tokens(spark):
     texts = ["This is your youth, isn’t it", "''", "", "'' YOU’RE, ’you’ and 'yours'\U0001F389 you", "no word", "漢字 you é you", " that"]
     words = ["you", "your", "yours", "you're", "that"]
