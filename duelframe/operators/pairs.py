@@ -75,14 +75,22 @@ def pick_pairs(groups: DataFrame, cap: int = MAX_PAIRS, seed: int = SEED) -> Dat
     return drawn.select(*GROUP, (F.col("_p") - _pair_total(F.col("j"))).alias("i"), "j")
 
 
+def numbered_arms(arms: DataFrame) -> DataFrame:
+    """Arms with their number ``idx`` in (test, image) and the group's size ``n_in_key``, stored: pairs read them three times."""
+    return cut_lineage(number_within(arms, GROUP, ["headline"], hash_number(F.col("headline"))))
+
+
 def build_pairs(
     arms: DataFrame, cap: int = MAX_PAIRS, seed: int = SEED, same_image: bool = True
 ) -> DataFrame:
     """Candidate pairs inside (test, image); ``a`` is the smaller headline."""
     if not same_image:
         raise ValueError("pairs across images measure image and text together")
-    # Read three times below.
-    numbered = cut_lineage(number_within(arms, GROUP, ["headline"], hash_number(F.col("headline"))))
+    return pairs_of_numbered(numbered_arms(arms), cap, seed)
+
+
+def pairs_of_numbered(numbered: DataFrame, cap: int = MAX_PAIRS, seed: int = SEED) -> DataFrame:
+    """``build_pairs`` from ``numbered_arms``."""
     groups = numbered.filter("idx = 0").select(*GROUP, F.col("n_in_key").alias("n_arms"))
     side = F.struct("headline", "clicks", "impressions", "ctr", "created_at", "subset")
     first = numbered.select(*GROUP, F.col("idx").alias("i"), side.alias("x"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
@@ -17,6 +18,10 @@ from .pairs import GROUP
 
 #: Arms of one block: a task scores two blocks against each other.
 BLOCK = 32
+#: Duels of one task, and the most tasks that score them.
+TASK_DUELS, MOST_TASKS = 50_000, 4096
+#: Texts up to which the chances of all against all (8 MB) are sent to the arms.
+FEW_TEXTS = 1000
 
 
 class Scorer(Protocol):
@@ -64,28 +69,64 @@ class TreeScorer:
         return self._score(vectors.difference_vectors(pairs))
 
     def choices(self, arms: DataFrame) -> DataFrame:
-        """Arms are numbered into blocks of BLOCK; each pair of blocks is a row of its own, scored where it lies.
+        """A pair of texts is scored once where texts come again and again, else wherever it meets; the score is the same.
 
-        Sums per arm are combined before they are shuffled. The work of a group grows with the square of its arms, as
-        the measure does; a hot group spreads over its pairs of blocks.
+        The work of a group grows with the square of its arms, as the measure does. Scored are the fewer of all pairs of
+        distinct texts and all duels (pairs inside the groups).
         """
         arms = cut_lineage(arms)
         texts = arms.select(F.col("headline").alias("headline_a"), F.col("headline").alias("headline_b"))
-        known = vectors.headline_vectors(texts)
-        placed = number_within(arms.select(*GROUP, "headline"), list(GROUP), ["headline"], hash_number(F.col("headline")))
-        blocks = placed.join(known, "headline").groupBy(*GROUP, F.floor(F.col("idx") / BLOCK).alias("block")).agg(
-            F.collect_list(F.struct("headline", "vector")).alias("members"), F.max("n_in_key").alias("n"))
-        blocks = cut_lineage(blocks)
-        mine = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / BLOCK))))
-        met = mine.join(blocks.select(*GROUP, F.col("block").alias("other"), F.col("members").alias("against")), [*GROUP, "other"])
-        met = met.repartition(*GROUP, "block", "other")
-        duels = met.select(*GROUP, "against", F.inline("members")).select(
-            *GROUP, "headline", F.col("vector").alias("_v"), F.explode("against").alias("_o"))
-        duels = duels.filter(F.col("_o.headline") != F.col("headline")).select(
-            *GROUP, "headline", F.zip_with("_v", "_o.vector", lambda a, b: a - b).alias("d"))
-        scores = self._score(duels).groupBy(*GROUP, "headline").agg(F.round(F.avg("p"), 12).alias("strength"))
+        known = cut_lineage(vectors.headline_vectors(texts))
+        sizes = arms.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"))
+        n_texts, n_duels = known.count(), sizes.agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0] or 0
+        scores = self._by_texts(arms, known, n_texts) if n_texts ** 2 <= n_duels else self._by_groups(arms, known, n_duels)
         return evaluate.group_choices(arms.join(scores, [*GROUP, "headline"]))
 
+    def _duels(self, placed: DataFrame, keys: Sequence[str], n_duels: int, own: bool) -> DataFrame:
+        """(keys, headline, idx, other, p) of each member of a key against each other one, ``own``: and against itself.
+
+        ``placed``: keys, headline, vector, idx, n_in_key. Members form blocks of BLOCK; each pair of blocks is a row of
+        its own, scored where it lies, so a hot key spreads over its pairs of blocks. The number of tasks is given: these
+        rows are few bytes and much work, and Spark would gather them by their bytes.
+        """
+        blocks = placed.groupBy(*keys, F.floor(F.col("idx") / BLOCK).alias("block")).agg(
+            F.collect_list(F.struct("headline", "vector", "idx")).alias("members"), F.max("n_in_key").alias("n"))
+        blocks = cut_lineage(blocks)
+        mine = blocks.withColumn("to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / BLOCK))))
+        met = mine.join(blocks.select(*keys, F.col("block").alias("to"), F.col("members").alias("against")), [*keys, "to"])
+        met = met.repartition(min(1 + n_duels // TASK_DUELS, MOST_TASKS), *keys, "block", "to")
+        duels = met.select(*keys, "against", F.inline("members")).select(
+            *keys, "headline", "idx", F.col("vector").alias("_v"), F.explode("against").alias("_o"))
+        duels = duels if own else duels.filter(F.col("_o.headline") != F.col("headline"))
+        return self._score(duels.select(
+            *keys, "headline", "idx", F.col("_o.idx").alias("other"), F.zip_with("_v", "_o.vector", lambda a, b: a - b).alias("d")))
+
+    def _by_groups(self, arms: DataFrame, known: DataFrame, n_duels: int) -> DataFrame:
+        """Strengths of arms from duels scored group by group; sums per arm are combined before they are shuffled."""
+        placed = number_within(arms.select(*GROUP, "headline"), list(GROUP), ["headline"], hash_number(F.col("headline")))
+        duels = self._duels(placed.join(known, "headline"), GROUP, n_duels, own=False)
+        return duels.groupBy(*GROUP, "headline").agg(F.round(F.avg("p"), 12).alias("strength"))
+
+    def _by_texts(self, arms: DataFrame, known: DataFrame, n_texts: int) -> DataFrame:
+        """Strengths of arms from one table of all texts against all: a row holds the chances of a text against a block.
+
+        An arm meets one row of it for each block that has arms of its group.
+        """
+        sent = F.broadcast if n_texts <= FEW_TEXTS else lambda df: df
+        placed = cut_lineage(number_within(known.withColumn("all", F.lit(0)), ["all"], ["headline"], hash_number(F.col("headline"))))
+        block = lambda c: F.floor(F.col(c) / BLOCK)
+        # Numbers are dense, so the place of a text in its block is its place in the list.
+        listed = F.array_sort(F.collect_list(F.struct("other", "p")))
+        chances = cut_lineage(self._duels(placed, ["all"], n_texts ** 2, own=True).groupBy("idx", block("other").alias("to")).agg(
+            F.transform(listed, lambda x: x["p"]).alias("chances")))
+        numbers = arms.select(*GROUP, "headline").join(sent(placed.select("headline", "idx")), "headline")
+        others = numbers.groupBy(*GROUP, block("idx").alias("to")).agg(F.sort_array(F.collect_list("idx")).alias("others"))
+        met = numbers.join(others, list(GROUP)).join(sent(chances), ["idx", "to"])
+        met = met.withColumn("others", F.filter("others", lambda o: o != F.col("idx")))
+        won = F.aggregate("others", F.lit(0.0), lambda total, o: total + F.get("chances", (o % BLOCK).cast("int")))
+        sums = met.groupBy(*GROUP, "headline").agg(F.sum(won).alias("won"), F.sum(F.size("others")).alias("n"))
+        return sums.filter("n > 0").select(*GROUP, "headline", F.round(F.col("won") / F.col("n"), 12).alias("strength"))
+
 
 def both_ways(pairs: DataFrame) -> DataFrame:
     """Each pair of a table of texts (headline_a, headline_b, label, n, ...) and its mirror, with ``sign``."""

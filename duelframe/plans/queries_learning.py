@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from ..functions.stats import rounded
 from ..operators import learning as M
 from ..operators import scorers as S
+from ..operators import pairs as P
 from ..operators import splits, tfidf, vectors
 from ..operators import text_model as X
 from ..operators.scoring import headline_strengths
 from ..session import cut_lineage
 from .queries_evaluation import _round_all
-from .queries_pairs import arms, labelled_pairs, split_pairs
+from .queries_pairs import arms, labelled_pairs
 
 FOLD_TREES = M.TREES // 10
 _KEYS = ["test_id", "image_id", "headline_a", "headline_b"]
@@ -37,14 +38,27 @@ def _tfidf_diff(spark, sf_dir):
     return sizes.withColumn("sq_norm", rounded(F.col("sq_norm")))
 
 
-def training_tables(spark, sf_dir):
+def experiment(spark, sf_dir):
+    """Arms, what training reads of labelled pairs, and tests with their side of the temporal split: each worked out and stored once."""
+    numbered = P.numbered_arms(arms(spark, sf_dir))
+    labelled = P.label_pairs(P.pairs_of_numbered(numbered))
+    labelled = cut_lineage(labelled.select("test_id", "headline_a", "headline_b", "label", "created_at"))
+    return numbered.drop("idx", "n_in_key"), labelled, cut_lineage(splits.holdout_tests(labelled))
+
+
+def _tables(labelled, tests):
     """Distinct labelled pairs with their counts per run, distinct differences of them, and the features with enough support."""
-    pairs = cut_lineage(M.pair_table(splits.with_fold(split_pairs(spark, sf_dir))))
+    split = labelled.join(tests.select("test_id", "holdout"), "test_id")
+    pairs = cut_lineage(M.pair_table(splits.with_fold(split)))
     diffs = cut_lineage(vectors.difference_vectors(pairs))
     names = vectors.kept_features(vectors.feature_support(diffs, weight="n"))
     return pairs, cut_lineage(M.difference_table(diffs, names)), names
 
 
+def training_tables(spark, sf_dir):
+    return _tables(*experiment(spark, sf_dir)[1:])
+
+
 def _four_digits(df):
     """Fits of two solvers agree to more than four digits."""
     return df.withColumns({c: rounded(F.col(c), 4) for c, t in df.dtypes if t == "double"})
@@ -88,11 +102,11 @@ def _model_cross_validation(spark, sf_dir):
     return _four_digits(rows.unionByName(_text_folds(spark, pairs).drop("n_features")))
 
 
-def _held_out(spark, sf_dir, pairs):
+def _held_out(shown, tests, pairs):
     """Pairs and arms of the newest tests."""
-    held = splits.holdout_tests(labelled_pairs(spark, sf_dir)).filter("holdout").select("test_id")
-    tests = pairs.withColumn("n", F.get("test", F.lit(M.PAST))).filter("n > 0")
-    return tests, cut_lineage(arms(spark, sf_dir).join(cut_lineage(held), "test_id", "left_semi"))
+    held = tests.filter("holdout").select("test_id")
+    newest = pairs.withColumn("n", F.get("test", F.lit(M.PAST))).filter("n > 0")
+    return newest, cut_lineage(shown.join(held, "test_id", "left_semi"))
 
 
 def _baseline_scorer(pairs, table, names):
@@ -118,22 +132,25 @@ def _holdout(spark, sf_dir):
 
 def _baseline_report(spark, sf_dir):
     """The baseline on the newest tests: pairs, calibration, selection, lift, antisymmetry."""
-    pairs, table, names = training_tables(spark, sf_dir)
-    tests, held = _held_out(spark, sf_dir, pairs)
+    shown, labelled, split = experiment(spark, sf_dir)
+    pairs, table, names = _tables(labelled, split)
+    tests, held = _held_out(shown, split, pairs)
     return _four_digits(S.holdout_report(_baseline_scorer(pairs, table, names)(held), tests, held))
 
 
 def _challenger(spark, sf_dir):
     """The boosted trees at full size, with the full report on the newest tests."""
-    pairs, table, names = training_tables(spark, sf_dir)
-    tests, held = _held_out(spark, sf_dir, pairs)
+    shown, labelled, split = experiment(spark, sf_dir)
+    pairs, table, names = _tables(labelled, split)
+    tests, held = _held_out(shown, split, pairs)
     model = M.fit_trees(M.both_ways(table), M.train_weight(M.PAST))
     return _round_all(S.holdout_report(S.TreeScorer("trees", model, names), tests, held))
 
 
 def _tfidf_holdout(spark, sf_dir):
-    pairs = training_tables(spark, sf_dir)[0]
-    tests, held = _held_out(spark, sf_dir, pairs)
+    shown, labelled, split = experiment(spark, sf_dir)
+    pairs = _tables(labelled, split)[0]
+    tests, held = _held_out(shown, split, pairs)
     scorer, size = _text_scorer(spark, pairs, held)
     return _four_digits(S.holdout_report(scorer, tests, held).withColumn("n_features", F.lit(size).cast("long")))
 
