@@ -90,9 +90,10 @@ def build_pairs(
 
 
 def pairs_of_numbered(numbered: DataFrame, cap: int = MAX_PAIRS, seed: int = SEED) -> DataFrame:
-    """``build_pairs`` from ``numbered_arms``."""
+    """``build_pairs`` from ``numbered_arms``; without ``subset`` if the arms have none."""
+    named = [c for c in ("subset",) if c in numbered.columns]
     groups = numbered.filter("idx = 0").select(*GROUP, F.col("n_in_key").alias("n_arms"))
-    side = F.struct("headline", "clicks", "impressions", "ctr", "created_at", "subset")
+    side = F.struct("headline", "clicks", "impressions", "ctr", "created_at", *named)
     first = numbered.select(*GROUP, F.col("idx").alias("i"), side.alias("x"))
     second = numbered.select(*GROUP, F.col("idx").alias("j"), side.alias("y"))
     drawn = pick_pairs(groups, cap, seed)
@@ -107,7 +108,7 @@ def pairs_of_numbered(numbered: DataFrame, cap: int = MAX_PAIRS, seed: int = SEE
         *GROUP,
         *[F.col(f"{s}.{c}").alias(f"{c}_{s}") for c in ("headline", "clicks", "impressions", "ctr") for s in "ab"],
         F.least("a.created_at", "b.created_at").alias("created_at"),
-        F.col("a.subset").alias("subset"),
+        *[F.col(f"a.{c}").alias(c) for c in named],
     ).filter(F.col("headline_a") != F.col("headline_b"))
 
 

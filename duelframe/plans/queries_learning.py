@@ -40,7 +40,8 @@ def _tfidf_diff(spark, sf_dir):
 
 def experiment(spark, sf_dir):
     """Arms, what training reads of labelled pairs, and tests with their side of the temporal split: each worked out and stored once."""
-    numbered = P.numbered_arms(arms(spark, sf_dir))
+    # Nothing here reads the subset, and the least of texts would be found by sorting.
+    numbered = P.numbered_arms(arms(spark, sf_dir).drop("subset"))
     labelled = P.label_pairs(P.pairs_of_numbered(numbered))
     labelled = cut_lineage(labelled.select("test_id", "headline_a", "headline_b", "label", "created_at"))
     return numbered.drop("idx", "n_in_key"), labelled, cut_lineage(splits.holdout_tests(labelled))

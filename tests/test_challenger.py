@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from duelframe.functions.stats import logistic
 from duelframe.operators import learning as M
+from duelframe.operators import pairs as P
 from duelframe.operators import scorers as S
 from duelframe.plans import queries_learning as Q
+from duelframe.plans import queries_pairs
 from duelframe.session import cut_lineage
 from duelframe.sources import tables
 
@@ -60,3 +62,11 @@ def test_the_report_reads_the_packages_once(spark, monkeypatch):
     monkeypatch.setattr(M, "fit_trees", functools.partial(M.fit_trees, trees=2))
     assert Q.QUERIES["challenger_report"](spark, "/root/testdata/sf0.01").count() == 1
     assert len(read) == 1
+
+
+def test_pairs_do_without_a_subset(spark):
+    arms = queries_pairs.arms(spark, "/root/testdata/sf0.001")
+    whole, lean = P.build_pairs(arms), P.build_pairs(arms.drop("subset"))
+    assert whole.columns == [*lean.columns, "subset"] and whole.count() == lean.count() > 0
+    assert whole.drop("subset").exceptAll(lean).count() == 0
+    assert "SortAggregate" not in arms.drop("subset")._jdf.queryExecution().executedPlan().toString()
