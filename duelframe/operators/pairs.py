@@ -11,6 +11,8 @@ from .ordered import exact_quantiles, number_within, spread_steps
 
 GROUP = ("test_id", "image_id")
 MAX_PAIRS = 40
+#: Arms of one block, where all pairs are listed: a row holds a block, or two that meet.
+BLOCK = 32
 SEED = 20260826
 ALPHA = 0.10
 ALPHAS = (0.05, 0.10, 0.20, 0.50, 1.00)
@@ -81,23 +83,44 @@ def numbered_arms(arms: DataFrame) -> DataFrame:
 
 
 def build_pairs(
-    arms: DataFrame, cap: int = MAX_PAIRS, seed: int = SEED, same_image: bool = True
+    arms: DataFrame, cap: int | None = MAX_PAIRS, seed: int = SEED, same_image: bool = True
 ) -> DataFrame:
-    """Candidate pairs inside (test, image); ``a`` is the smaller headline."""
+    """Candidate pairs inside (test, image), all of them without a ``cap``; ``a`` is the smaller headline."""
     if not same_image:
         raise ValueError("pairs across images measure image and text together")
     return pairs_of_numbered(numbered_arms(arms), cap, seed)
 
 
-def pairs_of_numbered(numbered: DataFrame, cap: int = MAX_PAIRS, seed: int = SEED) -> DataFrame:
+def _met(numbered: DataFrame, side: Column) -> DataFrame:
+    """(group, x, y): all pairs of a group, each once.
+
+    Arms form blocks of BLOCK by their number. A block's pairs come from its own row, those across blocks from a row for
+    each two blocks, so a row makes at most BLOCK * BLOCK pairs and a hot group spreads over its pairs of blocks.
+    """
+    blocks = numbered.groupBy(*GROUP, F.floor(F.col("idx") / BLOCK).alias("block")).agg(
+        F.collect_list(side).alias("members"), F.floor((F.max("n_in_key") - 1) / BLOCK).alias("last"))
+
+    def listed(rows: DataFrame) -> DataFrame:
+        first = rows.select(*GROUP, "against", F.explode("members").alias("x"))
+        return first.select(*GROUP, "x", F.explode("against").alias("y"))
+
+    inside = listed(blocks.withColumn("against", F.col("members"))).filter("x.headline < y.headline")
+    later = blocks.filter("block < last").withColumn("to", F.explode(F.sequence(F.col("block") + 1, F.col("last"))))
+    others = blocks.filter("block > 0").select(*GROUP, F.col("block").alias("to"), F.col("members").alias("against"))
+    return inside.unionByName(listed(later.join(others, [*GROUP, "to"])))
+
+
+def pairs_of_numbered(numbered: DataFrame, cap: int | None = MAX_PAIRS, seed: int = SEED) -> DataFrame:
     """``build_pairs`` from ``numbered_arms``; without ``subset`` if the arms have none."""
     named = [c for c in ("subset",) if c in numbered.columns]
-    groups = numbered.filter("idx = 0").select(*GROUP, F.col("n_in_key").alias("n_arms"))
     side = F.struct("headline", "clicks", "impressions", "ctr", "created_at", *named)
-    first = numbered.select(*GROUP, F.col("idx").alias("i"), side.alias("x"))
-    second = numbered.select(*GROUP, F.col("idx").alias("j"), side.alias("y"))
-    drawn = pick_pairs(groups, cap, seed)
-    both = drawn.join(first, [*GROUP, "i"]).join(second, [*GROUP, "j"])
+    if cap is None:
+        both = _met(numbered, side)
+    else:
+        groups = numbered.filter("idx = 0").select(*GROUP, F.col("n_in_key").alias("n_arms"))
+        first = numbered.select(*GROUP, F.col("idx").alias("i"), side.alias("x"))
+        second = numbered.select(*GROUP, F.col("idx").alias("j"), side.alias("y"))
+        both = pick_pairs(groups, cap, seed).join(first, [*GROUP, "i"]).join(second, [*GROUP, "j"])
     in_order = F.col("x.headline") <= F.col("y.headline")
     both = both.select(
         *GROUP,

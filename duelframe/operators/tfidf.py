@@ -67,18 +67,19 @@ def vocabulary(texts: DataFrame, text: str, min_df: int = MIN_DF) -> DataFrame:
     return rows.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
 
 
-def pair_sides(pairs: DataFrame) -> DataFrame:
-    """(headline, occurrences) over both sides of the pairs: the training documents."""
-    sides = pairs.select(F.explode(F.array("headline_a", "headline_b")).alias("headline"))
-    return sides.groupBy("headline").agg(F.count(F.lit(1)).alias("occurrences"))
+def pair_sides(pairs: DataFrame, weight: str | None = None) -> DataFrame:
+    """(headline, occurrences) over both sides of the pairs: the training documents. ``weight``: how many pairs a row is."""
+    times = F.lit(1) if weight is None else F.col(weight)
+    sides = pairs.select(F.explode(F.array("headline_a", "headline_b")).alias("headline"), times.alias("times"))
+    return sides.groupBy("headline").agg(F.sum("times").alias("occurrences"))
 
 
-def fit_idf(pairs: DataFrame, min_df: int = MIN_DF) -> DataFrame:
-    """(kind, term, df, idf) from training pairs only.
+def fit_idf(pairs: DataFrame, min_df: int = MIN_DF, weight: str | None = None) -> DataFrame:
+    """(kind, term, df, idf) from training pairs only. ``weight``: how many pairs a row is.
 
     Terms are found once per distinct headline and weighted by its occurrences.
     """
-    sides = pair_sides(pairs)
+    sides = pair_sides(pairs, weight)
     counts = term_counts(sides, ["headline", "occurrences"], "headline")
     df = counts.groupBy("kind", "term").agg(F.sum("occurrences").alias("df")).filter(F.col("df") >= min_df)
     total = sides.agg(F.sum("occurrences").alias("n"))
@@ -119,12 +120,18 @@ def difference_terms(pairs: DataFrame, weights: DataFrame, keys: Sequence[str])
     )
 
 
+def text_sizes(texts: DataFrame, weights: DataFrame, least: float = 1e-9) -> DataFrame:
+    """(headline_a, headline_b, kind, n_terms, sq_norm) of distinct pairs of texts: terms that differ by more than ``least``."""
+    sides = ["headline_a", "headline_b"]
+    terms = difference_terms(texts, weights, sides).filter(F.abs("d") > least)
+    return terms.groupBy(*sides, "kind").agg(F.count(F.lit(1)).alias("n_terms"), F.sum(F.col("d") * F.col("d")).alias("sq_norm"))
+
+
 def difference_sizes(pairs: DataFrame, weights: DataFrame, keys: Sequence[str], least: float = 1e-9) -> DataFrame:
     """(keys, kind, n_terms, sq_norm): terms that differ by more than ``least`` and their squared length.
 
     Terms are compared once per distinct pair of texts; only the sizes meet the pairs.  ``keys`` name a pair.
     """
     texts = ["headline_a", "headline_b"]
-    terms = difference_terms(pairs.select(*texts).distinct(), weights, texts).filter(F.abs("d") > least)
-    sizes = terms.groupBy(*texts, "kind").agg(F.count(F.lit(1)).alias("n_terms"), F.sum(F.col("d") * F.col("d")).alias("sq_norm"))
+    sizes = text_sizes(pairs.select(*texts).distinct(), weights, least)
     return pairs.join(sizes, texts).select(*keys, "kind", "n_terms", "sq_norm")

@@ -4,7 +4,7 @@ from ..functions.features import FEATURE_NAMES
 from .oracle_evaluation import metrics
 from .oracle_pairs import SPLIT, hash_sql
 from .oracle_text import features_ctes
-from .oracle_pairs import PAIRS
+from .oracle_pairs import EVERY_PAIR, PAIRS
 
 _TERM_CTES = """
 words as (select headline, regexp_extract_all(lower(headline), '[\\p{L}\\p{N}_]{2,}') as w from texts_),
@@ -15,7 +15,7 @@ char_terms as (select headline, 'char' as kind, substr(w, i, n) as term
                      from padded, (values (3), (4), (5)) s(n) where n = 3 or n - 1 < length(w))),
 tf as (select headline, kind, term, count(*) as tf from (select * from word_terms union all select * from char_terms) group by all)"""
 
-TERMS = PAIRS + """,
+_WEIGHTS = """,
 texts_ as (select headline, count(*) as occurrences
           from (select headline_a as headline from labelled union all select headline_b from labelled) group by 1),
 """ + _TERM_CTES + """,
@@ -25,6 +25,8 @@ idf as (select kind, term, sum(occurrences)::BIGINT as df,
 raw as (select headline, kind, term, (1 + ln(tf)) * idf as raw from tf join idf using (kind, term)),
 weights as (select headline, kind, term, raw / sqrt(sum(raw * raw) over (partition by headline, kind)) as weight from raw)"""
 
+TERMS, EVERY_TERM = PAIRS + _WEIGHTS, EVERY_PAIR + _WEIGHTS
+
 # Baseline fits by plain gradient descent: run -1 learns from the past, runs 0-4 leave one fold out. Pairs with
 # equal differences are one row, so that a step is short; the step is that of the largest possible curvature.
 FITS = "with recursive " + SPLIT + """,
@@ -158,7 +160,7 @@ SQL = {
         ", (select n_features from sizes_ where run < 0) as n_features"),
     "tfidf_idf": f"with {TERMS} select kind, term, df, round(idf, 6) as idf from idf",
     "tfidf_weights": f"with {TERMS} select headline, kind, term, round(weight, 6) as weight from weights",
-    "tfidf_diff": f"""with {TERMS},
+    "tfidf_diff": f"""with {EVERY_TERM},
 d as (select test_id, image_id, headline_a, headline_b, kind, term, sum(w) as d from (
   select l.*, kind, term, weight as w from labelled l join weights on headline = headline_a
   union all select l.*, kind, term, -weight from labelled l join weights on headline = headline_b) group by all)

@@ -40,7 +40,7 @@ all_arms as (
   group by all),
 arms as (select *, clicks / impressions as ctr from all_arms where impressions >= 100)"""
 
-PAIRS = ARMS + f""",
+_DRAWN = ARMS + f""",
 numbered as (
   select *, row_number() over (partition by test_id, image_id
               order by {hash_sql('headline')} % 64, headline) - 1 as idx
@@ -70,7 +70,14 @@ ordered as (
   select test_id, image_id,
          case when x.headline < y.headline then x else y end as a,
          case when x.headline < y.headline then y else x end as b
-  from sides),
+  from sides)"""
+
+_EVERY = ARMS + """,
+ordered as (
+  select x.test_id, x.image_id, x as a, y as b
+  from arms x join arms y on y.test_id = x.test_id and y.image_id = x.image_id and x.headline < y.headline)"""
+
+_LABELLED = f""",
 pairs as (
   select test_id, image_id, a.headline as headline_a, b.headline as headline_b,
          a.clicks as clicks_a, b.clicks as clicks_b,
@@ -92,6 +99,9 @@ tested as (
   from scored),
 labelled as (select * from tested where not tied and p_value < 0.10)"""
 
+#: At most 40 drawn pairs of a group, and all of them.
+PAIRS, EVERY_PAIR = _DRAWN + _LABELLED, _EVERY + _LABELLED
+
 SPLIT = PAIRS + """,
 tests as (select test_id, min(created_at) as first_at from labelled group by 1),
 ranked as (select *, row_number() over (order by first_at desc, test_id desc) as newest,

@@ -16,6 +16,8 @@ from .queries_evaluation import _round_all
 from .queries_pairs import arms, labelled_pairs
 
 FOLD_TREES = M.TREES // 10
+#: Distinct pairs of texts up to which their sizes are sent to the pairs.
+FEW_PAIRS = 50_000
 _KEYS = ["test_id", "image_id", "headline_a", "headline_b"]
 
 
@@ -23,8 +25,8 @@ def _idf(spark, sf_dir):
     return tfidf.fit_idf(labelled_pairs(spark, sf_dir)).withColumn("idf", rounded(F.col("idf")))
 
 
-def _weights(pairs):
-    return tfidf.headline_weights(tfidf.pair_sides(pairs), tfidf.fit_idf(pairs))
+def _weights(pairs, weight=None):
+    return tfidf.headline_weights(tfidf.pair_sides(pairs, weight), tfidf.fit_idf(pairs, weight=weight))
 
 
 def _tfidf_weights(spark, sf_dir):
@@ -33,9 +35,14 @@ def _tfidf_weights(spark, sf_dir):
 
 
 def _tfidf_diff(spark, sf_dir):
-    pairs = cut_lineage(labelled_pairs(spark, sf_dir))
-    sizes = tfidf.difference_sizes(pairs, _weights(pairs), _KEYS)
-    return sizes.withColumn("sq_norm", rounded(F.col("sq_norm")))
+    """All labelled pairs of all groups. They are listed anew from the stored arms where they are read, not stored."""
+    numbered = P.numbered_arms(arms(spark, sf_dir).drop("subset"))
+    labelled = P.label_pairs(P.pairs_of_numbered(numbered, cap=None)).select(*_KEYS)
+    texts = cut_lineage(labelled.groupBy("headline_a", "headline_b").agg(F.count(F.lit(1)).alias("n")))
+    sizes = cut_lineage(tfidf.text_sizes(texts, _weights(texts, "n")))
+    sizes = sizes.withColumn("sq_norm", rounded(F.col("sq_norm")))
+    sent = F.broadcast(sizes) if texts.count() <= FEW_PAIRS else sizes
+    return labelled.join(sent, ["headline_a", "headline_b"]).select(*_KEYS, "kind", "n_terms", "sq_norm")
 
 
 def experiment(spark, sf_dir):
