@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from duelframe.operators import learning as M
 from duelframe.operators import pairs as P
 from duelframe.plans import queries_learning as Q
 from duelframe.plans.queries_pairs import arms
@@ -57,3 +58,21 @@ def test_term_differences_of_many_texts(spark, monkeypatch):
     sent = query(spark, SF_DIR)
     monkeypatch.setattr(Q, "FEW_PAIRS", 0)
     assert query(spark, SF_DIR).exceptAll(sent).count() == 0
+
+
+def test_the_challenger_learns_from_all_pairs(spark, told_apart, monkeypatch):
+    learned, whole = [], M.fit_trees
+
+    def fit(rows, weight, **more):
+        learned.append(rows.agg(F.sum("n"), F.sum(weight)).first())
+        return whole(rows, weight, trees=2, **more)
+
+    monkeypatch.setattr(M, "fit_trees", fit)
+    report = Q.QUERIES["challenger_report"](spark, SF_DIR).collect()
+    first = {}
+    for key, day in told_apart.items():
+        first[key[0]] = min(first.get(key[0], day), day)
+    newest = sorted(first, key=lambda t: (first[t], t), reverse=True)[:max(1, round(len(first) * 0.2))]
+    held = sum(key[0] in newest for key in told_apart)
+    assert [r["n_pairs"] for r in report] == [2 * held]
+    assert learned == [(2 * len(told_apart), 2 * (len(told_apart) - held))]
