@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WHITESPACE_CLASS
+from ..functions.text import WHITESPACE_CLASS, WIDE_SPACES
+from .document_terms import document_terms
 
 MIN_DF = 3
 
@@ -55,16 +56,17 @@ def term_counts(texts: DataFrame, keys: Sequence[str], text: str, kinds: Sequenc
 
 
 def vocabulary(texts: DataFrame, text: str, min_df: int = MIN_DF) -> DataFrame:
-    """Document frequency per word and character term: distinct inside the row, one shuffle.
+    """Document frequency per word and character term.
 
-    A word that comes again in a text adds no character term, so each is cut once.
+    Tasks count pieces of texts (``document_terms``), so only the terms of a piece are rows, not those of each text. What
+    is white space or no word beyond ASCII is marked here, by Spark's own tables of characters.
     """
-    found = F.array(*(
-        F.struct(F.lit(kind).alias("kind"), F.array_distinct(terms(F.col(text))).alias("terms"))
-        for kind, terms in (("word", word_terms), ("char", lambda t: char_terms(t, distinct=True)))
-    ))
-    rows = texts.select(F.inline(found)).select("kind", F.explode("terms").alias("term"))
-    return rows.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
+    dark = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), f"[{WIDE_SPACES}]", " ")
+    plain = F.regexp_replace("_dark", "[^\\p{L}\\p{N}_\\x{0}-\\x{7F}]", " ")
+    marked = texts.select(dark.alias("_dark")).select("_dark", plain.alias("_plain"))
+    rows = marked.mapInArrow(document_terms, "kind string, term string, df bigint")
+    # Dealt before they are added up: most terms come in few pieces, and a task that held all of its own would sort them on disk.
+    return rows.repartition("kind", "term").groupBy("kind", "term").agg(F.sum("df").alias("df")).filter(F.col("df") >= min_df)
 
 
 def pair_sides(pairs: DataFrame, weight: str | None = None) -> DataFrame:
