@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text of one piece; a longer text is a piece of its own. Rows of one batch of results.
 PIECE_BYTES, MOST_ROWS = 8 << 20, 200_000
+#: Grams of pieces that a task keeps to add them up; with more than half as many different ones it gives them out.
+KEPT_GRAMS = 1_500_000
 _BYTES = np.arange(256)
 #: Bytes of words for character terms: all but white space of ASCII; and of word terms: letters, digits, _ and what is not ASCII.
 DARK = ~np.isin(_BYTES, [9, 10, 11, 12, 13, 32])
@@ -114,20 +116,44 @@ def texts_with_two(codes: np.ndarray, ends: np.ndarray, runs: pa.Array) -> tuple
     apart[borders] = False
     coded = pa.array(key[apart]).dictionary_encode()
     both = coded.dictionary.to_numpy()
+    # In the order of the first word: rows that are alike and lie together are written in fewer bytes.
+    order = np.argsort(both)
+    count = texts_with(coded.indices.to_numpy(), np.append(0, np.cumsum(apart))[np.maximum(ends - 1, 0)], len(both))
+    both = both[order]
     terms = pc.binary_join_element_wise(runs.take(pa.array(both >> 32)), runs.take(pa.array(both & 0xFFFFFFFF)), pa.scalar(" ", pa.large_string()))
-    stops = np.append(0, np.cumsum(apart))[np.maximum(ends - 1, 0)]
-    return terms, texts_with(coded.indices.to_numpy(), stops, len(both))
+    return terms, count[order]
+
+
+def _rows(kind: str, terms: list[str] | pa.Array, count: np.ndarray | pa.Array) -> Iterator[pa.RecordBatch]:
+    columns = [pa.repeat(kind, len(count)), pa.array(terms, pa.large_string()).cast(pa.string()), pa.array(count)]
+    table = pa.RecordBatch.from_arrays(columns, ["kind", "term", "df"])
+    yield from (table.slice(i, MOST_ROWS) for i in range(0, len(count), MOST_ROWS))
+
+
+def _added(kept: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(kept).group_by("term", use_threads=False).aggregate([("df", "sum")]).select(["term", "df_sum"]).rename_columns(["term", "df"])
 
 
 def document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, term, df) of each piece, from lowered texts with a space for white space, and also for what is no word, beyond ASCII."""
+    """(kind, term, df), from lowered texts with a space for white space, and also for what is no word, beyond ASCII.
+
+    Words and pairs of words are rows of their piece; grams, which come again in most pieces, are added up first.
+    """
+    kept: list[pa.Table] = []
+
+    def given_out(least: int) -> Iterator[pa.RecordBatch]:
+        if sum(t.num_rows for t in kept) > least:
+            kept[:] = [_added(kept)]
+            if kept[0].num_rows > least // 2:
+                grams_ = kept.pop().combine_chunks()
+                yield from _rows("char", grams_["term"].combine_chunks(), grams_["df"].combine_chunks())
+
     for piece in pieces(batches):
         codes, ends, runs = words(piece.column(1), WORD, 2)
-        found = [("word", runs, texts_with(codes, ends, len(runs)))]
+        yield from _rows("word", runs, texts_with(codes, ends, len(runs)))
         if len(codes):
-            found.append(("word", *texts_with_two(codes, ends, runs)))
-        found.append(("char", *texts_with_grams(*words(piece.column(0), DARK, 1))))
-        for kind, terms, count in found:
-            columns = [pa.repeat(kind, len(count)), pa.array(terms, pa.large_string()).cast(pa.string()), pa.array(count)]
-            table = pa.RecordBatch.from_arrays(columns, ["kind", "term", "df"])
-            yield from (table.slice(i, MOST_ROWS) for i in range(0, len(count), MOST_ROWS))
+            yield from _rows("word", *texts_with_two(codes, ends, runs))
+        terms, count = texts_with_grams(*words(piece.column(0), DARK, 1))
+        kept.append(pa.table({"term": pa.array(terms, pa.large_string()), "df": count}))
+        yield from given_out(KEPT_GRAMS)
+    yield from given_out(0)

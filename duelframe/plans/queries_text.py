@@ -63,7 +63,10 @@ def _augment(spark, sf_dir):
 
 
 def _vocabulary(spark, sf_dir):
-    return tfidf.vocabulary(tables.documents(spark, sf_dir, "doc_id", "text"), "text")
+    texts = tables.table(spark, sf_dir, "documents").select("text")
+    # A file for each core: texts are read where they lie.
+    spread = len(texts.inputFiles()) >= spark.sparkContext.defaultParallelism
+    return tfidf.vocabulary(texts if spread else tables.spread(texts), "text")
 
 
 def _phrase_coverage(spark, sf_dir):

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from duelframe.operators import document_terms as D
 from duelframe.operators import tfidf
+from duelframe.plans.queries_text import QUERIES
+
+vocabulary = QUERIES["vocabulary"]
 
 SPACES = [9, 10, 11, 12, 13, 28, 31, 32, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
 TEXTS = [
@@ -38,9 +41,11 @@ def test_every_character(spark):
     _same(spark.createDataFrame([(c, f"ab{chr(c)}cd") for c in range(0x3400)], "doc_id long, text string"))
 
 
+@pytest.mark.parametrize("kept", [0, 40, 3000, 1 << 20])
 @pytest.mark.parametrize("size", [1, 40, 1 << 20])
-def test_pieces_cut_nothing(size, monkeypatch):
+def test_pieces_cut_nothing(size, kept, monkeypatch):
     monkeypatch.setattr(D, "PIECE_BYTES", size)
+    monkeypatch.setattr(D, "KEPT_GRAMS", kept)
     monkeypatch.setattr(D, "MOST_ROWS", 7)
     texts = [t.lower() for t in TEXTS if t and t.isascii()] * 2
     whole = pa.array(["", *texts, ""])
@@ -70,3 +75,20 @@ def test_terms_of_texts_are_not_rows(spark):
     assert {r["df"] for r in got.collect()} == {300}
     rows = sum(b.num_rows for b in D.document_terms([pa.RecordBatch.from_arrays([pa.array(["one two three"] * 300)] * 2, ["a", "b"])]))
     assert rows == got.count()
+
+
+def test_grams_of_a_task_are_added_up(monkeypatch):
+    monkeypatch.setattr(D, "PIECE_BYTES", 20)
+    batch = pa.RecordBatch.from_arrays([pa.array(["one two three"] * 300)] * 2, ["a", "b"])
+    rows = [r for b in D.document_terms([batch, batch]) for r in zip(*(c.to_pylist() for c in b.columns))]
+    found = [r for r in rows if r[0] == "char"]
+    assert len({t for _, t, _ in found}) == len(found) and {n for _, _, n in found} == {600}
+
+
+def test_texts_in_enough_files_are_read_where_they_lie(spark, tmp_path):
+    texts = spark.createDataFrame([(i, f"one two {i % 3} three") for i in range(90)], "doc_id long, text string")
+    for name, files in (("one", 1), ("many", 2 * spark.sparkContext.defaultParallelism)):
+        texts.repartition(files).write.parquet(str(tmp_path / name / "documents.parquet"))
+    one, many = (vocabulary(spark, str(tmp_path / n)) for n in ("one", "many"))
+    exchanges = [df._jdf.queryExecution().optimizedPlan().toString().count("Repartition ") for df in (one, many)]
+    assert exchanges == [1, 0] and one.exceptAll(many).count() == many.exceptAll(one).count() == 0
